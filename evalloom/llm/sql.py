@@ -65,4 +65,70 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM m
 """
 
-ORACLE: dict[str, str] = {"op9_url_filter": OP9, "op10_quality_rules": OP10}
+OP1 = rf"""
+WITH d AS (
+  SELECT doc_id, {WORDS} AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM win) WHERE n > 1
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM later CROSS JOIN range(0, 20) AS s(k)
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id) AS c USING (doc_id)
+"""
+
+OP3 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM win) WHERE f < doc_id
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM later CROSS JOIN range(0, 50) AS s(k)
+), runs AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE p IS NULL OR p < i - 1) AS spans
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM covered) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i) AS t
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d) ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
+
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), line AS (
+  SELECT doc_id, i, x, translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> '' AS full_line
+  FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM d)
+), unit AS (
+  SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS u FROM line WHERE full_line
+), win AS (
+  SELECT a.doc_id, a.u, a.x AS x1, b.x AS x2, c.x AS x3 FROM unit a
+  JOIN unit b ON a.doc_id = b.doc_id AND b.u = a.u + 1 JOIN unit c ON a.doc_id = c.doc_id AND c.u = a.u + 2
+), later AS (
+  SELECT doc_id, u FROM (SELECT doc_id, u, row_number() OVER (PARTITION BY x1, x2, x3 ORDER BY doc_id, u) AS n FROM win) WHERE n > 1
+), covered AS (
+  SELECT DISTINCT doc_id, u + k AS u FROM later CROSS JOIN range(0, 3) AS s(k)
+), owner AS (
+  SELECT line.doc_id, line.i, line.x, max(unit.u) OVER (PARTITION BY line.doc_id ORDER BY line.i) AS u
+  FROM line LEFT JOIN unit USING (doc_id, i)
+), kept AS (
+  SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM owner ANTI JOIN covered USING (doc_id, u) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM unit GROUP BY doc_id) AS n USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id) AS c USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op3_suffix_array_dedup": OP3, "op8_line_dedup": OP8, "op9_url_filter": OP9, "op10_quality_rules": OP10}
