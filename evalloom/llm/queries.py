@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evalloom.llm.bpe import byte_bpe
 from evalloom.llm.quality_rules import quality_rules
 from evalloom.llm.sql import ORACLE
+from evalloom.llm.suffix_dedup import suffix_array_dedup
 from evalloom.llm.url_filter import UrlRule, url_filter
 from evalloom.llm.window_dedup import line_dedup, substring_dedup
 from evalloom.session import table
@@ -31,6 +32,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(
         table(spark, sf_dir, "documents"),
@@ -58,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
