@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.bpe import byte_bpe
 from evalloom.llm.ngram_join import ngram_jaccard_join
+from evalloom.llm.quality_classifier import quality_scores
 from evalloom.llm.quality_rules import quality_rules
 from evalloom.llm.sql import ORACLE
 from evalloom.llm.suffix_dedup import suffix_array_dedup
@@ -52,6 +53,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(column: str) -> Column:
+    """Remainder by which a fifth of the documents is held out; null without an id."""
+    return F.crc32(F.col(column).cast("string")) % 5
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("id") != 0)
+    held_out = F.coalesce(fold("doc_id") == 0, F.lit(False))
+    return rated.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("n_units").alias("n_lines"), "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -73,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
