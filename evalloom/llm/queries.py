@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.bpe import byte_bpe
+from evalloom.llm.language_id import language_id
 from evalloom.llm.ngram_join import ngram_jaccard_join
 from evalloom.llm.quality_classifier import quality_scores
 from evalloom.llm.quality_rules import quality_rules
@@ -58,6 +59,12 @@ def fold(column: str) -> Column:
     return F.crc32(F.col(column).cast("string")) % 5
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id(table(spark, sf_dir, "documents"), fold("id") != 0)
+    held_out = F.coalesce(fold("doc_id") == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("id") != 0)
     held_out = F.coalesce(fold("doc_id") == 0, F.lit(False))
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_line_dedup": op8_line_dedup,
