@@ -13,6 +13,7 @@ task repeats what the lost one sent.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
 from collections.abc import Callable, Iterator
@@ -31,6 +32,7 @@ NO_ID = -(1 << 63)
 REQUEST = "bucket int, block int, body binary"
 ANSWER = "block int, level int, bucket int, body binary"
 
+_LIBC = ctypes.CDLL(None)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,19 +78,19 @@ class Blocks:
         """(bucket, body) of every block, without answers."""
 
         def apply(group: pa.Table) -> pa.Table:
-            return _requests(group, fn(Texts(group)))
+            return _released(_requests(group, fn(Texts(group))))
 
         return self.frame.groupBy("block").applyInArrow(apply, REQUEST)
 
     def ask_with(self, answers: DataFrame, fn: Callable[[Texts, Answers], Iterator[tuple[int, bytes]]]) -> DataFrame:
         def apply(group: pa.Table, told: pa.Table) -> pa.Table:
-            return _requests(group, fn(Texts(group), Answers(told)))
+            return _released(_requests(group, fn(Texts(group), Answers(told))))
 
         return self._with(answers).applyInArrow(apply, REQUEST)
 
     def finish(self, answers: DataFrame, fn: Callable[[Texts, Answers], pa.Table], schema: str) -> DataFrame:
         def apply(group: pa.Table, told: pa.Table) -> pa.Table:
-            return fn(Texts(group), Answers(told))
+            return _released(fn(Texts(group), Answers(told)))
 
         return self._with(answers).applyInArrow(apply, schema)
 
@@ -96,6 +98,15 @@ class Blocks:
         return self.frame.groupBy("block").cogroup(answers.groupBy("block"))
 
 
+def _released(out: pa.Table) -> pa.Table:
+    """Give freed memory back before the next group: workers share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim:
+        trim(0)
+    return out
+
+
 def _requests(group: pa.Table, found: Iterator[tuple[int, bytes]]) -> pa.Table:
     found = list(found)
     block = group["block"][0].as_py() if group.num_rows else 0
@@ -115,13 +126,15 @@ def answer(requests: DataFrame, level: int, fn: Callable[[list[int], list[bytes]
         rows = sorted(zip(group["block"].to_pylist(), group["body"].to_pylist(), strict=True))
         blocks = [b for b, _ in rows]
         told = fn(blocks, [x for _, x in rows])
-        return pa.table(
-            {
-                "block": pa.array(blocks, pa.int32()),
-                "level": pa.array([level] * len(rows), pa.int32()),
-                "bucket": pa.array([group["bucket"][0].as_py()] * len(rows), pa.int32()),
-                "body": pa.array(told, pa.binary()),
-            }
+        return _released(
+            pa.table(
+                {
+                    "block": pa.array(blocks, pa.int32()),
+                    "level": pa.array([level] * len(rows), pa.int32()),
+                    "bucket": pa.array([group["bucket"][0].as_py()] * len(rows), pa.int32()),
+                    "body": pa.array(told, pa.binary()),
+                }
+            )
         )
 
     return requests.groupBy("bucket").applyInArrow(apply, ANSWER)
@@ -166,7 +179,7 @@ def hashes(units: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units))
 
 
-def _power(n: int) -> np.uint64:
+def power(n: int) -> np.uint64:
     return np.uint64(pow(int(_B), n, 1 << 64))
 
 
@@ -175,11 +188,11 @@ def rolled(h: np.ndarray, length: int) -> np.ndarray:
     out, have, cur, span = None, 0, h, 1
     while True:
         if length & span:
-            out = cur if out is None else out * _power(span) + _ahead(cur, have)
+            out = cur if out is None else out * power(span) + _ahead(cur, have)
             have += span
         if have == length:
             return out
-        cur = cur * _power(span) + _ahead(cur, span)
+        cur = cur * power(span) + _ahead(cur, span)
         span *= 2
 
 

@@ -23,9 +23,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from evalloom.llm.blocks import Answers, Blocks, Distinct, Texts, answer, mix, read_bits, rolled, seen_elsewhere, send, slices
+from evalloom.llm.blocks import Answers, Blocks, Distinct, Texts, answer, mix, power, read_bits, seen_elsewhere, send, slices
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16
+_PLACE = np.uint64((1 << 17) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -52,44 +53,55 @@ class Bytes:
         return np.searchsorted(self.ends, at, "right")
 
     def pieces(self, window: int, seed: int) -> Pieces:
-        parts = [self._chunk(a, min(a + _CHUNK, len(self.array)), window, seed) for a in range(0, len(self.array), _CHUNK)]
+        whole = np.ones(len(self.array), bool)
+        for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
+            whole[max(a, b - window + 1) : b] = False
+        parts = [self._chunk(a, min(a + _CHUNK, len(whole)), whole, window, seed) for a in range(0, len(whole), _CHUNK)]
         parts = [p for p in parts if len(p.start)]
         if not parts:
             return Pieces(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         return Pieces(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("start", "count", "key")))
 
-    def _chunk(self, a: int, b: int, window: int, seed: int) -> Pieces:
-        """Pieces of the windows that start in [a, b)."""
-        data = self.array[a : b + window - 1]
-        hashed = mix(_rolled_bytes(data, seed))
-        place = np.arange(len(data), dtype=np.uint64)
-        packed = (hashed & ~np.uint64((1 << 24) - 1)) | place
-        low = _sliding_min(packed, window - seed + 1)[: b - a]
-        at = np.arange(a, b)
-        ends = self.ends[self.row(at)]
-        ok = at[: len(low)] + window <= ends[: len(low)]
-        mini = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
+    def _chunk(self, a: int, b: int, whole: np.ndarray, window: int, seed: int) -> Pieces:
+        """Pieces of the windows that start in [a, b). The high bits of the hash are what is compared;
+        the low ones give way to the place, so that the leftmost of equal hashes is the least."""
+        packed = _rolled_bytes(self.array[a : b + window - 1], seed)
+        packed &= ~_PLACE
+        packed |= np.arange(len(packed), dtype=np.uint64)
+        low = _sliding_min(packed, window - seed + 1)
+        ok = whole[a : a + len(low)]
         new = ok.copy()
-        new[1:] &= (mini[1:] != mini[:-1]) | ~ok[:-1]
+        new[1:] &= (low[1:] != low[:-1]) | ~ok[:-1]
         first = np.flatnonzero(new)
         if not len(first):
             return Pieces(first, first, np.zeros(0, np.uint64))
-        piece = np.cumsum(new)[ok] - 1
-        return Pieces(first + a, np.bincount(piece, minlength=len(first)), hashed[mini[first]])
+        # A piece ends where the next one or a run of windows that are not whole begins.
+        stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1
+        return Pieces(first + a, stop - first, low[first] & ~_PLACE)
 
 
 def _rolled_bytes(data: np.ndarray, length: int) -> np.ndarray:
-    return rolled(_BYTE[data], length)
+    """Hashes of all ``length``-byte strings, by doubling."""
+    out, have, cur, span = None, 0, _BYTE[data], 1
+    while True:
+        if length & span:
+            n = max(0, len(data) - have - span + 1)
+            out = cur if out is None else out[:n] * power(span) + cur[have : have + n]
+            have += span
+        if have == length:
+            return out
+        cur = cur[: max(0, len(cur) - span)] * power(span) + cur[span:]
+        span *= 2
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Smallest of the ``width`` numbers from every place on, where there are so many."""
     span = 1
     while 2 * span <= width:
-        x = np.minimum(x[: len(x) - span], x[span:]) if len(x) > span else x[:0]
+        x = np.minimum(x[: max(0, len(x) - span)], x[span:])
         span *= 2
     rest = width - span
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest and len(x) > rest else (x[:0] if rest else x)
+    return np.minimum(x[: max(0, len(x) - rest)], x[rest:]) if rest else x
 
 
 class Candidates:
@@ -190,7 +202,7 @@ def maximal_repeats(pieces: list[bytes], window: int) -> Iterator[Repeat]:
     at = base[piece] + offset
     if not len(at):
         return
-    keys = mix(_rolled_bytes(data, window)[at])
+    keys = _rolled_bytes(data, window)[at]
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     new = np.ones(len(order), bool)
@@ -245,7 +257,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def suffix_array_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, block_bytes: int = 4 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, block_bytes: int = 2 << 20
 ) -> DataFrame:
     """Remove every byte of a text (as UTF-8) under a ``window``-byte string that also starts in a row
     with a smaller id. Strings lie within one row, and are judged on the input alone.
@@ -270,7 +282,7 @@ def suffix_array_dedup(
 
     def ask_pieces(texts: Texts, told: Answers) -> Iterator[tuple[int, bytes]]:
         data, found = candidates(texts, told)
-        ids = texts.keys[data.row(found.start[found.first])]
+        ids = texts.keys[data.row(found.start[found.first])] if len(found.first) else np.zeros(0, np.int64)
         for bucket, part in found.parts():
             yield bucket, _pack_entries(ids[part], found.texts[part])
 
