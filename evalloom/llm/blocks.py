@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalloom.session import ship_package
 
@@ -38,15 +39,19 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 
 class Blocks:
     """Documents dealt into blocks. ``frame`` has block, key (the id, null as NO_ID), doc_id and text
-    (binary). Only the id and text columns of the input are used, whatever else it holds."""
+    (binary). Only the id and text columns of the input are used, whatever else it holds; with
+    ``carry`` a whole row comes along as the struct ``row``."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carry: bool = False):
         ship_package(docs.sparkSession)
+        row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
         rows = docs.select(
             F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"),
             F.col(id_col).cast("long").alias("doc_id"),
             F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+            *row,
         )
+        self.row_field = rows.schema["row"] if carry else None
         size = F.octet_length("text")
         n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
         self.n_rows, self.n_bytes = n, total
@@ -88,7 +93,7 @@ class Blocks:
 
         return self._with(answers).applyInArrow(apply, REQUEST)
 
-    def finish(self, answers: DataFrame, fn: Callable[[Texts, Answers], pa.Table], schema: str) -> DataFrame:
+    def finish(self, answers: DataFrame, fn: Callable[[Texts, Answers], pa.Table], schema: str | StructType) -> DataFrame:
         def apply(group: pa.Table, told: pa.Table) -> pa.Table:
             return _released(fn(Texts(group), Answers(told)))
 
@@ -150,6 +155,7 @@ class Texts:
         self.texts: list[bytes] = [texts[i] for i in order]
         ids = group["doc_id"].to_pylist()
         self.ids = pa.array([ids[i] for i in order], pa.int64())
+        self.rows = group["row"].take(order) if "row" in group.column_names else None
 
 
 class Answers:

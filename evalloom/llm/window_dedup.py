@@ -17,6 +17,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from evalloom.llm.blocks import (
     Answers, Blocks, Distinct, Texts, answer, hashes, mix, read_bits, rolled, seen_elsewhere, send, slices,
@@ -86,9 +87,9 @@ RESULT = "doc_id long, n_units long, n_removed long, spans array<struct<start: i
 
 def _dedup(
     docs: DataFrame, id_col: str, text_col: str, split: Callable[[bytes], list[bytes]],
-    join: Callable[[bytes, list[bytes], np.ndarray], bytes], lengths: list[int], per_byte: float, block_bytes: int,
+    join: Callable[[bytes, list[bytes], np.ndarray], bytes], lengths: list[int], per_byte: float, block_bytes: int, carry: bool = False,
 ) -> DataFrame:
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
+    blocks = Blocks(docs, id_col, text_col, block_bytes, carry)
     n_bits, b_bits = blocks.bits(per_byte), blocks.bucket_bits(per_byte)
     key_bits = [min(64, n_bits + 12)] * (len(lengths) - 1) + [64]
     bucket_bits = [b_bits] * len(lengths)
@@ -107,7 +108,7 @@ def _dedup(
         removed = Levels(units, lengths, key_bits, bucket_bits, told).removed(lengths[-1])
         masks = [removed[a:b] for a, b in zip(units.starts, units.ends, strict=True)]
         rows = zip(texts.texts, units.of, masks, strict=True)
-        return pa.table(
+        out = pa.table(
             {
                 "doc_id": texts.ids,
                 "n_units": pa.array([len(u) for u in units.of], pa.int64()),
@@ -116,8 +117,10 @@ def _dedup(
                 "kept_text": pa.array([join(t, u, m) for t, u, m in rows], pa.binary()).cast(pa.string()),
             }
         )
+        return out.append_column("row", texts.rows) if carry else out
 
-    return blocks.finish(answers, finish, RESULT)
+    schema = StructType.fromDDL(RESULT)
+    return blocks.finish(answers, finish, StructType([*schema.fields, blocks.row_field]) if carry else schema)
 
 
 def _join_words(text: bytes, words: list[bytes], removed: np.ndarray) -> bytes:
@@ -164,7 +167,7 @@ def _join_lines(text: bytes, lines: list[bytes], removed: np.ndarray) -> bytes:
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, block_bytes: int = 4 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, block_bytes: int = 4 << 20, carry: bool = False
 ) -> DataFrame:
     """Remove every line under a window of ``window`` consecutive lines that also starts earlier.
 
@@ -174,6 +177,7 @@ def line_dedup(
     with content), ``n_removed, spans`` (removed runs, in such lines) and ``kept_text``.
 
     Null or empty texts and those of fewer lines lose nothing; null ids and repeated ids are as in
-    ``substring_dedup``. Other columns are ignored.
+    ``substring_dedup``. Other columns are ignored; with ``carry`` each input row is returned whole as
+    the struct ``row``.
     """
-    return _dedup(docs, id_col, text_col, _lines, _join_lines, [window], 1 / 60, block_bytes)
+    return _dedup(docs, id_col, text_col, _lines, _join_lines, [window], 1 / 60, block_bytes, carry)
