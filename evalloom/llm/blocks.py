@@ -246,9 +246,16 @@ def slices(keys: np.ndarray, key_bits: int, bucket_bits: int) -> Iterator[tuple[
     """Non-empty buckets of sorted keys."""
     shift = np.uint64(key_bits - bucket_bits)
     buckets = keys >> shift
-    at = np.flatnonzero(np.diff(buckets, prepend=np.uint64(1 << 63)))
-    for a, b in zip(at, np.append(at[1:], len(keys)), strict=True):
-        yield int(buckets[a]), slice(int(a), int(b))
+    yield from runs(buckets)
+
+
+def runs(values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal values."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    at = np.flatnonzero(new).tolist()
+    for a, b in zip(at, [*at[1:], len(values)], strict=False):
+        yield int(values[a]), slice(a, b)
 
 
 def send(keys: np.ndarray, key_bits: int, bucket_bits: int) -> Iterator[tuple[int, bytes]]:

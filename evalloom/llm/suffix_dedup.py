@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from evalloom.llm.blocks import Answers, Blocks, Distinct, Texts, answer, mix, power, read_bits, seen_elsewhere, send, slices
+from evalloom.llm.blocks import Answers, Blocks, Distinct, Texts, answer, mix, power, read_bits, runs, seen_elsewhere, send, slices
 
 _CHUNK = 1 << 16
 _PLACE = np.uint64((1 << 17) - 1)
@@ -134,9 +134,7 @@ class Candidates:
         self.bucket = bucket[self.first] if first else np.zeros(0, np.int64)
 
     def parts(self) -> Iterator[tuple[int, slice]]:
-        at = np.flatnonzero(np.diff(self.bucket, prepend=-1))
-        for a, b in zip(at, np.append(at[1:], len(self.bucket)), strict=True):
-            yield int(self.bucket[a]), slice(int(a), int(b))
+        return runs(self.bucket)
 
 
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
