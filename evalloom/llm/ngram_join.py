@@ -165,6 +165,16 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.filter(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
+def _room(percent: int) -> Column:
+    """Whether the places ix and iy of a common token leave room for enough overlap.
+
+    Every pair of linked sets passes at its first common token: both sets' tokens before it are not
+    shared, so the overlap is at most what follows in either set.
+    """
+    follow = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    return (100 + percent) * follow >= percent * (F.col("nx") + F.col("ny"))
+
+
 def _pairs(left: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of rows (x, nx, y, ny) of fitting sizes, smaller id first."""
     first = F.col("x") < F.col("y")
@@ -184,7 +194,7 @@ def ngram_jaccard_join(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    pivot_rounds: int = 2,
+    pivot_rounds: int = 1,
     block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; components of documents that are linked when
@@ -204,8 +214,10 @@ def ngram_jaccard_join(
     sets = sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "fp1", "fp2"])
     # Ties for the pivot are broken by id, so that a recomputed task chooses alike.
     edited = (F.least(F.col("n_single"), F.lit((1 << 19) - 1)).cast("long") * F.lit(1 << 43)) + F.pmod("rep", F.lit(1 << 43))
-    sets = checkpoint(sets.select("rep", F.col("n_shingles").alias("n"), edited.alias("edited"), "n_prefix", "tokens", "cuts"))
-    prefix = sets.select("rep", "n", "edited", F.explode(F.slice("tokens", F.lit(1), F.col("n_prefix"))).alias("token"))
+    sets = checkpoint(sets.select("rep", F.col("n_shingles").alias("n"), edited.alias("edited"), "n_single", "n_prefix", "tokens", "cuts"))
+    # Tokens of frequency 1 come first in the order, so a token's place counts from their number on.
+    prefix = sets.select("rep", "n", "edited", "n_single", F.posexplode(F.slice("tokens", F.lit(1), F.col("n_prefix"))).alias("i", "token"))
+    prefix = prefix.withColumn("i", F.col("i") + F.col("n_single")).drop("n_single")
     links = component = None
     for last in [False] * pivot_rounds + [True]:
         group = prefix if component is None else prefix.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -213,19 +225,16 @@ def ngram_jaccard_join(
             group = group.withColumn("component", F.col("rep"))
         open_ = group.groupBy("token").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", "edited").alias("y"),
-            F.min_by("n", "edited").alias("ny"), F.min_by("component", "edited").alias("yc"), F.max_by("rep", "edited").alias("z"),
-            F.max_by("n", "edited").alias("nz"), F.max_by("component", "edited").alias("zc"),
+            F.min_by("n", "edited").alias("ny"), F.min_by("component", "edited").alias("yc"), F.min_by("i", "edited").alias("iy"),
         ).filter("lo < hi")
-        mine = group.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("xc"), "token")
+        mine = group.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("xc"), F.col("i").alias("ix"), "token")
         if last:
             pivots = mine.join(open_.select("token"), "token").select(
-                F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("xc").alias("yc"), "token"
+                F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("xc").alias("yc"), F.col("ix").alias("iy"), "token"
             )
-        elif component is None:
-            pivots = open_.select("token", "y", "ny", "yc")
-        else:  # another pivot: the first one's component is known
-            pivots = open_.select("token", F.col("z").alias("y"), F.col("nz").alias("ny"), F.col("zc").alias("yc"))
-        met = mine.join(pivots, "token").filter("xc != yc")
+        else:
+            pivots = open_.select("token", "y", "ny", "yc", "iy")
+        met = mine.join(pivots, "token").filter(F.col("xc") != F.col("yc")).filter(_room(percent))
         pairs = checkpoint(_pairs(met.filter("x < y") if last else met, percent))
         if pairs.isEmpty():
             break
