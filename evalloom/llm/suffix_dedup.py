@@ -77,7 +77,7 @@ class Bytes:
             return Pieces(first, first, np.zeros(0, np.uint64))
         # A piece ends where the next one or a run of windows that are not whole begins.
         stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1
-        return Pieces(first + a, stop - first, low[first] & ~_PLACE)
+        return Pieces(first + a, stop - first, mix(low[first] & ~_PLACE))  # minima are small: spread them
 
 
 def _rolled_bytes(data: np.ndarray, length: int) -> np.ndarray:
