@@ -1,10 +1,8 @@
-"""Named queries over the driver's tables, each with the SQL that checks it."""
+"""All named queries; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from evalloom.plans import evidence_queries, group_queries, run_queries, search_queries, source_queries, text_queries
+from evalloom.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "evidence_queries", "group_queries", "run_queries", "search_queries", "source_queries", "text_queries"]
