@@ -14,6 +14,11 @@ LEAKAGE_NGRAM = 8
 MIN_SHORT_INPUT = 4
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.trim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def redact(text: Column) -> Column:
     """Mask e-mail and IPv4 addresses."""
     return F.regexp_replace(F.regexp_replace(text, EMAIL, "<email>"), IPV4, "<ip_address>")
@@ -49,7 +54,7 @@ def ngrams(tokens: Column, n: int = LEAKAGE_NGRAM) -> Column:
 
 def last_line(text: Column) -> Column:
     """Last line with content, trimmed."""
-    return F.trim(F.try_element_at(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), F.lit(-1)))
+    return strip(F.try_element_at(F.filter(F.split(text, "\n"), lambda x: strip(x) != ""), F.lit(-1)))
 
 
 def normalize_label(text: Column) -> Column:
@@ -74,7 +79,7 @@ def last_integer(text: Column) -> Column:
 def marked_field(text: Column, name: str) -> Column:
     """Text between ``[[ ## name ## ]]`` and the next marker, else the whole text; trimmed."""
     found = F.regexp_extract(text, rf"(?s)\[\[ ## {name} ## \]\](.*?)(?=\[\[ ##|$)", 1)
-    return F.trim(F.when(found != "", found).otherwise(text))
+    return strip(F.when(found != "", found).otherwise(text))
 
 
 def strip_fences(text: Column) -> Column:
@@ -118,7 +123,7 @@ def classify_tool_error(message: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return text.isNull() | (F.trim(text) == "")
+    return text.isNull() | (strip(text) == "")
 
 
 def occurs_as_word(text: Column, literal: Column) -> Column:
