@@ -84,7 +84,7 @@ def _rows(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row, slot = keys // SLOTS, keys % SLOTS
     value = (1 + np.log(found.counts)) * idf[slot]
     norm = np.sqrt(np.bincount(row, value**2, len(texts)))
-    return row, slot, value / norm[row]
+    return row, slot, value / np.maximum(norm, 1e-9)[row]
 
 
 def _times(rows: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, right: np.ndarray) -> np.ndarray:
@@ -173,42 +173,85 @@ class Lexicon:
         latent = _times(a, len(items), right)
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def leaks(self, text: bytes) -> list[tuple[int, float, float, int]]:
-        """(item, cosine, common part, first word) of the items that the text holds."""
-        words = words_of(text)
-        if not words or not self.items:
-            return []
-        p, slot = self.p, slots_of(words)
+    def leaks(self, texts: list[bytes]) -> list[list[tuple[int, float, float, int]]]:
+        """For every text (item, cosine, common part, first word) of the items that it holds.
+
+        Texts are cut into blocks of ``stride`` words; a passage is a run of blocks, so its latent
+        vector is the sum of theirs. Repeated words count each time here, which only lets more
+        passages through; the cosine that is reported dampens them.
+        """
+        split = [words_of(t) for t in texts]
+        out: list[list[tuple[int, float, float, int]]] = [[] for _ in texts]
+        if not self.items:
+            return out
+        at = 0
+        while at < len(split):  # some 30,000 words at a time
+            stop, n = at, 0
+            while stop < len(split) and (stop == at or n + len(split[stop]) <= 30_000):
+                n += len(split[stop])
+                stop += 1
+            for i, found in self._candidates(split[at:stop]):
+                out[at + i] = self._checked(split[at + i], found)
+            at = stop
+        return out
+
+    def _candidates(self, split: list[list[bytes]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(text, its (first word, item) pairs) of passages near an item."""
+        p = self.p
+        sizes = np.array([len(w) for w in split], np.int64)
+        n_blocks = -(-sizes // p.stride)
+        begin = np.cumsum(n_blocks) - n_blocks
+        slot = slots_of([w for words in split for w in words])
+        if not len(slot):
+            return
+        within = np.arange(len(slot)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        block = np.repeat(begin, sizes) + within // p.stride
         weight = self.idf[slot]
-        place = self.place[slot]
-        known = np.where(place >= 0, weight, 0)
-        begin = np.arange(0, max(1, len(words) - p.passage + p.stride), p.stride)
-        stop = np.minimum(begin + p.passage, len(words))
-        sums = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
-        part = np.concatenate([[0], np.cumsum(known.astype(np.float64) ** 2)])
-        full = sums[stop] - sums[begin]
-        # A passage's cosine with an item is at most the share of its weight on words with factors,
-        # up to what repeated words add; those below the threshold need no projection.
-        near = np.flatnonzero(part[stop] - part[begin] >= (p.cosine**2 / 4) * full)
-        found: dict[int, tuple[float, float, int]] = {}
-        for w in near.tolist():
-            a, b = int(begin[w]), int(stop[w])
-            kinds, times = np.unique(slot[a:b], return_counts=True)
-            value = (1 + np.log(times)) * self.idf[kinds]
-            at = self.place[kinds]
-            ok = at >= 0
-            vector = value[ok] @ self.factors[at[ok]]
-            cosines = self.latent @ vector / max(1e-9, float(np.sqrt((value**2).sum())))
-            for k in np.flatnonzero(cosines >= p.cosine).tolist():
-                item = self.items[k]
-                lo, hi = max(0, a - len(item.words)), b + len(item.words)
-                region = words[lo:hi]
-                common = lcs(item.words, region) / len(item.words)
-                if common >= p.copy or (common >= p.paraphrase and item.answer <= set(region)):
-                    best = found.get(k, (0.0, 0.0, 0))
-                    if (common, float(cosines[k])) > (best[1], best[0]):
-                        found[k] = (float(cosines[k]), common, a)
-        return [(self.items[k].item_id, *v) for k, v in sorted(found.items())]
+        full = np.bincount(block, weight.astype(np.float64) ** 2, n_blocks.sum())
+        known = np.flatnonzero((self.place[slot] >= 0) & (weight > 0))
+        sums = np.zeros((len(full), self.factors.shape[1]), np.float32)
+        if len(known):
+            of = block[known]
+            last = np.flatnonzero(np.diff(of, append=-1))
+            rows = self.factors[self.place[slot[known]]]
+            rows *= weight[known][:, None]
+            running = np.cumsum(rows, axis=0, out=rows)[last]
+            running[1:] -= running[:-1].copy()
+            sums[of[last]] = running
+        text = np.repeat(np.arange(len(split)), n_blocks)
+        total, norm = sums.copy(), full.copy()
+        for k in range(1, p.passage // p.stride):
+            same = np.flatnonzero(text[k:] == text[:-k])
+            total[same] += sums[same + k]
+            norm[same] += full[same + k]
+        cosines = total @ self.latent.T / np.sqrt(np.maximum(norm, 1e-9))[:, None]
+        near = np.argwhere(cosines >= p.cosine)
+        for i in np.unique(text[near[:, 0]]).tolist():
+            mine = near[text[near[:, 0]] == i]
+            yield i, [((b - begin[i]).item() * p.stride, k) for b, k in zip(mine[:, 0], mine[:, 1].tolist(), strict=True)]
+
+    def _checked(self, words: list[bytes], found: list[tuple[int, int]]) -> list[tuple[int, float, float, int]]:
+        p, best = self.p, {}
+        for a, k in found:
+            item = self.items[k]
+            region = words[max(0, a - len(item.words)) : a + p.passage + len(item.words)]
+            held = set(region)
+            if sum(w in held for w in item.words) < p.paraphrase * len(item.words):
+                continue  # not even out of order
+            common = lcs(item.words, region) / len(item.words)
+            if common >= p.copy or (common >= p.paraphrase and item.answer <= held):
+                cosine = self.cosine(words[a : a + p.passage], k)
+                if k not in best or (common, cosine) > (best[k][1], best[k][0]):
+                    best[k] = (cosine, common, a)
+        return [(self.items[k].item_id, *v) for k, v in sorted(best.items())]
+
+    def cosine(self, words: list[bytes], k: int) -> float:
+        """Latent cosine of a passage with an item."""
+        slots, times = np.unique(slots_of(words), return_counts=True)
+        value = (1 + np.log(times)) * self.idf[slots]
+        ok = self.place[slots] >= 0
+        vector = value[ok] @ self.factors[self.place[slots[ok]]]
+        return float(self.latent[k] @ vector / max(1e-9, float(np.sqrt((value**2).sum()))))
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -226,8 +269,9 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
 
 @dataclass(frozen=True)
 class Params:
-    """Passages of ``passage`` words every ``stride`` words; ``cosine`` to become a candidate; the share
-    of an item's words that must follow in order, for a copy and, with its answer, for a paraphrase."""
+    """Passages of ``passage`` words every ``stride`` words (a divisor of it); ``cosine`` to become a candidate; the share
+    of an item's words that must follow in order, for a copy and, with its answer, for a paraphrase; the
+    share of documents from which on a word has no weight."""
 
     passage: int = 48
     stride: int = 24
@@ -235,6 +279,7 @@ class Params:
     copy: float = 0.8
     paraphrase: float = 0.6
     answer_words: int = 3
+    common: float = 0.1
     rank: int = 256
     block_items: int = 20_000
 
@@ -246,7 +291,8 @@ class Decontaminator:
         items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
         self.items = items.filter("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])
         n, df = document_frequency(docs, text_col)
-        self.idf = np.log((n + 1) / (df + 1)) + 0.01
+        # Words of very many documents say nothing about a passage.
+        self.idf = np.where(df > self.params.common * n, 0.0, np.log((n + 1) / (df + 1)))
         rank = int(min(self.params.rank, max(1, self.items.count())))
         self.factors = randomised_svd(self.items, "text", self.idf, rank)
 
@@ -278,7 +324,9 @@ class Decontaminator:
         def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             names = ("item_id", "cosine", "common", "at_word")
             for batch in batches:
-                found = [shared.value.leaks((t or "").encode()) for t in batch]
+                found = []
+                for a in range(0, len(batch), 512):
+                    found += shared.value.leaks([(t or "").encode() for t in batch.iloc[a : a + 512]])
                 yield pd.Series([[dict(zip(names, x, strict=True)) for x in row] for row in found], dtype=object)
 
         return leaks(text)
