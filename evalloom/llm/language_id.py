@@ -219,7 +219,7 @@ def _predict(m: LanguageModel, texts: list[str]) -> list[tuple[str, float, list[
         if not len(path):
             out.append((UNKNOWN, 0.0, []))
             continue
-        letters = np.fromiter(map(len, words), np.float64, len(words))
+        letters = np.fromiter((len(w.decode()) for w in words), np.float64, len(words))
         share = np.bincount(path, letters, len(m.languages)) / letters.sum()
         best = int(share.argmax())
         odds = np.exp(np.clip(score.sum(axis=0) - score.sum(axis=0)[best], -50, 50))
