@@ -41,8 +41,8 @@ THRESHOLDS = (
     Threshold("word_length", "word_chars", "n_words", 2.0, 12.0),
     Threshold("symbols", "n_symbols", "n_words", high=0.2),
     Threshold("stop_words", "n_stop_words", "n_words", low=0.02),
-    Threshold("upper_words", "n_upper_words", "n_words", high=0.3),
-    Threshold("duplicate_lines", "n_dup_lines", "n_lines", high=0.3),
+    Threshold("upper_case", "n_upper", "word_chars", high=0.3),
+    Threshold("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 
 
@@ -54,16 +54,17 @@ def _repeat_words(words: Column) -> Column:
         F.transform(
             F.sequence(F.lit(0), n - 3),
             lambda i: F.struct(
-                F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"),
-                F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"),
-                i.alias("i"),
+                F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
             ),
         ),
     )
 
     def starts(ordered: Column) -> Column:
         def same(x: Column, y: Column) -> Column:
-            return F.coalesce((y["h"] == x["h"]) & (y["w"] == x["w"]), F.lit(False))
+            match = y["h"] == x["h"]
+            for k in range(3):
+                match = match & (F.get(words, y["i"] + k) == F.get(words, x["i"] + k))
+            return F.coalesce(match, F.lit(False))
 
         return F.transform(
             ordered,
@@ -84,28 +85,23 @@ def _repeat_words(words: Column) -> Column:
     return F.coalesce(covered, F.lit(0).cast("long"))
 
 
-def _strip(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with every count that the threshold table refers to (all long)."""
-    base = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).withColumn("words", F.filter(F.split("text", WORD_SPLIT), lambda w: w != ""))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: _strip(x, SEPARATORS) != "")
-    base = base.withColumn("lines", lines)
-    upper = F.filter("words", lambda w: w.rlike("^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.trim(text, F.lit(SEPARATORS)).alias("inner"))
+    words = F.when(F.col("inner") == "", F.array().cast("array<string>")).otherwise(F.split("inner", WORD_SPLIT))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    base = base.select("doc_id", "text", words.alias("words"), lines.alias("lines"))
     stop = F.filter("words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))).isin(*STOP_WORDS))
     return base.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(_strip(F.col("text"), SEPARATORS)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_strip(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[" + SYMBOLS + "]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.size(upper).cast("long").alias("n_upper_words"),
+        F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.size(stop).cast("long").alias("n_stop_words"),
     )
 

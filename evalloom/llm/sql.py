@@ -54,7 +54,7 @@ WITH d AS (
   SELECT doc_id, len(words) AS n_words, length(translate(text, {_SEPARATORS}, '')) AS word_chars,
     length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines,
-    len(list_filter(words, lambda w: regexp_full_match(w, '[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*'))) AS n_upper_words,
+    length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
     len(list_filter(words, lambda w: lower(rtrim(w, '.,;:!?')) IN ({_STOP}))) AS n_stop_words
   FROM d LEFT JOIN rep USING (row_id)
 )
