@@ -46,10 +46,13 @@ def answer_tokens(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int = LEAKAGE_NGRAM) -> Column:
     """Distinct n-grams of a token array, joined by spaces."""
-    found = F.transform(
-        F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " ")
-    )
-    return F.when(F.size(tokens) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+        return F.when(F.size(t) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    # Bound to a lambda variable, the tokens are computed once and not once per n-gram.
+    return F.get(F.transform(F.array(tokens), of), F.lit(0))
 
 
 def last_line(text: Column) -> Column:
