@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from evalloom.llm.blocks import Answers, Blocks, Distinct, Texts, answer, mix, power, read_bits, runs, seen_elsewhere, send, slices
+from evalloom.llm.blocks import NO_ID, Answers, Blocks, Distinct, Texts, answer, mix, power, read_bits, runs, seen_elsewhere, send, slices
 
 _CHUNK = 1 << 16
 _PLACE = np.uint64((1 << 17) - 1)
@@ -140,14 +141,22 @@ class Candidates:
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
+def _pack(data: bytes) -> bytes:
+    return _PACK.compress(data)
+
+
+def _unpack(body: bytes) -> bytes:
+    return _UNPACK.decompress(body)
+
+
 def _pack_entries(ids: np.ndarray, texts: list[bytes]) -> bytes:
     sizes = np.array([len(t) for t in texts], "<u2")
     head = np.array([len(texts)], "<u4").tobytes()
-    return _PACK.compress(head + ids.astype("<i8").tobytes() + sizes.tobytes() + b"".join(texts))
+    return _pack(head + ids.astype("<i8").tobytes() + sizes.tobytes() + b"".join(texts))
 
 
 def _unpack_entries(body: bytes) -> tuple[np.ndarray, list[bytes]]:
-    raw = _UNPACK.decompress(body)
+    raw = _unpack(body)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     ids = np.frombuffer(raw, "<i8", n, 4)
     ends = (4 + 10 * n + np.cumsum(np.frombuffer(raw, "<u2", n, 4 + 8 * n), dtype=np.int64)).tolist()
@@ -251,6 +260,7 @@ def _owners(window: int):
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: int, stop: int>>, kept binary"
+GROUPS = "repeat long, length int, doc_id long, start int"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -316,3 +326,69 @@ def suffix_array_dedup(
     answers = answers.unionAll(answer(blocks.ask_with(answers, ask_pieces), 1, _owners(window)))
     return blocks.finish(answers, finish, RESULT)
 
+
+def repeat_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, block_bytes: int = 2 << 20
+) -> DataFrame:
+    """Maximal repeats of ``window`` bytes or more with all their occurrences: (repeat, length, doc_id, start in bytes).
+
+    Repeats are maximal within pieces (see above), so a longer one appears as a chain of repeats that
+    overlap. ``repeat`` is a hash of the repeated bytes. Null, empty and shorter texts have none;
+    a null id is returned as null.
+    """
+    blocks = Blocks(docs, id_col, text_col, block_bytes)
+    per_byte = 2 / (window - seed + 2)
+    key_bits = min(40, blocks.bits(per_byte) + 12)
+    ask_bits = min(key_bits - 1, blocks.bucket_bits(per_byte))
+    piece_bits = min(key_bits - 1, blocks.bucket_bits(per_byte, keys=1 << 17))
+
+    def ask(texts: Texts) -> Iterator[tuple[int, bytes]]:
+        pieces = Bytes(texts.texts).pieces(window, seed)
+        return send(Distinct(pieces.key >> np.uint64(64 - key_bits)).keys, key_bits, ask_bits)
+
+    def ask_pieces(texts: Texts, told: Answers) -> Iterator[tuple[int, bytes]]:
+        """Every occurrence of every piece: its document and place there, and the distinct pieces."""
+        data = Bytes(texts.texts)
+        found = Candidates(data, data.pieces(window, seed), told, key_bits, ask_bits, piece_bits, window)
+        row = data.row(found.start)
+        order = np.argsort(found.place, kind="stable")
+        ends = np.searchsorted(found.place[order], np.arange(len(found.texts)), "right")
+        for bucket, part in found.parts():
+            mine = order[(ends[part.start - 1] if part.start else 0) : ends[part.stop - 1]]
+            where = np.stack([found.place[mine] - part.start, texts.keys[row[mine]], found.start[mine] - data.starts[row[mine]]])
+            pieces = _pack_entries(np.zeros(part.stop - part.start, np.int64), found.texts[part])
+            yield bucket, len(pieces).to_bytes(4, "little") + pieces + _pack(where.astype("<i8").tobytes())
+
+    def groups(group: pa.Table) -> pa.Table:
+        index: dict[bytes, int] = {}
+        where = []
+        for body in group["body"].to_pylist():
+            n = int.from_bytes(body[:4], "little")
+            _, texts = _unpack_entries(body[4 : 4 + n])
+            place = np.array([index.setdefault(t, len(index)) for t in texts], np.int64)
+            own = np.frombuffer(_unpack(body[4 + n :]), "<i8").reshape(3, -1).copy()
+            own[0] = place[own[0]]
+            where.append(own)
+        pieces = list(index)
+        at = np.concatenate(where, axis=1)
+        at = at[:, np.argsort(at[0], kind="stable")]
+        begin = np.searchsorted(at[0], np.arange(len(pieces) + 1))
+        out: list[tuple[int, int, int, int]] = []
+        # A piece that stands in several places is a repeat too, though it is one among distinct pieces.
+        several = (Repeat(len(p), [(i, 0)]) for i, p in enumerate(pieces) if begin[i + 1] - begin[i] > 1)
+        seen: set[int] = set()
+        for repeat in [*maximal_repeats(pieces, window), *several]:
+            piece, off = repeat.occurrences[0]
+            name = xxhash.xxh3_64_intdigest(pieces[piece][off : off + repeat.length]) - (1 << 63)
+            if name in seen:
+                continue
+            seen.add(name)
+            for piece, off in repeat.occurrences:
+                for key, start in at[1:, begin[piece] : begin[piece + 1]].T.tolist():
+                    out.append((name, repeat.length, None if key == NO_ID else key, start + off))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("repeat", "length", "doc_id", "start"), columns, kinds, strict=True)})
+
+    answers = answer(blocks.ask(ask), 0, seen_elsewhere)
+    return blocks.ask_with(answers, ask_pieces).groupBy("bucket").applyInArrow(groups, GROUPS)

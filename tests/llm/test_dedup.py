@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.components import connected_components
 from evalloom.llm.ngram_join import ngram_jaccard_join
-from evalloom.llm.suffix_dedup import lcp_intervals, maximal_repeats, suffix_array_dedup
+from evalloom.llm.suffix_dedup import lcp_intervals, maximal_repeats, repeat_groups, suffix_array_dedup
 from evalloom.llm.window_dedup import line_dedup, substring_dedup
 
 BLOCK = 2_000  # many blocks even for a small corpus
@@ -70,6 +70,22 @@ def test_maximal_repeats_are_left_diverse_and_complete():
     assert covered_pairs == {x for at in windows.values() if len(at) > 1 for x in at}
 
 
+def test_repeat_groups_hold_every_repeated_window(spark):
+    rows = corpus()
+    data = {k: (t or "").encode() for k, t in rows}
+    windows = {}
+    for k, b in data.items():
+        for i in range(len(b) - 49):
+            windows.setdefault(b[i : i + 50], set()).add((k, i))
+    found, groups = set(), {}
+    for r in repeat_groups(frame(spark, rows), block_bytes=BLOCK).collect():
+        groups.setdefault((r["repeat"], r["length"]), set()).add((r["doc_id"], r["start"]))
+        found.update((r["doc_id"], r["start"] + d) for d in range(r["length"] - 49))
+    assert found == {x for at in windows.values() if len(at) > 1 for x in at}
+    for (_, n), at in groups.items():
+        assert len({data[k][i : i + n] for k, i in at}) == 1 and len(at) > 1
+
+
 def test_lcp_intervals():
     texts = sorted([b"banana", b"bananas", b"band", b"bat", b"cat"])
     assert sorted(lcp_intervals(texts)) == [(0, 0, 4), (2, 0, 3), (3, 0, 2), (6, 0, 1)]
