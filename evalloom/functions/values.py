@@ -20,24 +20,65 @@ def decompose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 
 
-def compact(value, depth: int = 0):
-    """A bounded view of any JSON value: deep parts become markers, long strings and lists are cut."""
-    if isinstance(value, str) and value[:1] in ("{", "["):
+def parsed(text: str):
+    """Value of a text that looks like a JSON object or array; null if it is none."""
+    if text.lstrip()[:1] in ("{", "["):
         try:
-            value = json.loads(value)
+            return json.loads(text)
         except ValueError:
             pass
-    if isinstance(value, str):
-        return value if len(value) <= MAX_CHARS else f"{value[:MAX_CHARS]}[{len(value) - MAX_CHARS} chars truncated]"
-    if isinstance(value, (dict, list)) and depth >= MAX_DEPTH:
-        return "{...}" if isinstance(value, dict) else "[...]"
-    if isinstance(value, dict):
-        kept = {k: compact(v, depth + 1) for k, v in list(value.items())[:MAX_KEYS]}
-        return kept if len(value) <= MAX_KEYS else {**kept, "...": f"{len(value) - MAX_KEYS} more keys"}
-    if isinstance(value, list):
-        kept = [compact(v, depth + 1) for v in value[:MAX_ITEMS]]
-        return kept if len(value) <= MAX_ITEMS else [*kept, f"... {len(value) - MAX_ITEMS} more items"]
-    return value
+    return None
+
+
+class Compactor:
+    """A bounded view of JSON values. With ``keep``, keys of objects that do not match it leave only what matches inside
+    them; ``drop`` removes keys at every depth. Case does not count. Strings that hold JSON are read as such."""
+
+    def __init__(self, keep: str | None = None, drop: tuple[str, ...] = ()):
+        self.keep = re.compile(keep, re.IGNORECASE) if keep else None
+        self.drop = {k.lower() for k in drop}
+
+    def __call__(self, value):
+        found = self._view(value, 0, wanted=True, inside=False)
+        return found[0] if found else None
+
+    def _view(self, value, depth: int, wanted: bool, inside: bool) -> list:
+        """The view in a list of one, or nothing; ``wanted`` is false below keys that do not match."""
+        if isinstance(value, str):
+            inner = parsed(value)
+            if inner is not None:
+                return self._view(inner, depth + 1, wanted, inside)
+            text = value.strip()
+            return [text if len(text) <= MAX_CHARS else text[: MAX_CHARS - 3] + "..."] if wanted else []
+        if depth > MAX_DEPTH:
+            return ["<nested>"] if wanted else []
+        if isinstance(value, dict):
+            out = {}
+            for key, item in value.items():
+                if len(out) == MAX_KEYS:
+                    break
+                if key.lower() not in self.drop:
+                    match = (inside and wanted) or self.keep is None or bool(self.keep.search(key))
+                    out |= {key: v for v in self._view(item, depth + 1, match, True)}
+            return [out] if out or wanted else []
+        if isinstance(value, list):
+            items = [v for x in value[:MAX_ITEMS] for v in self._view(x, depth + 1, wanted, inside)]
+            return [items] if items or wanted else []
+        return [value] if wanted else []
+
+
+compact = Compactor()
+
+
+def compact_result(keep: str | None, drop: tuple[str, ...] = ()):
+    """A UDF that compacts JSON texts with these key rules."""
+    view = Compactor(keep, drop)
+
+    @F.pandas_udf(T.StringType())
+    def compacted(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: json.dumps(view(t), sort_keys=True, separators=(",", ":")), na_action="ignore")
+
+    return compacted
 
 
 @F.pandas_udf(T.StringType())
@@ -102,3 +143,36 @@ _FILLED = T.StructType([T.StructField("text", T.StringType()), T.StructField("mi
 def fill_placeholders(template: pd.Series, context_json: pd.Series) -> pd.DataFrame:
     rows = [fill(t or "", json.loads(c or "{}")) for t, c in zip(template, context_json, strict=True)]
     return pd.DataFrame(rows, columns=["text", "missing"])
+
+
+_SECTION = re.compile(r"^[ \t]*Assistant:", re.MULTILINE)
+
+
+def render(template: str, values: dict[str, str]) -> tuple[str, str | None, str, list[str]]:
+    """(prompt, system, user, missing): the part before the assistant's section, filled, as one text and as messages.
+
+    Without both a System and a User section the whole text is the user's message.
+    """
+    cut = _SECTION.search(template)
+    body, rest = (template[: cut.start()], template[cut.start() :]) if cut else (template, "")
+    text, missing = fill(body, values)
+    missing = sorted({*missing, *fill(rest, values)[1]})
+    text = text.rstrip()
+    _, has_system, after = text.partition("System:")
+    system = after.partition("User:")[0]
+    if has_system and "User:" in text:
+        user = text.partition("User:")[2].strip()
+        system = system.strip()
+        return f"{system}\n\n{user}", system, user, missing
+    return text, None, text, missing
+
+
+_PROMPT = T.StructType(
+    [T.StructField("prompt", T.StringType()), T.StructField("system", T.StringType()), T.StructField("user", T.StringType()), T.StructField("missing", T.ArrayType(T.StringType()))]
+)
+
+
+@F.pandas_udf(_PROMPT)
+def render_prompt(template: pd.Series, context_json: pd.Series) -> pd.DataFrame:
+    rows = [render(t or "", json.loads(c or "{}")) for t, c in zip(template, context_json, strict=True)]
+    return pd.DataFrame(rows, columns=["prompt", "system", "user", "missing"])
