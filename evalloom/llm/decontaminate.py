@@ -87,13 +87,32 @@ def _rows(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, slot, value / np.maximum(norm, 1e-9)[row]
 
 
-def _times(rows: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, right: np.ndarray) -> np.ndarray:
-    """A @ right for sparse rows."""
-    out = np.zeros((n, right.shape[1]))
-    np.add.at(out, rows[0], rows[2][:, None] * right[rows[1]])
+Basis = tuple[np.ndarray, np.ndarray]
+
+
+def _basis_rows(basis: Basis | None, slots: np.ndarray, rank: int) -> np.ndarray:
+    """Rows of a basis (sorted slots, their rows) for some slots, zeros where it has none. Without a basis random signs
+    by rule; only the rows that are asked for are ever made."""
+    if basis is None:
+        at = (slots.astype(np.uint64) + np.uint64(1))[:, None] * np.uint64(rank + 1) + np.arange(rank, dtype=np.uint64)
+        return np.where(mix(at) & np.uint64(1), 1.0, -1.0)
+    out = np.zeros((len(slots), rank))
+    if len(basis[0]):
+        at = np.minimum(np.searchsorted(basis[0], slots), len(basis[0]) - 1)
+        found = basis[0][at] == slots
+        out[found] = basis[1][at[found]]
     return out
 
 
+def _project(rows: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, basis: Basis | None, rank: int) -> tuple[np.ndarray, Distinct]:
+    """A @ basis for sparse rows, and the distinct slots of A."""
+    found = Distinct(rows[1].astype(np.uint64))
+    right = _basis_rows(basis, found.keys.astype(np.int64), rank)
+    out = np.zeros((n, rank))
+    np.add.at(out, rows[0], rows[2][:, None] * right[found.place])
+    return out, found
+
+
 def randomised_svd(items: DataFrame, text_col: str, idf: np.ndarray, rank: int, power: int = 1, slices: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Leading right singular vectors of the TF-IDF rows: (slots that occur, slots x rank).
 
@@ -104,19 +123,15 @@ def randomised_svd(items: DataFrame, text_col: str, idf: np.ndarray, rank: int,
     spark = items.sparkSession
     rows = items.select(F.col(text_col).alias("text")).repartition(slices)
 
-    def pass_over(basis: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    def pass_over(basis: Basis | None) -> Basis:
         shared = spark.sparkContext.broadcast(basis)
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            right = np.zeros((SLOTS, rank), np.float32) if basis else _signs(rank)
-            if basis:
-                right[shared.value[0]] = shared.value[1]
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 for texts in parts(batch, "text"):
                     a = _rows(texts, idf)
-                    y = _times(a, len(texts), right)
-                    found = Distinct(a[1].astype(np.uint64))
+                    y, found = _project(a, len(texts), shared.value, rank)
                     back = np.zeros((len(found.keys), rank))
                     np.add.at(back, found.place, a[2][:, None] * y[a[0]])
                     for slot, v in zip(found.keys.tolist(), back, strict=True):
@@ -147,11 +162,6 @@ def randomised_svd(items: DataFrame, text_col: str, idf: np.ndarray, rank: int,
     return basis
 
 
-def _signs(rank: int) -> np.ndarray:
-    at = np.arange(1, SLOTS + 1, dtype=np.uint64)[:, None] * np.uint64(rank + 1) + np.arange(rank, dtype=np.uint64)
-    return np.where(mix(at) & np.uint64(1), 1.0, -1.0).astype(np.float32)
-
-
 @dataclass(frozen=True)
 class Item:
     item_id: int
@@ -168,9 +178,7 @@ class Lexicon:
         self.place[slots] = np.arange(len(slots))
         self.factors = factors
         a = _rows([b" ".join(i.words) for i in items], idf)
-        right = np.zeros((SLOTS, factors.shape[1]), np.float32)
-        right[slots] = factors
-        latent = _times(a, len(items), right)
+        latent, _ = _project(a, len(items), (slots, factors), factors.shape[1])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def leaks(self, texts: list[bytes]) -> list[list[tuple[int, float, float, int]]]:
