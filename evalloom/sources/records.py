@@ -90,3 +90,22 @@ def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return rows.select("*", *[v.alias(k) for k, v in defaults.items() if k not in rows.columns]).withColumns(
         {k: F.coalesce(k, v) for k, v in defaults.items() if k in rows.columns}
     )
+
+
+def _files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(directory, name, bytes) of the files below a directory; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    parts = F.split("path", "/")
+    return files.select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("directory"), F.element_at(parts, -1).alias("name"), F.col("length").alias("bytes"))
+
+
+def run_directories(spark: SparkSession, path: str, wanted: tuple[str, ...] = ("progress.json", "run_config.json", "results.jsonl")) -> DataFrame:
+    """Directories that hold any of the wanted files, and which of them they hold."""
+    has = [F.bool_or(F.col("name") == w).alias(w.split(".")[0]) for w in wanted]
+    return _files(spark, path).filter(F.col("name").isin(*wanted)).groupBy("directory").agg(*has)
+
+
+def prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Markdown assets with the group that their directory names."""
+    found = _files(spark, path, "*.md")
+    return found.select(F.element_at(F.split("directory", "/"), -1).alias("group"), "name", "bytes")

@@ -83,3 +83,12 @@ def test_agent_messages(spark):
     lines = [json.dumps({"type": "assistant", "message": {"content": [{"type": "text", "text": "hi"}, {"type": "tool_use"}]}}), "noise", '{"type": "system"}']
     got = progress.agent_messages(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert [r["text"] for r in got.collect()] == ["hi"]
+
+
+def test_directory_listings(spark, tmp_path):
+    for name in ("a/progress.json", "a/results.jsonl", "b/run_config.json", "b/sub/x.md", "other/y.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    got = {r["directory"].rsplit("/", 1)[1]: (r["progress"], r["run_config"], r["results"]) for r in records.run_directories(spark, str(tmp_path)).collect()}
+    assert got == {"a": (True, False, True), "b": (False, True, False)}
+    assert [tuple(r) for r in records.prompts(spark, str(tmp_path)).collect()] == [("sub", "x.md", 2)]
