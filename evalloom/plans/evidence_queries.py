@@ -120,9 +120,9 @@ def guideline_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.guideline_support(rows, "guideline", "record")
 
 
-@query("SELECT n_name AS route FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)")
+@query("SELECT n_name AS route FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def routes_without_guidelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covered = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    covered = table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey"))
     return table(spark, sf_dir, "nation").join(covered, "n_nationkey", "left_anti").select(F.col("n_name").alias("route"))
 
 
