@@ -23,7 +23,11 @@ def bootstrap_gain(gains: DataFrame, key: str, case: str, gain: str, resamples:
         digest = F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), i.cast("string")))
         return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.size("g")).cast("int")
 
-    rows = packed.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    # Few keys must not mean few tasks: runs of resamples are dealt out before they are drawn.
+    parts = int(gains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packed.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 32)))).repartition(parts, key, "c")
+    last = F.least((F.col("c") + 1) * 32, F.lit(resamples))
+    rows = dealt.select("*", F.explode(F.sequence(F.col("c") * 32 + 1, last)).alias("b"))
     total = F.aggregate(F.sequence(F.lit(1), F.size("g")), F.lit(0.0), lambda a, i: a + F.get("g", draw(F.col("b"), i)))
     up = rows.select(key, "cases", "mean_gain", F.exists("g", lambda x: x != 0).alias("any"), (total > 0).alias("up"))
     found = up.groupBy(key, "cases", "mean_gain", "any").agg((F.count_if("up") / F.lit(resamples)).alias("p"))
