@@ -3,7 +3,9 @@
 Word weights come from document frequencies over all documents, counted in a table of fixed size. The
 TF-IDF matrix of the benchmark's passages is factored by a distributed randomised SVD. Every passage
 of every document, overlapping runs of words, is projected into the latent space and compared by
-cosine with all benchmark items; passages near an item are checked by the longest common subsequence
+cosine with all benchmark items. Two exact searches stand beside it, which no word's frequency and no
+item's length weakens: for runs of up to three words that an item and a text share, and for the most
+telling word of an item. Passages near an item are checked by the longest common subsequence
 of words, and for paraphrases also for the item's answer, its most telling words.
 
 Each document is judged where it is read. Only the weights, the factors and the items go to the
@@ -13,6 +15,7 @@ a larger benchmark takes further blocks over the same rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.blocks import Distinct, hashes, mix
+from evalloom.llm.blocks import Distinct, hashes, mix, rolled
 from evalloom.llm.tokens import parts
 from evalloom.session import ship_package
 
 SLOTS = 1 << 16
 CHUNK = 1 << 12
+FLOOR = 0.1  # weight of a word that every document holds
+RUN = 3  # words
+DENSE = 512
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -167,6 +173,102 @@ class Item:
     item_id: int
     words: list[bytes]
     answer: frozenset[bytes]
+    telling: bytes
+
+
+def run_length(size: int, copy: float) -> tuple[int, int]:
+    """Words in a run, and how many of an item's runs any copy keeps whole: each word that a copy may
+    lack or replace breaks at most as many runs as a run has words."""
+    lost = size - math.ceil(copy * size - 1e-9)
+    for n in range(min(RUN, size), 0, -1):
+        kept = size - n + 1 - n * lost
+        if kept > 0:
+            return n, kept
+    return 1, 1
+
+
+class Index:
+    """Where each key occurs: (item, place in the item) by 64-bit key."""
+
+    def __init__(self, keys: np.ndarray, item: np.ndarray, at: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.bounds = np.append(first, len(keys))
+        self.item, self.at = item[order], at[order]
+        bits = min(24, max(16, 4 + len(self.keys).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.some = np.zeros(1 << bits, bool)
+        self.some[self.keys >> self.shift] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among ``keys``, item, place in the item) of every match."""
+        near = np.flatnonzero(self.some[keys >> self.shift])
+        key = np.searchsorted(self.keys, keys[near])
+        same = self.keys[np.minimum(key, len(self.keys) - 1)] == keys[near]
+        near, key = near[same], key[same]
+        n = self.bounds[key + 1] - self.bounds[key]
+        at = np.arange(n.sum()) + np.repeat(self.bounds[key] - (np.cumsum(n) - n), n)
+        return np.repeat(near, n), self.item[at], self.at[at]
+
+
+def _runs(keys: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each word on."""
+    return mix(rolled(keys, n)[: max(0, len(keys) - n + 1)])
+
+
+def _index(entries: list[tuple[np.ndarray, int, np.ndarray]]) -> Index:
+    keys, item, at = zip(*entries, strict=True)
+    return Index(np.concatenate(keys), np.repeat(np.array(item), [len(k) for k in keys]), np.concatenate(at))
+
+
+class Exact:
+    """Runs of words and telling words of one block of items, by hash."""
+
+    def __init__(self, items: list[Item], copy: float):
+        runs: dict[int, list] = {}
+        telling = []
+        self.sizes = np.array([len(i.words) for i in items], np.int64)
+        self.kept = np.zeros(len(items), np.int64)
+        for k, item in enumerate(items):
+            n, self.kept[k] = run_length(len(item.words), copy)
+            keys = hashes(item.words)
+            mine = _runs(keys, n)
+            runs.setdefault(n, []).append((mine, k, np.arange(len(mine))))
+            at = np.flatnonzero(keys == hashes([item.telling])[0])
+            telling.append((keys[at], k, at))
+        self.runs = {n: _index(x) for n, x in sorted(runs.items())}
+        self.telling = _index(telling)
+
+    def find(self, keys: np.ndarray, text: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word at which the item would begin, item), from the hash, text and place of every word."""
+        out = []
+        for n, index in self.runs.items():
+            if len(keys) < n:
+                continue
+            pos, item, at = index.find(_runs(keys, n))
+            inside = text[pos] == text[pos + n - 1]
+            pos, item, at = pos[inside], item[inside], at[inside]
+            out.append([x[self._enough(text[pos], item, within[pos] - at, at)] for x in (text[pos], within[pos] - at, item)])
+        pos, item, at = self.telling.find(keys)
+        out.append([text[pos], within[pos] - at, item])
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _enough(self, text: np.ndarray, item: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which runs have enough others of their item near them: in a stretch as long as the item or in the two together
+        with one of its neighbours."""
+        if not len(text):
+            return np.zeros(0, bool)
+        size = self.sizes[item]
+        stretch = (begin + size) // size
+        pair = np.unique(text * len(self.sizes) + item, return_inverse=True)[1]
+        key, group = np.unique(pair * (stretch.max() + 2) + stretch, return_inverse=True)
+        n = np.bincount(np.unique(group * size.max() + at) // size.max(), minlength=len(key))
+        total = n.copy()
+        next_to = np.flatnonzero(np.diff(key) == 1)
+        total[next_to] += n[next_to + 1]
+        before = np.zeros(len(key), np.int64)
+        before[next_to + 1] = n[next_to]
+        return np.maximum(total, n + before)[group] >= self.kept[item]
 
 
 class Lexicon:
@@ -174,11 +276,16 @@ class Lexicon:
 
     def __init__(self, idf: np.ndarray, slots: np.ndarray, factors: np.ndarray, items: list[Item], params: Params):
         self.idf, self.items, self.p = idf.astype(np.float32), items, params
+        order = np.argsort(idf[slots], kind="stable")  # words of most documents first
+        slots, factors = slots[order], factors[order]
         self.place = np.full(SLOTS, -1, np.int32)
         self.place[slots] = np.arange(len(slots))
         self.factors = factors
+        self.weighted = (factors * idf[slots][:, None]).astype(np.float32)
+        self.exact = Exact(items, params.copy)
+        by_slot = np.argsort(slots)
         a = _rows([b" ".join(i.words) for i in items], idf)
-        latent, _ = _project(a, len(items), (slots, factors), factors.shape[1])
+        latent, _ = _project(a, len(items), (slots[by_slot], factors[by_slot]), factors.shape[1])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def leaks(self, texts: list[bytes]) -> list[list[tuple[int, float, float, int]]]:
@@ -209,23 +316,14 @@ class Lexicon:
         sizes = np.array([len(w) for w in split], np.int64)
         n_blocks = -(-sizes // p.stride)
         begin = np.cumsum(n_blocks) - n_blocks
-        slot = slots_of([w for words in split for w in words])
-        if not len(slot):
+        keys = hashes([w for words in split for w in words])
+        if not len(keys):
             return
+        slot = (keys % np.uint64(SLOTS)).astype(np.int64)
         within = np.arange(len(slot)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         block = np.repeat(begin, sizes) + within // p.stride
-        weight = self.idf[slot]
-        full = np.bincount(block, weight.astype(np.float64) ** 2, n_blocks.sum())
-        known = np.flatnonzero((self.place[slot] >= 0) & (weight > 0))
-        sums = np.zeros((len(full), self.factors.shape[1]), np.float32)
-        if len(known):
-            of = block[known]
-            last = np.flatnonzero(np.diff(of, append=-1))
-            rows = self.factors[self.place[slot[known]]]
-            rows *= weight[known][:, None]
-            running = np.cumsum(rows, axis=0, out=rows)[last]
-            running[1:] -= running[:-1].copy()
-            sums[of[last]] = running
+        full = np.bincount(block, self.idf[slot].astype(np.float64) ** 2, n_blocks.sum())
+        sums = self._sums(block, self.place[slot], len(full))
         text = np.repeat(np.arange(len(split)), n_blocks)
         total, norm = sums.copy(), full.copy()
         for k in range(1, p.passage // p.stride):
@@ -234,10 +332,33 @@ class Lexicon:
             norm[same] += full[same + k]
         cosines = total @ self.latent.T / np.sqrt(np.maximum(norm, 1e-9))[:, None]
         near = np.argwhere(cosines >= p.cosine)
-        for i in np.unique(text[near[:, 0]]).tolist():
-            mine = near[text[near[:, 0]] == i]
+        of, first, item = self.exact.find(keys, np.repeat(np.arange(len(split)), sizes), within)
+        first = np.maximum(first, 0) // p.stride
+        near = np.unique(np.concatenate([near, np.column_stack([begin[of] + first, item])]), axis=0)
+        bounds = np.searchsorted(text[near[:, 0]], np.arange(len(split) + 1))
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            mine = near[bounds[i] : bounds[i + 1]]
             yield i, [((b - begin[i]).item() * p.stride, k) for b, k in zip(mine[:, 0], mine[:, 1].tolist(), strict=True)]
 
+    def _sums(self, block: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        """Sum of the weighted factors of each block's words, some blocks at a time: by a product with the counts for the
+        words of most documents, row by row for others."""
+        out = np.zeros((n, self.weighted.shape[1]), np.float32)
+        dense = min(DENSE, len(self.weighted))
+        if not dense:
+            return out
+        cuts = np.searchsorted(block, np.arange(0, n + 1024, 1024))
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            of, at, part = block[a:b] - i * 1024, place[a:b], out[i * 1024 : (i + 1) * 1024]
+            often = (at >= 0) & (at < dense)
+            counts = np.bincount(of[often] * dense + at[often], minlength=len(part) * dense)
+            part += counts.reshape(len(part), dense).astype(np.float32) @ self.weighted[:dense]
+            rest = np.flatnonzero(at >= dense)
+            if len(rest):
+                first = np.flatnonzero(np.diff(of[rest], prepend=-1))
+                part[of[rest[first]]] += np.add.reduceat(self.weighted[at[rest]], first, axis=0)
+        return out
+
     def _checked(self, words: list[bytes], found: list[tuple[int, int]]) -> list[tuple[int, float, float, int]]:
         p, best = self.p, {}
         for a, k in found:
@@ -278,8 +399,7 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
 @dataclass(frozen=True)
 class Params:
     """Passages of ``passage`` words every ``stride`` words (a divisor of it); ``cosine`` to become a candidate; the share
-    of an item's words that must follow in order, for a copy and, with its answer, for a paraphrase; the
-    share of documents from which on a word has no weight."""
+    of an item's words that must follow in order, for a copy and, with its answer, for a paraphrase."""
 
     passage: int = 48
     stride: int = 24
@@ -287,7 +407,6 @@ class Params:
     copy: float = 0.8
     paraphrase: float = 0.6
     answer_words: int = 3
-    common: float = 0.1
     rank: int = 256
     block_items: int = 20_000
 
@@ -299,8 +418,8 @@ class Decontaminator:
         items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
         self.items = items.filter("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])
         n, df = document_frequency(docs, text_col)
-        # Words of very many documents say nothing about a passage.
-        self.idf = np.where(df > self.params.common * n, 0.0, np.log((n + 1) / (df + 1)))
+        # Every word counts: a leak may stand in most documents.
+        self.idf = np.log((n + 1) / (df + 1)) + FLOOR
         rank = int(min(self.params.rank, max(1, self.items.count())))
         self.factors = randomised_svd(self.items, "text", self.idf, rank)
 
@@ -311,7 +430,7 @@ class Decontaminator:
             words = words_of(row["text"].encode())
             if words:
                 order = sorted(set(words), key=lambda w: (-self.idf[slots_of([w])[0]], w))
-                block.append(Item(row["item_id"], words, frozenset(order[: p.answer_words])))
+                block.append(Item(row["item_id"], words, frozenset(order[: p.answer_words]), order[0]))
             if len(block) == p.block_items:
                 yield Lexicon(self.idf, *self.factors, block, p)
                 block = []
