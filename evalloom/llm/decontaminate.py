@@ -10,11 +10,13 @@ of words, and for paraphrases also for the item's answer, its most telling words
 
 Each document is judged where it is read. Only the weights, the factors and the items go to the
 workers: their size depends on the tables' fixed sizes and on the items in a block, which is bounded;
-a larger benchmark takes further blocks over the same rows.
+a larger benchmark takes further blocks over the same rows. The rank follows the items: a block's items are factored in
+groups of bounded size, each to full rank, so a copy's cosine does not shrink as the benchmark grows.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -271,22 +273,49 @@ class Exact:
         return np.maximum(total, n + before)[group] >= self.kept[item]
 
 
-class Lexicon:
-    """Weights, factors and one block of items, as the workers use them."""
+class Factors:
+    """Factors of some items, as many as there are items, and the items' places in them."""
 
-    def __init__(self, idf: np.ndarray, slots: np.ndarray, factors: np.ndarray, items: list[Item], params: Params):
-        self.idf, self.items, self.p = idf.astype(np.float32), items, params
+    def __init__(self, idf: np.ndarray, slots: np.ndarray, factors: np.ndarray, first: int, texts: list[bytes]):
+        self.first = first  # of these items in the block
+        a = _rows(texts, idf)
+        latent, _ = _project(a, len(texts), (slots, factors), factors.shape[1])
+        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         order = np.argsort(idf[slots], kind="stable")  # words of most documents first
-        slots, factors = slots[order], factors[order]
         self.place = np.full(SLOTS, -1, np.int32)
-        self.place[slots] = np.arange(len(slots))
-        self.factors = factors
-        self.weighted = (factors * idf[slots][:, None]).astype(np.float32)
+        self.place[slots[order]] = np.arange(len(slots))
+        self.weighted = (factors[order] * idf[slots[order]][:, None]).astype(np.float32)
+
+    def sums(self, block: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+        """Sum of the weighted factors of each block's words, some blocks at a time: by a product with the counts for the
+        words of most documents, row by row for others."""
+        out = np.zeros((n, self.weighted.shape[1]), np.float32)
+        dense = min(DENSE, len(self.weighted))
+        if not dense:
+            return out
+        cuts = np.searchsorted(block, np.arange(0, n + 1024, 1024))
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            of, at, part = block[a:b] - i * 1024, self.place[slot[a:b]], out[i * 1024 : (i + 1) * 1024]
+            often = (at >= 0) & (at < dense)
+            counts = np.bincount(of[often] * dense + at[often], minlength=len(part) * dense)
+            part += counts.reshape(len(part), dense).astype(np.float32) @ self.weighted[:dense]
+            rest = np.flatnonzero(at >= dense)
+            if len(rest):
+                first = np.flatnonzero(np.diff(of[rest], prepend=-1))
+                part[of[rest[first]]] += np.add.reduceat(self.weighted[at[rest]], first, axis=0)
+        return out
+
+    def vector(self, slots: np.ndarray, times: np.ndarray) -> np.ndarray:
+        ok = self.place[slots] >= 0
+        return (1 + np.log(times[ok])) @ self.weighted[self.place[slots[ok]]]
+
+
+class Lexicon:
+    """Weights, factors and one block of items, as the workers use them."""
+
+    def __init__(self, idf: np.ndarray, groups: list[Factors], items: list[Item], params: Params):
+        self.idf, self.groups, self.items, self.p = idf.astype(np.float32), groups, items, params
         self.exact = Exact(items, params.copy)
-        by_slot = np.argsort(slots)
-        a = _rows([b" ".join(i.words) for i in items], idf)
-        latent, _ = _project(a, len(items), (slots[by_slot], factors[by_slot]), factors.shape[1])
-        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def leaks(self, texts: list[bytes]) -> list[list[tuple[int, float, float, int]]]:
         """For every text (item, cosine, common part, first word) of the items that it holds.
@@ -323,42 +352,27 @@ class Lexicon:
         within = np.arange(len(slot)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         block = np.repeat(begin, sizes) + within // p.stride
         full = np.bincount(block, self.idf[slot].astype(np.float64) ** 2, n_blocks.sum())
-        sums = self._sums(block, self.place[slot], len(full))
         text = np.repeat(np.arange(len(split)), n_blocks)
-        total, norm = sums.copy(), full.copy()
-        for k in range(1, p.passage // p.stride):
-            same = np.flatnonzero(text[k:] == text[:-k])
-            total[same] += sums[same + k]
-            norm[same] += full[same + k]
-        cosines = total @ self.latent.T / np.sqrt(np.maximum(norm, 1e-9))[:, None]
-        near = np.argwhere(cosines >= p.cosine)
+        same = [np.flatnonzero(text[k:] == text[:-k]) for k in range(1, p.passage // p.stride)]
+        norm = full.copy()
+        for k, at in enumerate(same, 1):
+            norm[at] += full[at + k]
+        norm = np.sqrt(np.maximum(norm, 1e-9))[:, None]
+        near = []
+        for group in self.groups:
+            sums = group.sums(block, slot, len(full))
+            total = sums.copy()
+            for k, at in enumerate(same, 1):
+                total[at] += sums[at + k]
+            near.append(np.argwhere(total @ group.latent.T / norm >= p.cosine) + [0, group.first])
         of, first, item = self.exact.find(keys, np.repeat(np.arange(len(split)), sizes), within)
         first = np.maximum(first, 0) // p.stride
-        near = np.unique(np.concatenate([near, np.column_stack([begin[of] + first, item])]), axis=0)
+        near = np.unique(np.concatenate([*near, np.column_stack([begin[of] + first, item])]), axis=0)
         bounds = np.searchsorted(text[near[:, 0]], np.arange(len(split) + 1))
         for i in np.flatnonzero(np.diff(bounds)).tolist():
             mine = near[bounds[i] : bounds[i + 1]]
             yield i, [((b - begin[i]).item() * p.stride, k) for b, k in zip(mine[:, 0], mine[:, 1].tolist(), strict=True)]
 
-    def _sums(self, block: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-        """Sum of the weighted factors of each block's words, some blocks at a time: by a product with the counts for the
-        words of most documents, row by row for others."""
-        out = np.zeros((n, self.weighted.shape[1]), np.float32)
-        dense = min(DENSE, len(self.weighted))
-        if not dense:
-            return out
-        cuts = np.searchsorted(block, np.arange(0, n + 1024, 1024))
-        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            of, at, part = block[a:b] - i * 1024, place[a:b], out[i * 1024 : (i + 1) * 1024]
-            often = (at >= 0) & (at < dense)
-            counts = np.bincount(of[often] * dense + at[often], minlength=len(part) * dense)
-            part += counts.reshape(len(part), dense).astype(np.float32) @ self.weighted[:dense]
-            rest = np.flatnonzero(at >= dense)
-            if len(rest):
-                first = np.flatnonzero(np.diff(of[rest], prepend=-1))
-                part[of[rest[first]]] += np.add.reduceat(self.weighted[at[rest]], first, axis=0)
-        return out
-
     def _checked(self, words: list[bytes], found: list[tuple[int, int]]) -> list[tuple[int, float, float, int]]:
         p, best = self.p, {}
         for a, k in found:
@@ -376,11 +390,10 @@ class Lexicon:
 
     def cosine(self, words: list[bytes], k: int) -> float:
         """Latent cosine of a passage with an item."""
+        group = self.groups[bisect.bisect_right(self.groups, k, key=lambda g: g.first) - 1]
         slots, times = np.unique(slots_of(words), return_counts=True)
         value = (1 + np.log(times)) * self.idf[slots]
-        ok = self.place[slots] >= 0
-        vector = value[ok] @ self.factors[self.place[slots[ok]]]
-        return float(self.latent[k] @ vector / max(1e-9, float(np.sqrt((value**2).sum()))))
+        return float(group.latent[k - group.first] @ group.vector(slots, times) / max(1e-9, float(np.sqrt((value**2).sum()))))
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -399,7 +412,9 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
 @dataclass(frozen=True)
 class Params:
     """Passages of ``passage`` words every ``stride`` words (a divisor of it); ``cosine`` to become a candidate; the share
-    of an item's words that must follow in order, for a copy and, with its answer, for a paraphrase."""
+    of an item's words that must follow in order, for a copy and, with its answer, for a paraphrase.
+    Items are factored ``rank`` at a time, to full rank; a block holds up to ``block_items`` items in up to ``block_groups``
+    such groups."""
 
     passage: int = 48
     stride: int = 24
@@ -409,6 +424,7 @@ class Params:
     answer_words: int = 3
     rank: int = 256
     block_items: int = 20_000
+    block_groups: int = 8
 
 
 class Decontaminator:
@@ -420,22 +436,31 @@ class Decontaminator:
         n, df = document_frequency(docs, text_col)
         # Every word counts: a leak may stand in most documents.
         self.idf = np.log((n + 1) / (df + 1)) + FLOOR
-        rank = int(min(self.params.rank, max(1, self.items.count())))
-        self.factors = randomised_svd(self.items, "text", self.idf, rank)
 
     def _blocks(self) -> Iterator[Lexicon]:
         """Blocks of items in the order of their ids; one block at a time is on the driver."""
-        p, block = self.params, []
+        p, block, groups, first = self.params, [], [], 0
         for row in self.items.orderBy("item_id", "text").toLocalIterator():
             words = words_of(row["text"].encode())
             if words:
                 order = sorted(set(words), key=lambda w: (-self.idf[slots_of([w])[0]], w))
                 block.append(Item(row["item_id"], words, frozenset(order[: p.answer_words]), order[0]))
-            if len(block) == p.block_items:
-                yield Lexicon(self.idf, *self.factors, block, p)
-                block = []
+            if len(block) - first == p.rank:
+                groups.append(self._factors(block, first))
+                first = len(block)
+            if len(block) == p.block_items or len(groups) == p.block_groups:
+                groups += [self._factors(block, first)] if first < len(block) else []
+                yield Lexicon(self.idf, groups, block, p)
+                block, groups, first = [], [], 0
         if block:
-            yield Lexicon(self.idf, *self.factors, block, p)
+            groups += [self._factors(block, first)] if first < len(block) else []
+            yield Lexicon(self.idf, groups, block, p)
+
+    def _factors(self, block: list[Item], first: int) -> Factors:
+        """Of the items from ``first`` on, to full rank."""
+        texts = [b" ".join(i.words) for i in block[first:]]
+        rows = self.spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
+        return Factors(self.idf, *randomised_svd(rows, "text", self.idf, len(texts)), first, texts)
 
     def leaks(self, text: Column) -> Column:
         """Array of the leaks in a text column: item, cosine, common share and first word."""

@@ -44,3 +44,21 @@ def test_exact_search_against_a_plain_one():
         for k, item in enumerate(items):
             for a in range(len(text) - len(item) + 1):
                 assert text[a : a + len(item)] != item or (t, a, k) in got
+
+
+def test_copies_of_a_large_benchmark_reach_the_latent_cut(spark):
+    """The latent search alone, without the exact one, finds copies among more items than one group's rank."""
+    rng = random.Random(8)
+    items = [" ".join(rng.sample(vocabulary(4000), 20)) for _ in range(120)]
+    texts = [" ".join([*rng.choices(vocabulary(4000), k=60), item, *rng.choices(vocabulary(4000), k=60)]) for item in items]
+    docs, benchmark = frame(spark, [*enumerate(texts)]), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    params = dc.Params(rank=8, block_groups=6)
+    found = dc.Decontaminator(docs, benchmark, params=params)
+    missed = {i for i in range(120)}
+    for lexicon in found._blocks():
+        lexicon.exact.find = lambda *_: (dc.np.zeros(0, int),) * 3
+        for i, leaks in enumerate(lexicon.leaks([t.encode() for t in texts])):
+            missed -= {i} & {x[0] for x in leaks}
+    assert len(missed) <= 3
+    got = {(r["doc_id"], r["item_id"]) for r in dc.decontaminate(docs, benchmark, params=params).collect()}
+    assert got == {(i, i) for i in range(120)}
