@@ -10,13 +10,14 @@ of words, and for paraphrases also for the item's answer, its most telling words
 
 Each document is judged where it is read. Only the weights, the factors and the items go to the
 workers: their size depends on the tables' fixed sizes and on the items in a block, which is bounded;
-a larger benchmark takes further blocks over the same rows. The rank follows the items: a block's items are factored in
-groups of bounded size, each to full rank, so a copy's cosine does not shrink as the benchmark grows.
+a larger benchmark takes further blocks over the same rows. Items are cut into passages like documents. The rank follows
+them: they are factored in groups of bounded size, each to full rank, so a copy's cosine shrinks neither with the size of
+the benchmark nor with the length of an item. Of items much shorter than a passage the exact searches find
+the copies that it misses.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -175,7 +176,7 @@ class Item:
     item_id: int
     words: list[bytes]
     answer: frozenset[bytes]
-    telling: bytes
+    telling: tuple[bytes, ...]
 
 
 def run_length(size: int, copy: float) -> tuple[int, int]:
@@ -224,7 +225,8 @@ def _index(entries: list[tuple[np.ndarray, int, np.ndarray]]) -> Index:
 
 
 class Exact:
-    """Runs of words and telling words of one block of items, by hash."""
+    """Runs of words and telling words of one block of items, by hash. An item of up to ``stride`` words has one telling
+    word more than a copy may lack, so every copy holds one of them, however it is spread."""
 
     def __init__(self, items: list[Item], copy: float):
         runs: dict[int, list] = {}
@@ -236,7 +238,7 @@ class Exact:
             keys = hashes(item.words)
             mine = _runs(keys, n)
             runs.setdefault(n, []).append((mine, k, np.arange(len(mine))))
-            at = np.flatnonzero(keys == hashes([item.telling])[0])
+            at = np.flatnonzero(np.isin(keys, hashes(list(item.telling))))
             telling.append((keys[at], k, at))
         self.runs = {n: _index(x) for n, x in sorted(runs.items())}
         self.telling = _index(telling)
@@ -273,11 +275,16 @@ class Exact:
         return np.maximum(total, n + before)[group] >= self.kept[item]
 
 
+def passages(size: int, length: int, stride: int) -> list[int]:
+    """First words of an item's passages of ``length`` words; the last one ends with the item."""
+    return [*range(0, max(1, size - length), stride), *([size - length] if size > length else [])]
+
+
 class Factors:
-    """Factors of some items, as many as there are items, and the items' places in them."""
+    """Factors of some passages of items, as many as there are passages, their places in them and their items."""
 
-    def __init__(self, idf: np.ndarray, slots: np.ndarray, factors: np.ndarray, first: int, texts: list[bytes]):
-        self.first = first  # of these items in the block
+    def __init__(self, idf: np.ndarray, slots: np.ndarray, factors: np.ndarray, item: list[int], texts: list[bytes]):
+        self.item = np.array(item)
         a = _rows(texts, idf)
         latent, _ = _project(a, len(texts), (slots, factors), factors.shape[1])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -364,7 +371,8 @@ class Lexicon:
             total = sums.copy()
             for k, at in enumerate(same, 1):
                 total[at] += sums[at + k]
-            near.append(np.argwhere(total @ group.latent.T / norm >= p.cosine) + [0, group.first])
+            near.append(np.argwhere(total @ group.latent.T / norm >= p.cosine))
+            near[-1][:, 1] = group.item[near[-1][:, 1]]
         of, first, item = self.exact.find(keys, np.repeat(np.arange(len(split)), sizes), within)
         first = np.maximum(first, 0) // p.stride
         near = np.unique(np.concatenate([*near, np.column_stack([begin[of] + first, item])]), axis=0)
@@ -389,11 +397,11 @@ class Lexicon:
         return [(self.items[k].item_id, *v) for k, v in sorted(best.items())]
 
     def cosine(self, words: list[bytes], k: int) -> float:
-        """Latent cosine of a passage with an item."""
-        group = self.groups[bisect.bisect_right(self.groups, k, key=lambda g: g.first) - 1]
+        """Latent cosine of a passage with the nearest of an item's."""
         slots, times = np.unique(slots_of(words), return_counts=True)
         value = (1 + np.log(times)) * self.idf[slots]
-        return float(group.latent[k - group.first] @ group.vector(slots, times) / max(1e-9, float(np.sqrt((value**2).sum()))))
+        best = max((group.latent[group.item == k] @ group.vector(slots, times)).max() for group in self.groups if k in group.item)
+        return float(best / max(1e-9, float(np.sqrt((value**2).sum()))))
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -413,8 +421,8 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
 class Params:
     """Passages of ``passage`` words every ``stride`` words (a divisor of it); ``cosine`` to become a candidate; the share
     of an item's words that must follow in order, for a copy and, with its answer, for a paraphrase.
-    Items are factored ``rank`` at a time, to full rank; a block holds up to ``block_items`` items in up to ``block_groups``
-    such groups."""
+    Passages of items, cut as those of documents, are factored ``rank`` at a time, to full rank; a block holds up to ``block_items`` items, or as many as fill
+    ``block_groups`` such groups."""
 
     passage: int = 48
     stride: int = 24
@@ -439,28 +447,29 @@ class Decontaminator:
 
     def _blocks(self) -> Iterator[Lexicon]:
         """Blocks of items in the order of their ids; one block at a time is on the driver."""
-        p, block, groups, first = self.params, [], [], 0
+        p, block, cut = self.params, [], []
         for row in self.items.orderBy("item_id", "text").toLocalIterator():
             words = words_of(row["text"].encode())
-            if words:
-                order = sorted(set(words), key=lambda w: (-self.idf[slots_of([w])[0]], w))
-                block.append(Item(row["item_id"], words, frozenset(order[: p.answer_words]), order[0]))
-            if len(block) - first == p.rank:
-                groups.append(self._factors(block, first))
-                first = len(block)
-            if len(block) == p.block_items or len(groups) == p.block_groups:
-                groups += [self._factors(block, first)] if first < len(block) else []
-                yield Lexicon(self.idf, groups, block, p)
-                block, groups, first = [], [], 0
+            if not words:
+                continue
+            order = sorted(set(words), key=lambda w: (-self.idf[slots_of([w])[0]], w))
+            lost = len(words) - math.ceil(p.copy * len(words) - 1e-9) if len(words) <= p.stride else 0
+            cut += [(len(block), b" ".join(words[a : a + p.passage])) for a in passages(len(words), p.passage, p.stride)]
+            block.append(Item(row["item_id"], words, frozenset(order[: p.answer_words]), tuple(order[: lost + 1])))
+            if len(block) == p.block_items or len(cut) >= p.block_groups * p.rank:
+                yield Lexicon(self.idf, self._groups(cut), block, p)
+                block, cut = [], []
         if block:
-            groups += [self._factors(block, first)] if first < len(block) else []
-            yield Lexicon(self.idf, groups, block, p)
-
-    def _factors(self, block: list[Item], first: int) -> Factors:
-        """Of the items from ``first`` on, to full rank."""
-        texts = [b" ".join(i.words) for i in block[first:]]
-        rows = self.spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
-        return Factors(self.idf, *randomised_svd(rows, "text", self.idf, len(texts)), first, texts)
+            yield Lexicon(self.idf, self._groups(cut), block, p)
+
+    def _groups(self, cut: list[tuple[int, bytes]]) -> list[Factors]:
+        """Factors of passages (item, text), each group to full rank."""
+        out, n = [], -(-len(cut) // self.params.rank)
+        for i in range(n):
+            item, texts = zip(*cut[i * len(cut) // n : (i + 1) * len(cut) // n], strict=True)
+            rows = self.spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
+            out.append(Factors(self.idf, *randomised_svd(rows, "text", self.idf, len(texts)), list(item), list(texts)))
+        return out
 
     def leaks(self, text: Column) -> Column:
         """Array of the leaks in a text column: item, cosine, common share and first word."""

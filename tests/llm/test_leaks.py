@@ -36,7 +36,7 @@ def test_exact_search_against_a_plain_one():
     items = [[rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(n)] for n in (1, 2, 3, 5, 8, 12)]
     texts = [[rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(n)] for n in (0, 1, 4, 40, 90)]
     texts.append([*texts[4], *items[5], b"e"])
-    found = dc.Exact([dc.Item(i, w, frozenset(), w[0]) for i, w in enumerate(items)], 0.8)
+    found = dc.Exact([dc.Item(i, w, frozenset(), (w[0],)) for i, w in enumerate(items)], 0.8)
     sizes = [len(t) for t in texts]
     got = found.find(dc.hashes(sum(texts, [])), dc.np.repeat(range(len(texts)), sizes), dc.np.concatenate([dc.np.arange(n) for n in sizes]))
     got = set(zip(*(x.tolist() for x in got)))
@@ -62,3 +62,48 @@ def test_copies_of_a_large_benchmark_reach_the_latent_cut(spark):
     assert len(missed) <= 3
     got = {(r["doc_id"], r["item_id"]) for r in dc.decontaminate(docs, benchmark, params=params).collect()}
     assert got == {(i, i) for i in range(120)}
+
+
+def test_passages_cover_an_item():
+    assert dc.passages(5, 48, 24) == dc.passages(48, 48, 24) == [0]
+    for size in range(49, 300):
+        found = dc.passages(size, 48, 24)
+        assert found[0] == 0 and found[-1] + 48 == size and max(b - a for a, b in zip(found, found[1:])) <= 24
+
+
+def test_long_and_short_items(spark):
+    rng = random.Random(9)
+    sizes = (1, 2, 3, 4, 5, 6, 8, 12, 300, 1000)
+    words = vocabulary(6000)
+    items = [rng.sample(words, n) for n in sizes]
+    taken = {w for x in items for w in x[:12]}
+    other = [w for w in words if w not in taken]
+    texts = [" ".join([*rng.choices(other, k=70), *item, *rng.choices(other, k=70)]) for item in items]
+    spread = list(items[6])
+    spread[3] = "other"  # one of eight words replaced, a foreign one between any two
+    texts.append(" ".join([*rng.choices(other, k=50), *(x for w in spread for x in (w, "foreign")), *rng.choices(other, k=50)]))
+    changed = list(items[9])
+    changed[::6] = ["other"] * len(changed[::6])
+    texts.append(" ".join(changed))
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = frame(spark, [*enumerate(texts)])
+    got = {(r["doc_id"], r["item_id"]) for r in dc.decontaminate(docs, benchmark).collect()}
+    assert {*((i, i) for i in range(len(items))), (10, 6), (11, 9)} <= got
+    # The latent search alone finds the long ones.
+    (lexicon,) = dc.Decontaminator(docs, benchmark)._blocks()
+    lexicon.exact.find = lambda *_: (dc.np.zeros(0, int),) * 3
+    assert all(i in {x[0] for x in lexicon.leaks([texts[i].encode()])[0]} for i in (8, 9))
+
+
+def test_the_planted_paraphrase_is_found(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(vocabulary(3000), k=200)) for _ in range(120)]
+    item = rng.sample(vocabulary(3000), 60)
+    docs = frame(spark, [*enumerate(texts)])
+    idf = dc.Decontaminator(docs, spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")).idf
+    answer = sorted(item, key=lambda w: (-idf[dc.slots_of([w.encode()])[0]], w))[:3]
+    changed = [w if i % 3 or w in answer else "other" for i, w in enumerate(item)]  # a third of the words
+    rows = [*enumerate(texts), (200, " ".join([*texts[77].split(), *changed]))]
+    benchmark = spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")
+    found = dc.decontaminate(frame(spark, rows), benchmark, params=dc.Params(copy=0.9))
+    assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(200, 2)]
