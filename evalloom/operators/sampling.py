@@ -15,14 +15,19 @@ def select_records(metrics: DataFrame, categories: list[str], count: int, seed:
 
     ``metrics`` has record_id, group_id, task_id, trial, event_count, tool_error_count and categories. Until
     the last step records, groups and tasks are taken once; the rarest trial goes first, then the length next to
-    ``target_events``, then a hash. The choice is sequential: each of the ``count`` steps is one query that returns one
-    row, and what the driver keeps is what was chosen.
+    ``target_events``, then a hash. The choice is sequential: each step is one query that returns one row, or two for a
+    group, and what the driver keeps is what was chosen.
     """
     rows = checkpoint(metrics)
     if not 1 <= count < rows.count():
         raise ValueError("count must leave at least one record")
     chosen: list = []
 
+    def left(free: DataFrame, diverse: bool = True) -> DataFrame:
+        for c in ("record_id", "group_id", "task_id") if diverse else ("record_id",):
+            free = free.filter(~F.col(c).isin([r[c] for r in chosen])) if chosen else free
+        return free
+
     def pick(condition: Column, stratum: str, diverse: bool = True) -> None:
         if len(chosen) >= count:
             return
@@ -32,9 +37,7 @@ def select_records(metrics: DataFrame, categories: list[str], count: int, seed:
         used = F.col("trial") * 0
         for trial, n in trials.items():
             used = F.when(F.col("trial") == trial, n).otherwise(used)
-        free = rows.filter(condition)
-        for c in ("record_id", "group_id", "task_id") if diverse else ("record_id",):
-            free = free.filter(~F.col(c).isin([r[c] for r in chosen])) if chosen else free
+        free = left(rows.filter(condition), diverse)
         key = stable_hash(F.lit(seed), F.lit(stratum), F.col("record_id"))
         best = free.orderBy(used, F.abs(F.col("event_count") - target_events), key).first()
         if best:
@@ -45,12 +48,13 @@ def select_records(metrics: DataFrame, categories: list[str], count: int, seed:
     pick(F.size("categories") == 0, "operation:no_consequential_action")
     pick(F.col("tool_error_count") > 0, "shape:tool_error")
     pick(F.size("categories") >= 2, "shape:multi_action")
-    if len(chosen) < count:
-        taken = [r["group_id"] for r in chosen]
-        groups = rows.filter(~F.col("group_id").isin(taken)) if taken else rows
-        order = stable_hash(F.lit(seed), F.lit("group"), F.col("group_id"))
-        for g in groups.select("group_id").distinct().orderBy(order).limit(2 * count).collect():
-            pick(F.col("group_id") == g["group_id"], "group_coverage")
+    order = stable_hash(F.lit(seed), F.lit("group"), F.col("group_id"))
+    while len(chosen) < count:
+        # A group without an eligible record now has none later, so the next one that has is the first in order.
+        group = left(rows).filter("group_id is not null").orderBy(order, "group_id").first()
+        if not group:
+            break
+        pick(F.col("group_id") == group["group_id"], "group_coverage")
     while len(chosen) < count:
         pick(F.lit(True), "fill", diverse=False)
     out = rows.sparkSession.createDataFrame([(r["record_id"], r["stratum"]) for r in chosen], "record_id string, stratum string")
