@@ -101,13 +101,14 @@ class LanguageModel:
 def _plain(score: np.ndarray, switch: float) -> int | None:
     """The language of a text whose best path has no switch, where that is easily seen.
 
-    With no stretch of words on which another language gains as much as one switch costs, no path
-    with switches can win.
+    A path with m switches has at most m + 1 stretches off the best single language. With no stretch
+    of words on which another language gains half of what one switch costs, their gains stay below
+    (m + 1) / 2 <= m switches, so no path with switches can win.
     """
     best = int(score.sum(axis=0).argmax())
     gain = np.cumsum(score - score[:, best : best + 1], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros((1, gain.shape[1])), gain[:-1]]), axis=0)
-    return best if (gain - low).max() < switch else None
+    return best if (gain - low).max() < switch / 2 else None
 
 
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
