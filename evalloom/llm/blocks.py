@@ -2,13 +2,16 @@
 
 Several operators ask one question of every window of the corpus: does this hash occur elsewhere?
 Rows of (hash, document, position) would move many times the input. Here the documents are dealt into
-*blocks*, contiguous ranges of doc_id of about equal bytes. A block sends each *bucket* (a range of the
-hash space) its sorted distinct hashes as delta-coded bytes, and the bucket answers with a few bits per
-hash, in the same order. Blocks are ordered by doc_id, so the block number alone says who comes first.
-
-A hash that occurs very often is sent once per block, so no bucket grows with a hash's frequency.
-Block contents follow from the data alone, and rows are put in order inside a block, so a recomputed
-task repeats what the lost one sent.
+*blocks* by a hash of id and text. A block sends each *bucket* (a range of the hash space) its sorted
+distinct hashes as delta-coded bytes, and the bucket answers with a few bits per hash, in the same
+order. Where it matters who comes first, a hash comes with the place of its first row in the order of
+ids. The number of blocks is all that the driver knows of them, and a block is a function of its rows
+alone: no bounds are sampled, rows of one id (or of none) spread like any others, and a recomputed task
+repeats what the lost one sent. Only rows equal in both id and text share a block.
+
+A hash that occurs very often is sent once per block, so no bucket grows with a hash's frequency. The
+number of request rows is what blocks times buckets could spoil: both grow with the square root of the
+corpus, so that a request holds ``ROW_KEYS`` keys on average at any size.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,17 +34,20 @@ from evalloom.session import ship_package
 NO_ID = -(1 << 63)
 REQUEST = "bucket int, block int, body binary"
 ANSWER = "block int, level int, bucket int, body binary"
+BUCKET_KEYS = 1 << 20
+ROW_KEYS = 16
 
 _LIBC = ctypes.CDLL(None)
-_B = np.uint64(0x9E3779B97F4A7C15)
+_B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Blocks:
-    """Documents dealt into blocks. ``frame`` has block, key (the id, null as NO_ID), doc_id and text
-    (binary). Only the id and text columns of the input are used, whatever else it holds; with
-    ``carry`` a whole row comes along as the struct ``row``."""
+    """Documents dealt into blocks. ``frame`` has block, key (the id, null as NO_ID), tie (a hash of the
+    text), doc_id and text (binary). Only the id and text columns of the input are used, whatever else
+    it holds; with ``carry`` a whole row comes along as the struct ``row``. ``per_byte`` is how many
+    keys a byte of text sends at most, about."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carry: bool = False):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int, per_byte: float, carry: bool = False):
         ship_package(docs.sparkSession)
         row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
         rows = docs.select(
@@ -52,32 +57,21 @@ class Blocks:
             *row,
         )
         self.row_field = rows.schema["row"] if carry else None
-        size = F.octet_length("text")
-        n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-        self.n_rows, self.n_bytes = n, total
-        self.n_blocks = max(1, math.ceil(total / block_bytes))
-        bounds = np.array([], np.int64)
-        if self.n_blocks > 1:
-            # A document counts once and once more for every mean length it has.
-            weight = F.array_repeat("key", (1 + F.floor(size / (total / n))).cast("int"))
-            at = [F.lit(i / self.n_blocks) for i in range(1, self.n_blocks)]
-            found = rows.select(F.explode(weight).alias("key")).agg(
-                F.percentile_approx("key", F.array(*at), max(10_000, 20 * self.n_blocks))
-            )
-            bounds = np.unique(np.array(found.first()[0], np.int64))
-
-        @F.pandas_udf("int")
-        def block(key: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), "left").astype(np.int32))
-
-        self.frame = rows.withColumn("block", block("key"))
-
-    def bits(self, per_byte: float) -> int:
-        """Bits of the number of keys, at a rate of keys per byte of text."""
-        return max(1, math.ceil(math.log2(max(2.0, self.n_bytes * per_byte))))
-
-    def bucket_bits(self, per_byte: float, keys: int = 1 << 20, least: int = 6) -> int:
-        return max(least, self.bits(per_byte) - int(math.log2(keys)))
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.n_keys = max(2.0, total * per_byte)
+        # A block and a bucket share n_keys / (blocks * buckets) keys: enough for one row of a request.
+        self.grow = math.sqrt(max(1.0, ROW_KEYS * self.n_keys / (block_bytes * per_byte * BUCKET_KEYS)))
+        self.n_blocks = max(1, math.ceil(total / (block_bytes * self.grow)))
+        tied = rows.withColumn("tie", F.xxhash64("text"))
+        self.frame = tied.withColumn("block", F.pmod(F.xxhash64("key", "tie"), F.lit(self.n_blocks)).cast("int"))
+
+    @property
+    def bits(self) -> int:
+        """Bits of the number of keys."""
+        return max(1, math.ceil(math.log2(self.n_keys)))
+
+    def bucket_bits(self, keys: int = BUCKET_KEYS, least: int = 6) -> int:
+        return max(least, self.bits - int(math.log2(keys * self.grow)))
 
     def ask(self, fn: Callable[[Texts], Iterator[tuple[int, bytes]]]) -> DataFrame:
         """(bucket, body) of every block, without answers."""
@@ -146,12 +140,15 @@ def answer(requests: DataFrame, level: int, fn: Callable[[list[int], list[bytes]
 
 
 class Texts:
-    """The rows of one block in the order of (key, text)."""
+    """The rows of one block in order: by id, then by a hash of the text, then by text."""
 
     def __init__(self, group: pa.Table):
         keys, texts = group["key"].to_pylist(), group["text"].to_pylist()
-        order = sorted(range(len(keys)), key=lambda i: (keys[i], texts[i]))
+        ties = group["tie"].to_numpy().view(np.uint64) if group.num_rows else np.zeros(0, np.uint64)
+        ranks = ties.tolist()
+        order = sorted(range(len(keys)), key=lambda i: (keys[i], ranks[i], texts[i]))
         self.keys = np.array([keys[i] for i in order], np.int64)
+        self.ties = (ties[order] >> np.uint64(32)).astype(np.uint32)
         self.texts: list[bytes] = [texts[i] for i in order]
         ids = group["doc_id"].to_pylist()
         self.ids = pa.array([ids[i] for i in order], pa.int64())
@@ -185,23 +182,28 @@ def hashes(units: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units))
 
 
-def power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_B), n, 1 << 64))
+def power(n: int, base: np.uint64 = _B) -> np.uint64:
+    return np.uint64(pow(int(base), n, 1 << 64))
 
 
-def rolled(h: np.ndarray, length: int) -> np.ndarray:
+def rolled(h: np.ndarray, length: int, base: np.uint64 = _B) -> np.ndarray:
     """Hash of the ``length`` units from every position, by doubling; beyond the end it means nothing."""
     out, have, cur, span = None, 0, h, 1
     while True:
         if length & span:
-            out = cur if out is None else out * power(span) + _ahead(cur, have)
+            out = cur if out is None else out * power(span, base) + _ahead(cur, have)
             have += span
         if have == length:
             return out
-        cur = cur * power(span) + _ahead(cur, span)
+        cur = cur * power(span, base) + _ahead(cur, span)
         span *= 2
 
 
+def checks(h: np.ndarray, length: int) -> np.ndarray:
+    """Further 32 bits of the same windows, from numbers of their own."""
+    return (mix(rolled(mix(h ^ _C), length, _C)) >> np.uint64(32)).astype(np.uint32)
+
+
 def _ahead(a: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros_like(a)
     if n < len(a):
@@ -210,13 +212,21 @@ def _ahead(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class Distinct:
-    """Distinct keys in order, where each occurs first, how often, and the place of every key."""
+    """Distinct keys in order, where each occurs first, how often, and the place of every key. With
+    ``check``, keys are the same only if their checks are too."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, check: np.ndarray | None = None):
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.ones(len(keys), bool)
         new[1:] = ordered[1:] != ordered[:-1]
+        if check is not None:
+            other = check[order]
+            if (~new[1:] & (other[1:] != other[:-1])).any():
+                order = np.lexsort((check, keys))
+                ordered, other = keys[order], check[order]
+                new[1:] = ordered[1:] != ordered[:-1]
+            new[1:] |= other[1:] != other[:-1]
         at = np.flatnonzero(new)
         self.keys = ordered[at]
         self.first = np.minimum.reduceat(order, at) if len(at) else at
@@ -264,27 +274,67 @@ def send(keys: np.ndarray, key_bits: int, bucket_bits: int) -> Iterator[tuple[in
         yield bucket, pack(keys[part] & low)
 
 
-def seen_elsewhere(blocks: list[int], bodies: list[bytes]) -> list[bytes]:
-    """Two bits for every key: whether another block has it, and whether an earlier one has."""
+def shared_elsewhere(blocks: list[int], bodies: list[bytes]) -> list[bytes]:
+    """A bit for every key: whether another block has it."""
     parts = [unpack(x)[0] for x in bodies]
-    sizes = [len(x) for x in parts]
-    keys = np.concatenate(parts)
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    same = ordered[1:] == ordered[:-1]
-    earlier = np.zeros(len(keys), bool)
-    earlier[order[1:][same]] = True
-    shared = earlier.copy()
-    shared[order[:-1][same]] = True
-    out, at = [], 0
-    for n in sizes:
-        out.append(np.packbits(shared[at : at + n]).tobytes() + np.packbits(earlier[at : at + n]).tobytes())
-        at += n
+    return _cut(repeated(np.concatenate(parts)), [len(x) for x in parts])
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
     return out
 
 
+def _cut(flags: np.ndarray, sizes: list[int]) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [np.packbits(flags[end - n : end]).tobytes() for n, end in zip(sizes, ends, strict=True)]
+
+
+def send_first(found: Distinct, check: np.ndarray, row: np.ndarray, texts: Texts, key_bits: int, bucket_bits: int) -> Iterator[tuple[int, bytes]]:
+    """Keys with their checks and the places of their first rows in the order of all rows: ids as
+    differences, hashes of texts, and one small number per key that says which row is its first."""
+    low = np.uint64((1 << (key_bits - bucket_bits)) - 1)
+    order = texts.keys.view(np.uint64) ^ np.uint64(1 << 63)
+    for bucket, part in slices(found.keys, key_bits, bucket_bits):
+        rows, rank = np.unique(row[found.first[part]], return_inverse=True)
+        kind = "<u2" if len(rows) <= 1 << 16 else "<u4"
+        head = pack(found.keys[part] & low) + pack(order[rows])
+        yield bucket, head + texts.ties[rows].astype("<u4").tobytes() + check[found.first[part]].astype("<u4").tobytes() + rank.astype(kind).tobytes()
+
+
+def earlier_elsewhere(blocks: list[int], bodies: list[bytes]) -> list[bytes]:
+    """A bit for every key of ``send_first``: whether another block has it in an earlier row. Rows with
+    one id and one hash of the text come in the order of their blocks."""
+    keys, check, ids, ties, owner, sizes = [], [], [], [], [], []
+    for block, body in zip(blocks, bodies, strict=True):
+        k, at = unpack(body)
+        order, end = unpack(body[at:])
+        at += end
+        tie = np.frombuffer(body, "<u4", len(order), at)
+        at += 4 * len(order)
+        check.append(np.frombuffer(body, "<u4", len(k), at))
+        rank = np.frombuffer(body, "<u2" if len(order) <= 1 << 16 else "<u4", len(k), at + 4 * len(k))
+        keys.append(k)
+        ids.append(order[rank])
+        ties.append(tie[rank])
+        owner.append(np.full(len(k), block, np.int32))
+        sizes.append(len(k))
+    columns = [np.concatenate(x) for x in (owner, ties, ids, check, keys)]
+    out = np.zeros(len(columns[0]), bool)
+    several = np.flatnonzero(repeated(columns[-1]))
+    columns = [x[several] for x in columns]
+    order = np.lexsort(columns)
+    same = (columns[-1][order[1:]] == columns[-1][order[:-1]]) & (columns[-2][order[1:]] == columns[-2][order[:-1]])
+    out[several[order[1:][same]]] = True
+    return _cut(out, sizes)
+
+
 def read_bits(bodies: list[bytes], sizes: list[int], per_key: int) -> list[np.ndarray]:
-    """Undo ``seen_elsewhere`` for one block: one array for each bit, over all its keys."""
+    """The bits of one block's answers: one array for each bit, over all its keys."""
     out: list[list[np.ndarray]] = [[] for _ in range(per_key)]
     for body, n in zip(bodies, sizes, strict=True):
         raw = np.frombuffer(body, np.uint8)

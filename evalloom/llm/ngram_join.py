@@ -82,9 +82,9 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def set_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block_bytes: int) -> DataFrame:
     """Size and fingerprint of each document's set, and its shingles of frequency 2 or more in the
     global order where one of them is in the prefix."""
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
-    key_bits = min(64, blocks.bits(1 / 6) + 12)
-    bucket_bits = blocks.bucket_bits(1 / 6)
+    blocks = Blocks(docs, id_col, text_col, block_bytes, 1 / 6)
+    key_bits = min(64, blocks.bits + 12)
+    bucket_bits = blocks.bucket_bits()
     low = np.uint64((1 << (key_bits - bucket_bits)) - 1)
 
     def distinct(sets: list[np.ndarray]) -> Distinct:

@@ -3,14 +3,19 @@
 A window of ``window`` bytes is filed under its minimiser, the ``seed``-byte string in it with the
 smallest hash (the leftmost of equal ones), so equal windows meet under one minimiser. Consecutive
 windows with one minimiser form a *piece*. Pieces whose minimiser occurs once in the corpus cannot
-repeat; a first exchange of hashes drops them. The distinct remaining pieces of a bucket are indexed
-together: suffixes that share ``window`` bytes are brought together by a rolling hash and sorted by
-their bytes, the common-prefix lengths of neighbours are scanned with a stack into the interval tree,
-and every interval whose occurrences differ in the byte to the left is a maximal repeat. Each one, with
-all its occurrences, tells the windows it covers the smallest document that holds them.
-
-A piece's first byte counts as different from every other: what lies before it belongs to another
-piece. So a long repeat is put together again from its pieces, in the document.
+repeat; a first exchange of hashes drops them. It also finds the *hot* minimisers, round which too many
+different pieces lie; their windows are filed under the two smallest hashes instead.
+
+The distinct remaining pieces of a bucket make a shard with one enhanced suffix array: the suffixes
+that share ``window`` bytes with another one in order, the common-prefix lengths of neighbours, scanned
+with a stack into the interval tree. Every interval whose occurrences differ in the byte to the left is
+a repeat that is maximal in its shard, and tells the windows it covers the smallest document that holds
+them. An equal piece in several documents is a leaf of the tree with several occurrences. A piece's
+first byte counts as different from every other: what lies before it belongs to another piece.
+
+``repeat_groups`` goes on from the shards' repeats to those of whole texts: repeats whose occurrences lie
+alike and overlap are one, and each is lengthened on both sides, in the texts, for as long as all its
+occurrences agree.
 """
 
 from __future__ import annotations
@@ -19,12 +24,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from evalloom.llm.blocks import NO_ID, Answers, Blocks, Distinct, Texts, answer, mix, power, read_bits, runs, seen_elsewhere, send, slices
+from evalloom.llm.blocks import NO_ID, Answers, Blocks, Distinct, Texts, answer, mix, pack, power, read_bits, repeated, runs, slices, unpack
+from evalloom.session import checkpoint
+
+PIECE_KEYS = 1 << 17
+#: Different pieces round one minimiser beyond which it is hot.
+HOT_PIECES = 1 << 15
 
 _CHUNK = 1 << 16
 _PLACE = np.uint64((1 << 17) - 1)
@@ -33,11 +46,27 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 @dataclass
 class Pieces:
-    """Runs of windows with one minimiser: first window, number of windows, hash of the minimiser."""
+    """Runs of windows with one minimiser: first window, number of windows, hash of the minimiser, a sum
+    over the piece's strings by which unlike pieces are told apart when they are counted, and where the
+    minimiser stands."""
 
     start: np.ndarray
     count: np.ndarray
     key: np.ndarray
+    sign: np.ndarray
+    at: np.ndarray
+
+    @property
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.start, self.count, self.key, self.sign, self.at
+
+    def where(self, mask: np.ndarray) -> Pieces:
+        return Pieces(*(x[mask] for x in self.columns))
+
+    @staticmethod
+    def joined(parts: list[Pieces]) -> Pieces:
+        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int64)
+        return Pieces(*(np.concatenate([np.zeros(0, kind), *(p.columns[i] for p in parts)]) for i, kind in enumerate(kinds)))
 
 
 class Bytes:
@@ -58,10 +87,25 @@ class Bytes:
         for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
             whole[max(a, b - window + 1) : b] = False
         parts = [self._chunk(a, min(a + _CHUNK, len(whole)), whole, window, seed) for a in range(0, len(whole), _CHUNK)]
-        parts = [p for p in parts if len(p.start)]
-        if not parts:
-            return Pieces(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        return Pieces(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("start", "count", "key")))
+        found = Pieces.joined([p for p in parts if len(p.start)])
+        # Chunks are no borders of pieces: what lies on both sides of one is put together.
+        again = np.append(False, (found.at[1:] == found.at[:-1]) & (found.start[1:] == found.start[:-1] + found.count[:-1]))[: len(found.start)]
+        begin = np.flatnonzero(~again)
+        count = np.add.reduceat(found.count, begin) if len(begin) else found.count
+        return Pieces(found.start[begin], count, found.key[begin], found.sign[begin], found.at[begin])
+
+    def split(self, pieces: Pieces, window: int, seed: int) -> Pieces:
+        """Pieces of the same windows, filed under the smallest hash and the smallest other one."""
+        parts = []
+        for a, n, key in zip(pieces.start.tolist(), pieces.count.tolist(), pieces.key.tolist(), strict=True):
+            grams = _rolled_bytes(self.array[a : a + n + window - 1], seed) & ~_PLACE
+            shown = np.where(mix(grams) == np.uint64(key), ~np.uint64(0), grams) & ~_PLACE
+            low = _sliding_min(shown | np.arange(len(shown), dtype=np.uint64), window - seed + 1)
+            first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+            both = mix(np.uint64(key) ^ mix(low[first] & ~_PLACE))
+            place = (low[first] & _PLACE).astype(np.int64) + a
+            parts.append(Pieces(first + a, np.diff(np.append(first, n)), both, both, place))
+        return Pieces.joined(parts)
 
     def _chunk(self, a: int, b: int, whole: np.ndarray, window: int, seed: int) -> Pieces:
         """Pieces of the windows that start in [a, b). The high bits of the hash are what is compared;
@@ -75,10 +119,13 @@ class Bytes:
         new[1:] &= (low[1:] != low[:-1]) | ~ok[:-1]
         first = np.flatnonzero(new)
         if not len(first):
-            return Pieces(first, first, np.zeros(0, np.uint64))
+            return Pieces.joined([])
         # A piece ends where the next one or a run of windows that are not whole begins.
         stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1
-        return Pieces(first + a, stop - first, mix(low[first] & ~_PLACE))  # minima are small: spread them
+        sums = np.append(np.uint64(0), np.cumsum(mix(packed & ~_PLACE)))
+        sign = sums[stop + window - seed] - sums[first]
+        place = (low[first] & _PLACE).astype(np.int64) + a
+        return Pieces(first + a, stop - first, mix(low[first] & ~_PLACE), sign, place)  # minima are small: spread them
 
 
 def _rolled_bytes(data: np.ndarray, length: int) -> np.ndarray:
@@ -105,32 +152,88 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: max(0, len(x) - rest)], x[rest:]) if rest else x
 
 
+def _ask_minimisers(pieces: Pieces, key_bits: int, bucket_bits: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct minimisers; with each, how many pieces lie round it, unlike ones, and a sum over those."""
+    keys = pieces.key >> np.uint64(64 - key_bits)
+    found = Distinct(keys)
+    unlike = Distinct(mix(keys) ^ pieces.sign)
+    signs = np.zeros(len(found.keys), np.uint64)
+    number = np.zeros(len(found.keys), np.int64)
+    at = found.place[unlike.first]
+    np.add.at(signs, at, mix(pieces.sign[unlike.first]))
+    np.add.at(number, at, 1)
+    low = np.uint64((1 << (key_bits - bucket_bits)) - 1)
+    for bucket, part in slices(found.keys, key_bits, bucket_bits):
+        counts = np.minimum(number[part], (1 << 16) - 1).astype("<u2")
+        yield bucket, pack(found.keys[part] & low) + (signs[part] >> np.uint64(48)).astype("<u2").tobytes() + counts.tobytes()
+
+
+def _minimisers(hot_pieces: int):
+    """Two bits for every minimiser: whether another block has it, and whether it is hot. Blocks that
+    hold the same pieces round it, as those of copies do, count once."""
+
+    def apply(blocks: list[int], bodies: list[bytes]) -> list[bytes]:
+        parts, signs, counts = [], [], []
+        for body in bodies:
+            keys, at = unpack(body)
+            parts.append(keys)
+            signs.append(np.frombuffer(body, "<u2", len(keys), at))
+            counts.append(np.frombuffer(body, "<u2", len(keys), at + 2 * len(keys)).astype(np.int64))
+        keys, sign, count = np.concatenate(parts), np.concatenate(signs), np.concatenate(counts)
+        shared = repeated(keys)
+        hot = np.zeros(len(keys), bool)
+        several = np.flatnonzero(shared | (count > hot_pieces))
+        order = several[np.lexsort((sign[several], keys[several]))]
+        if len(order):
+            new_key = np.append(True, keys[order[1:]] != keys[order[:-1]])
+            new = new_key | np.append(True, sign[order[1:]] != sign[order[:-1]])
+            begin = np.flatnonzero(new_key)
+            total = np.add.reduceat(np.where(new, count[order], 0), begin)
+            hot[order] = np.repeat(total > hot_pieces, np.diff(np.append(begin, len(order))))
+        out, at = [], 0
+        for k in parts:
+            out.append(np.packbits(shared[at : at + len(k)]).tobytes() + np.packbits(hot[at : at + len(k)]).tobytes())
+            at += len(k)
+        return out
+
+    return apply
+
+
 class Candidates:
     """Pieces of a block whose minimiser occurs more than once, and the distinct ones among them.
 
     Rows come in the order of their ids, so a piece's first row has the smallest id in the block.
     """
 
-    def __init__(self, data: Bytes, pieces: Pieces, told: Answers, key_bits: int, ask_bits: int, piece_bits: int, window: int):
-        keys = pieces.key >> np.uint64(64 - key_bits)
-        found = Distinct(keys)
-        sizes = [s.stop - s.start for _, s in slices(found.keys, key_bits, ask_bits)]
-        shared, _ = read_bits(told.of(0), sizes, 2)
+    def __init__(self, data: Bytes, told: Answers, shape: Shape):
+        pieces = data.pieces(shape.window, shape.seed)
+        found = Distinct(pieces.key >> np.uint64(64 - shape.key_bits))
+        sizes = [s.stop - s.start for _, s in slices(found.keys, shape.key_bits, shape.ask_bits)]
+        shared, hot = read_bits(told.of(0), sizes, 2)
         keep = (shared | (found.counts > 1))[found.place]
-        self.start, self.count = pieces.start[keep], pieces.count[keep]
-        bucket = (keys[keep] >> np.uint64(key_bits - piece_bits)).astype(np.int64)
+        hot = hot[found.place]
+        dense = data.split(pieces.where(keep & hot), shape.window, shape.seed)
+        pieces = Pieces.joined([pieces.where(keep & ~hot), dense])
+        by_place = np.argsort(pieces.start, kind="stable")
+        self.start, self.count = pieces.start[by_place], pieces.count[by_place]
+        self.keys = pieces.key[by_place]
+        bucket = (self.keys >> np.uint64(64 - shape.piece_bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         entries: dict[bytes, int] = {}
         place = np.empty(len(order), np.int64)
-        first, stops = [], (self.start + self.count + window - 1).tolist()
-        starts = self.start.tolist()
+        first, stops = [], (self.start + self.count + shape.window - 1).tolist()
+        starts, at_bucket, before = self.start.tolist(), bucket.tolist(), -1
+        texts: list[bytes] = []
         for i in order.tolist():
+            if at_bucket[i] != before:
+                entries, before = {}, at_bucket[i]
             text = data.data[starts[i] : stops[i]]
             at = entries.setdefault(text, len(first))
             if at == len(first):
                 first.append(i)
+                texts.append(text)
             place[i] = at
-        self.place, self.texts = place, list(entries)
+        self.place, self.texts = place, texts
         self.first = np.array(first, np.int64)
         self.bucket = bucket[self.first] if first else np.zeros(0, np.int64)
 
@@ -167,15 +270,16 @@ def _unpack_entries(body: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids, texts
 
 
-def lcp_intervals(texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(length, first, last) of every common-prefix interval of two or more sorted strings.
+def lcp_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(length, first, last) of every interval of two or more neighbours with a common prefix;
+    ``lcp[i]`` is the prefix that the sorted strings i - 1 and i share (none before the first).
 
     The stack holds the open intervals by growing length; a neighbour with a shorter common prefix
     closes the longer ones.
     """
     stack: list[tuple[int, int]] = []
-    for i in range(1, len(texts) + 1):
-        length = _common(texts[i - 1], texts[i]) if i < len(texts) else -1
+    for i in range(1, len(lcp) + 1):
+        length = lcp[i] if i < len(lcp) else -1
         left = i - 1
         while stack and stack[-1][0] > length:
             long, left = stack.pop()
@@ -199,7 +303,8 @@ class Repeat:
 
 
 def maximal_repeats(pieces: list[bytes], window: int) -> Iterator[Repeat]:
-    """Maximal repeats of ``window`` bytes or more in distinct pieces."""
+    """Maximal repeats of ``window`` bytes or more in distinct pieces: one suffix array over those
+    suffixes that share so many bytes with another, and its interval tree."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces], np.int64)
     counts = np.maximum(sizes - window + 1, 0)
@@ -212,21 +317,20 @@ def maximal_repeats(pieces: list[bytes], window: int) -> Iterator[Repeat]:
     keys = _rolled_bytes(data, window)[at]
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    new = np.ones(len(order), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    begin = np.flatnonzero(new)
-    stop = np.append(begin[1:], len(order))
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    sizes = np.diff(np.append(begin, len(order)))
     # The byte to the left of each suffix; a piece's first suffix differs from all others.
-    left = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1 - piece)[order]
-    diverse = (stop - begin > 1) & (np.minimum.reduceat(left, begin) != np.maximum.reduceat(left, begin))
-    for a, b in zip(begin[diverse].tolist(), stop[diverse].tolist(), strict=True):
-        members = sorted(
-            (pieces[piece[i]][offset[i] :], int(left[j]), int(piece[i]), int(offset[i]))
-            for j, i in zip(range(a, b), order[a:b].tolist(), strict=True)
-        )
-        for length, lo, hi in lcp_intervals([m[0] for m in members]):
-            if length >= window and any(m[1] != members[lo][1] for m in members[lo + 1 : hi + 1]):
-                yield Repeat(length, [m[2:] for m in members[lo : hi + 1]])
+    left = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1 - piece)
+    lefts = left[order]
+    diverse = (sizes > 1) & (np.minimum.reduceat(lefts, begin) != np.maximum.reduceat(lefts, begin))
+    suffixes = sorted((pieces[piece[i]][offset[i] :], i) for i in order[np.repeat(diverse, sizes)].tolist())
+    lcp = [0, *(_common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:], strict=False))]
+    array = [i for _, i in suffixes]
+    for length, lo, hi in lcp_intervals(lcp):
+        if length >= window:
+            members = array[lo : hi + 1]
+            if (left[members] != left[members[0]]).any():
+                yield Repeat(length, [(int(piece[i]), int(offset[i])) for i in members])
 
 
 def _owners(window: int):
@@ -259,14 +363,36 @@ def _owners(window: int):
     return apply
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Lengths of windows and minimisers, and how the hash space is cut."""
+
+    window: int
+    seed: int
+    key_bits: int
+    ask_bits: int
+    piece_bits: int
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: int, stop: int>>, kept binary"
-GROUPS = "repeat long, length int, doc_id long, start int"
+GROUPS = "name long, length int, key long, tie long, start int"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
+def _first_exchange(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, block_bytes: int, hot_pieces: int):
+    blocks = Blocks(docs, id_col, text_col, block_bytes, 2 / (window - seed + 2))
+    key_bits = min(64, blocks.bits + 12)
+    shape = Shape(window, seed, key_bits, min(key_bits - 1, blocks.bucket_bits()), min(key_bits - 1, blocks.bucket_bits(PIECE_KEYS)))
+
+    def ask(texts: Texts) -> Iterator[tuple[int, bytes]]:
+        return _ask_minimisers(Bytes(texts.texts).pieces(window, seed), shape.key_bits, shape.ask_bits)
+
+    return blocks, shape, answer(blocks.ask(ask), 0, _minimisers(hot_pieces))
+
+
 def suffix_array_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, block_bytes: int = 2 << 20
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, block_bytes: int = 2 << 20, hot_pieces: int = HOT_PIECES
+) -> DataFrame:
     """Remove every byte of a text (as UTF-8) under a ``window``-byte string that also starts in a row
     with a smaller id. Strings lie within one row, and are judged on the input alone.
 
@@ -274,19 +400,11 @@ def suffix_array_dedup(
     other bytes). Null, empty and shorter texts lose nothing. Rows with one id do not remove each
     other's bytes; null ids are one id before all others. Other columns are ignored.
     """
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
-    per_byte = 2 / (window - seed + 2)
-    key_bits = min(40, blocks.bits(per_byte) + 12)
-    ask_bits = min(key_bits - 1, blocks.bucket_bits(per_byte))
-    piece_bits = min(key_bits - 1, blocks.bucket_bits(per_byte, keys=1 << 17))
-
-    def ask(texts: Texts) -> Iterator[tuple[int, bytes]]:
-        pieces = Bytes(texts.texts).pieces(window, seed)
-        return send(Distinct(pieces.key >> np.uint64(64 - key_bits)).keys, key_bits, ask_bits)
+    blocks, shape, answers = _first_exchange(docs, id_col, text_col, window, seed, block_bytes, hot_pieces)
 
     def candidates(texts: Texts, told: Answers) -> tuple[Bytes, Candidates]:
         data = Bytes(texts.texts)
-        return data, Candidates(data, data.pieces(window, seed), told, key_bits, ask_bits, piece_bits, window)
+        return data, Candidates(data, told, shape)
 
     def ask_pieces(texts: Texts, told: Answers) -> Iterator[tuple[int, bytes]]:
         data, found = candidates(texts, told)
@@ -322,40 +440,24 @@ def suffix_array_dedup(
             }
         )
 
-    answers = answer(blocks.ask(ask), 0, seen_elsewhere)
     answers = answers.unionAll(answer(blocks.ask_with(answers, ask_pieces), 1, _owners(window)))
     return blocks.finish(answers, finish, RESULT)
 
 
-def repeat_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, block_bytes: int = 2 << 20
-) -> DataFrame:
-    """Maximal repeats of ``window`` bytes or more with all their occurrences: (repeat, length, doc_id, start in bytes).
-
-    Repeats are maximal within pieces (see above), so a longer one appears as a chain of repeats that
-    overlap. ``repeat`` is a hash of the repeated bytes. Null, empty and shorter texts have none;
-    a null id is returned as null.
-    """
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
-    per_byte = 2 / (window - seed + 2)
-    key_bits = min(40, blocks.bits(per_byte) + 12)
-    ask_bits = min(key_bits - 1, blocks.bucket_bits(per_byte))
-    piece_bits = min(key_bits - 1, blocks.bucket_bits(per_byte, keys=1 << 17))
-
-    def ask(texts: Texts) -> Iterator[tuple[int, bytes]]:
-        pieces = Bytes(texts.texts).pieces(window, seed)
-        return send(Distinct(pieces.key >> np.uint64(64 - key_bits)).keys, key_bits, ask_bits)
+def _shard_repeats(blocks: Blocks, answers: DataFrame, shape: Shape) -> DataFrame:
+    """Every occurrence of every repeat that is maximal in its shard."""
 
     def ask_pieces(texts: Texts, told: Answers) -> Iterator[tuple[int, bytes]]:
-        """Every occurrence of every piece: its document and place there, and the distinct pieces."""
+        """Every occurrence of every piece: its row and place there, and the distinct pieces."""
         data = Bytes(texts.texts)
-        found = Candidates(data, data.pieces(window, seed), told, key_bits, ask_bits, piece_bits, window)
+        found = Candidates(data, told, shape)
         row = data.row(found.start)
         order = np.argsort(found.place, kind="stable")
         ends = np.searchsorted(found.place[order], np.arange(len(found.texts)), "right")
         for bucket, part in found.parts():
             mine = order[(ends[part.start - 1] if part.start else 0) : ends[part.stop - 1]]
-            where = np.stack([found.place[mine] - part.start, texts.keys[row[mine]], found.start[mine] - data.starts[row[mine]]])
+            rows = row[mine]
+            where = np.stack([found.place[mine] - part.start, texts.keys[rows], texts.ties[rows].astype(np.int64), found.start[mine] - data.starts[rows]])
             pieces = _pack_entries(np.zeros(part.stop - part.start, np.int64), found.texts[part])
             yield bucket, len(pieces).to_bytes(4, "little") + pieces + _pack(where.astype("<i8").tobytes())
 
@@ -366,29 +468,103 @@ def repeat_groups(
             n = int.from_bytes(body[:4], "little")
             _, texts = _unpack_entries(body[4 : 4 + n])
             place = np.array([index.setdefault(t, len(index)) for t in texts], np.int64)
-            own = np.frombuffer(_unpack(body[4 + n :]), "<i8").reshape(3, -1).copy()
+            own = np.frombuffer(_unpack(body[4 + n :]), "<i8").reshape(4, -1).copy()
             own[0] = place[own[0]]
             where.append(own)
         pieces = list(index)
         at = np.concatenate(where, axis=1)
         at = at[:, np.argsort(at[0], kind="stable")]
         begin = np.searchsorted(at[0], np.arange(len(pieces) + 1))
-        out: list[tuple[int, int, int, int]] = []
-        # A piece that stands in several places is a repeat too, though it is one among distinct pieces.
-        several = (Repeat(len(p), [(i, 0)]) for i, p in enumerate(pieces) if begin[i + 1] - begin[i] > 1)
+        # A piece that stands in several places is a leaf with several occurrences.
+        leaves = (Repeat(len(p), [(i, 0)]) for i, p in enumerate(pieces) if begin[i + 1] - begin[i] > 1)
         seen: set[int] = set()
-        for repeat in [*maximal_repeats(pieces, window), *several]:
+        parts = []
+        for repeat in [*maximal_repeats(pieces, shape.window), *leaves]:
             piece, off = repeat.occurrences[0]
             name = xxhash.xxh3_64_intdigest(pieces[piece][off : off + repeat.length]) - (1 << 63)
             if name in seen:
                 continue
             seen.add(name)
             for piece, off in repeat.occurrences:
-                for key, start in at[1:, begin[piece] : begin[piece + 1]].T.tolist():
-                    out.append((name, repeat.length, None if key == NO_ID else key, start + off))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("repeat", "length", "doc_id", "start"), columns, kinds, strict=True)})
+                found = at[1:, begin[piece] : begin[piece + 1]]
+                fixed = np.array([[name], [repeat.length], [off]]).repeat(found.shape[1], 1)
+                parts.append(np.concatenate([fixed[:2], found[:2], found[2:] + fixed[2:]]))
+        columns = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("name", "length", "key", "tie", "start"), columns, kinds, strict=True)})
 
-    answers = answer(blocks.ask(ask), 0, seen_elsewhere)
     return blocks.ask_with(answers, ask_pieces).groupBy("bucket").applyInArrow(groups, GROUPS)
+
+
+@F.pandas_udf(IntegerType())
+def _agree(a: pd.Series, b: pd.Series, backwards: pd.Series) -> pd.Series:
+    """How many bytes two strings have in common at their ends, or at their beginnings."""
+    return pd.Series([_common(x[::-1], y[::-1]) if back else _common(x, y) for x, y, back in zip(a, b, backwards, strict=True)], dtype="int32")
+
+
+def _shape_of(rows: DataFrame, name: str) -> DataFrame:
+    """Repeats by name with their first occurrence, and a fingerprint of how the others lie to it."""
+    first = rows.groupBy(name).agg(F.min(F.struct("key", "tie", "start")).alias("o"), F.count("*").alias("n"))
+    lies = rows.join(first, name).groupBy(name).agg(
+        F.sum(F.xxhash64("key", "tie", F.col("start") - F.col("o.start")).cast("decimal(38,0)")).alias("lies"), F.first("length").alias("length")
+    )
+    return first.join(lies, name)
+
+
+def _lengthened(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Occurrences (name, length, key, tie, start) of repeats, each as long as all its occurrences agree."""
+    done, reach = None, 64
+    while True:
+        near = rows.join(texts, ["key", "tie"]).select(
+            *rows.columns,
+            F.expr(f"substring(text, greatest(start + 1 - {reach}, 1), least(start, {reach}))").alias("before"),
+            F.expr(f"substring(text, start + length + 1, {reach})").alias("after"),
+        )
+        at = F.struct("key", "tie", "start")
+        model = near.groupBy("name").agg(F.min_by("before", at).alias("model_before"), F.min_by("after", at).alias("model_after"))
+        agreed = near.join(model, "name").groupBy("name").agg(
+            F.min(_agree("before", "model_before", F.lit(True))).alias("more_before"),
+            F.min(_agree("after", "model_after", F.lit(False))).alias("more_after"),
+        )
+        grown = checkpoint(
+            rows.join(agreed, "name").select(
+                "name", (F.col("length") + F.col("more_before") + F.col("more_after")).alias("length"), "key", "tie",
+                (F.col("start") - F.col("more_before")).alias("start"), F.greatest("more_before", "more_after").alias("more"),
+            )
+        )
+        closed = grown.filter(F.col("more") < reach).drop("more")
+        done = closed if done is None else done.unionAll(closed)
+        rows = grown.filter(F.col("more") == reach).drop("more")
+        if rows.isEmpty():
+            return done
+        reach *= 8
+
+
+def repeat_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, block_bytes: int = 2 << 20, hot_pieces: int = HOT_PIECES
+) -> DataFrame:
+    """Maximal repeats of ``window`` bytes or more with all their occurrences: (repeat, length, doc_id,
+    start in bytes), a row for each occurrence; ``repeat`` names the group.
+
+    Every string of ``window`` bytes that occurs more than once is in a group whose occurrences are
+    those of the string, lengthened on both sides for as long as they agree; groups of longer strings
+    are given where a shard shows them. A repeat is not given if each of its strings of that length
+    also occurs without it. Null, empty and shorter texts have none; a null id is returned as null.
+    Rows that repeat id and text count as one.
+    """
+    blocks, shape, answers = _first_exchange(docs, id_col, text_col, window, seed, block_bytes, hot_pieces)
+    rows = checkpoint(_shard_repeats(blocks, answers, shape).distinct())
+    # Repeats whose occurrences lie alike and overlap are parts of one.
+    alike = Window.partitionBy("o.key", "o.tie", "n", "lies").orderBy("o.start")
+    end = F.col("o.start") + F.col("length")
+    shapes = _shape_of(rows, "name").withColumn("reached", F.max(end).over(alike.rowsBetween(Window.unboundedPreceding, -1)))
+    shapes = shapes.withColumn("run", F.sum((F.col("reached").isNull() | (F.col("o.start") > F.col("reached"))).cast("int")).over(alike))
+    joined = shapes.groupBy("o.key", "o.tie", "n", "lies", "run").agg(
+        F.min_by("name", "o.start").alias("name"), (F.max(end) - F.min("o.start")).cast("int").alias("length")
+    ).select("name", "length")
+    merged = checkpoint(rows.drop("length").join(joined, "name").select(*rows.columns))
+    texts = blocks.frame.select("key", F.shiftrightunsigned("tie", 32).alias("tie"), "text").dropDuplicates(["key", "tie"])
+    whole = checkpoint(_lengthened(merged, texts))
+    one = _shape_of(whole, "name").groupBy("o", "n", "lies", "length").agg(F.min("name").alias("name")).select("name")
+    key = F.when(F.col("key") != NO_ID, F.col("key"))
+    return whole.join(one, "name").select(F.col("name").alias("repeat"), "length", key.alias("doc_id"), "start")

@@ -6,7 +6,9 @@ looked up, and so on to ``window`` words or until no candidates survive. Line de
 three lines. A lookup is the block exchange of ``blocks``; the corpus text is dealt to blocks once.
 
 Windows at a level below the last are told apart by so many bits that fewer than one in 4,000 is taken
-for repeated wrongly, which costs a candidate and no error; the last level compares 64 bits.
+for repeated wrongly, which costs a candidate and no error. The last level, which decides, has two
+hashes of twice the bits of the number of windows together (up to 96): all windows of a corpus of 100 TB
+hold a wrong pair with a chance of about one in 500, a smaller corpus with less.
 """
 
 from __future__ import annotations
@@ -20,20 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from evalloom.llm.blocks import (
-    Answers, Blocks, Distinct, Texts, answer, hashes, mix, read_bits, rolled, seen_elsewhere, send, slices,
+    Answers, Blocks, Distinct, Texts, answer, checks, earlier_elsewhere, hashes, mix, read_bits, rolled, send,
+    send_first, shared_elsewhere, slices,
 )
 
 
 class Units:
-    """All units of a block in one row, with each row's bounds."""
+    """Hashes of all units of a block in one row, with each row's bounds."""
 
     def __init__(self, texts: list[bytes], split: Callable[[bytes], list[bytes]]):
-        self.of = [split(t) for t in texts]
-        sizes = np.array([len(u) for u in self.of], np.int64)
+        each = [hashes(split(t)) for t in texts]
+        sizes = np.array([len(h) for h in each], np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.hash = np.concatenate([hashes(u) for u in self.of]) if self.of else np.zeros(0, np.uint64)
+        self.hash = np.concatenate(each) if each else np.zeros(0, np.uint64)
         self.end = np.repeat(self.ends, sizes)
+        self.row = np.repeat(np.arange(len(texts)), sizes)
 
     def starts_of(self, length: int) -> np.ndarray:
         """Whether a window of this length starts at the unit and ends in its row."""
@@ -41,9 +45,12 @@ class Units:
 
 
 class Levels:
-    """Which windows a block has at each level, as far as the answers reach."""
+    """Which windows a block has at each level, as far as the answers reach.
 
-    def __init__(self, units: Units, lengths: list[int], key_bits: list[int], bucket_bits: list[int], told: Answers | None):
+    At a level below the last a window counts as repeated if it stands twice in the block or in another
+    one; at the last, a window is later if the block or an earlier row elsewhere has it before."""
+
+    def __init__(self, units: Units, texts: Texts, lengths: list[int], key_bits: list[int], bucket_bits: int, told: Answers | None):
         self.units, self.asking = units, None
         self.later = np.zeros(0, np.int64)
         repeated = None
@@ -55,18 +62,25 @@ class Levels:
                 ahead[: max(0, len(ahead) - step)] = repeated[step:]
                 ok &= repeated & ahead
             at = np.flatnonzero(ok)
+            last = level + 1 == len(lengths)
             keys = mix(rolled(units.hash, length)[at]) >> np.uint64(64 - key_bits[level])
-            found = Distinct(keys)
+            check = checks(units.hash, length)[at] if last else None
+            found = Distinct(keys, check)
             if told is None or level > max(told.bodies, default=-1):
-                self.asking = send(found.keys, key_bits[level], bucket_bits[level])
+                if last:
+                    self.asking = send_first(found, check, units.row[at], texts, key_bits[level], bucket_bits)
+                else:
+                    self.asking = send(found.keys, key_bits[level], bucket_bits)
                 return
-            sizes = [s.stop - s.start for _, s in slices(found.keys, key_bits[level], bucket_bits[level])]
-            shared, earlier = read_bits(told.of(level), sizes, 2)
-            repeated = np.zeros(len(units.hash), bool)
-            repeated[at] = (shared | (found.counts > 1))[found.place]
+            sizes = [s.stop - s.start for _, s in slices(found.keys, key_bits[level], bucket_bits)]
+            elsewhere = read_bits(told.of(level), sizes, 1)[0]
+            if not last:
+                repeated = np.zeros(len(units.hash), bool)
+                repeated[at] = (elsewhere | (found.counts > 1))[found.place]
+                continue
             first = np.zeros(len(at), bool)
             first[found.first] = True
-            self.later = at[earlier[found.place] | ~first]
+            self.later = at[elsewhere[found.place] | ~first]
 
     def removed(self, length: int) -> np.ndarray:
         """Units under windows that also start earlier."""
@@ -89,32 +103,31 @@ def _dedup(
     docs: DataFrame, id_col: str, text_col: str, split: Callable[[bytes], list[bytes]],
     join: Callable[[bytes, list[bytes], np.ndarray], bytes], lengths: list[int], per_byte: float, block_bytes: int, carry: bool = False,
 ) -> DataFrame:
-    blocks = Blocks(docs, id_col, text_col, block_bytes, carry)
-    n_bits, b_bits = blocks.bits(per_byte), blocks.bucket_bits(per_byte)
-    key_bits = [min(64, n_bits + 12)] * (len(lengths) - 1) + [64]
-    bucket_bits = [b_bits] * len(lengths)
+    blocks = Blocks(docs, id_col, text_col, block_bytes, per_byte, carry)
+    n_bits, bucket_bits = blocks.bits, blocks.bucket_bits()
+    key_bits = [min(64, n_bits + 12)] * (len(lengths) - 1) + [min(64, max(n_bits + 12, 2 * n_bits - 22))]
+    bucket = [shared_elsewhere] * (len(lengths) - 1) + [earlier_elsewhere]
 
     def ask(texts: Texts, told: Answers | None = None) -> Iterator[tuple[int, bytes]]:
-        return Levels(Units(texts.texts, split), lengths, key_bits, bucket_bits, told).asking or iter(())
+        return Levels(Units(texts.texts, split), texts, lengths, key_bits, bucket_bits, told).asking or iter(())
 
-    answers = answer(blocks.ask(ask), 0, seen_elsewhere)
+    answers = answer(blocks.ask(ask), 0, bucket[0])
     for level in range(1, len(lengths)):
-        answers = answers.unionAll(answer(blocks.ask_with(answers, ask), level, seen_elsewhere))
+        answers = answers.unionAll(answer(blocks.ask_with(answers, ask), level, bucket[level]))
 
     def finish(texts: Texts, told: Answers) -> pa.Table:
         units = Units(texts.texts, split)
         for level in range(len(lengths)):  # a level that no window reached has no answers
             told.bodies.setdefault(level, [])
-        removed = Levels(units, lengths, key_bits, bucket_bits, told).removed(lengths[-1])
+        removed = Levels(units, texts, lengths, key_bits, bucket_bits, told).removed(lengths[-1])
         masks = [removed[a:b] for a, b in zip(units.starts, units.ends, strict=True)]
-        rows = zip(texts.texts, units.of, masks, strict=True)
         out = pa.table(
             {
                 "doc_id": texts.ids,
-                "n_units": pa.array([len(u) for u in units.of], pa.int64()),
+                "n_units": pa.array(units.ends - units.starts, pa.int64()),
                 "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()),
                 "spans": pa.array([_spans(m) for m in masks], _SPANS),
-                "kept_text": pa.array([join(t, u, m) for t, u, m in rows], pa.binary()).cast(pa.string()),
+                "kept_text": pa.array([join(t, split(t), m) for t, m in zip(texts.texts, masks, strict=True)], pa.binary()).cast(pa.string()),
             }
         )
         return out.append_column("row", texts.rows) if carry else out
@@ -138,8 +151,8 @@ def substring_dedup(
     words, joined by single spaces).
 
     Null or empty texts and those shorter than a window lose nothing. Rows with the same id count as
-    documents that follow each other in the order of their texts, so of repeated rows one stays; null
-    ids are one id before all others. Other columns are ignored.
+    documents that follow each other in the order of a hash of their texts, so of repeated rows one stays;
+    null ids are one id before all others. Other columns are ignored.
     """
     if window % seed or (window // seed) & (window // seed - 1):
         raise ValueError("window must be seed times a power of two")

@@ -2,14 +2,16 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from brute import components, covered, sha, spans, words
 from data import corpus, frame
 from pyspark.sql import functions as F
 
+from evalloom.llm.blocks import Answers, Blocks, Texts
 from evalloom.llm.components import connected_components
 from evalloom.llm.ngram_join import ngram_jaccard_join
-from evalloom.llm.suffix_dedup import lcp_intervals, maximal_repeats, repeat_groups, suffix_array_dedup
+from evalloom.llm.suffix_dedup import Bytes, Candidates, _first_exchange, lcp_intervals, maximal_repeats, repeat_groups, suffix_array_dedup
 from evalloom.llm.window_dedup import line_dedup, substring_dedup
 
 BLOCK = 2_000  # many blocks even for a small corpus
@@ -36,8 +38,8 @@ def test_substring_dedup_refuses_other_windows(spark):
         substring_dedup(frame(spark, []), window=20, seed=6)
 
 
-@pytest.mark.parametrize("block", [BLOCK, 1 << 20])
-def test_suffix_array_dedup(spark, block):
+@pytest.mark.parametrize(("block", "hot"), [(BLOCK, 1 << 15), (1 << 20, 1 << 15), (BLOCK, 1)])
+def test_suffix_array_dedup(spark, block, hot):
     rows = corpus()
     data = [(k, (t or "").encode()) for k, t in rows]
     gone = covered(data, 50, False, strict=True)
@@ -45,7 +47,7 @@ def test_suffix_array_dedup(spark, block):
         (k, len(b), len(g), spans(g), sha(bytes(x for i, x in enumerate(b) if i not in g)))
         for (k, b), g in zip(data, gone)
     ]
-    got = suffix_array_dedup(frame(spark, rows), block_bytes=block).select(
+    got = suffix_array_dedup(frame(spark, rows), block_bytes=block, hot_pieces=hot).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)
     )
     assert sorted(map(tuple, got.collect())) == want
@@ -70,25 +72,49 @@ def test_maximal_repeats_are_left_diverse_and_complete():
     assert covered_pairs == {x for at in windows.values() if len(at) > 1 for x in at}
 
 
-def test_repeat_groups_hold_every_repeated_window(spark):
-    rows = corpus()
+def occurrences_of(data, text):
+    return {(k, i) for k, b in data.items() for i in range(len(b) - len(text) + 1) if b.startswith(text, i)}
+
+
+def whole_repeat(data, at, length):
+    """The longest common string round the occurrences ``at``."""
+    at = sorted(at)
+    back = 0
+    while len({data[k][i - back - 1] if i > back else (k, i) for k, i in at}) == 1:
+        back += 1
+    while len({data[k][i + length] if i + length < len(data[k]) else (k, i) for k, i in at}) == 1:
+        length += 1
+    return length + back, frozenset((k, i - back) for k, i in at)
+
+
+def nested():
+    """Texts whose repeats hold shorter repeats that are more frequent."""
+    rng = random.Random(4)
+    a, b, c = ("".join(rng.choice("abcdef ") for _ in range(n)) for n in (700, 300, 90))
+    return list(enumerate([a + b, "x" + b + c, a + b + "yy", c, "z" + c + a[:400], b + "q" * 120, a[300:] + "w", "q" * 90]))
+
+
+@pytest.mark.parametrize(("rows", "hot"), [(corpus(), 1 << 15), (corpus(), 2), (nested(), 1 << 15), (nested(), 1)])
+def test_repeat_groups_are_the_whole_repeats_of_all_windows(spark, rows, hot):
     data = {k: (t or "").encode() for k, t in rows}
     windows = {}
     for k, b in data.items():
         for i in range(len(b) - 49):
             windows.setdefault(b[i : i + 50], set()).add((k, i))
-    found, groups = set(), {}
-    for r in repeat_groups(frame(spark, rows), block_bytes=BLOCK).collect():
+    want = {whole_repeat(data, at, 50) for at in windows.values() if len(at) > 1}
+    groups = {}
+    for r in repeat_groups(frame(spark, rows), block_bytes=BLOCK, hot_pieces=hot).collect():
         groups.setdefault((r["repeat"], r["length"]), set()).add((r["doc_id"], r["start"]))
-        found.update((r["doc_id"], r["start"] + d) for d in range(r["length"] - 49))
-    assert found == {x for at in windows.values() if len(at) > 1 for x in at}
-    for (_, n), at in groups.items():
-        assert len({data[k][i : i + n] for k, i in at}) == 1 and len(at) > 1
+    found = {(n, frozenset(at)) for (_, n), at in groups.items()}
+    assert len(found) == len(groups) and want <= found
+    for n, at in found - want:  # repeats of longer strings: maximal, with all their occurrences
+        k, i = min(at)
+        assert at == occurrences_of(data, data[k][i : i + n]) and whole_repeat(data, at, n) == (n, at)
 
 
 def test_lcp_intervals():
-    texts = sorted([b"banana", b"bananas", b"band", b"bat", b"cat"])
-    assert sorted(lcp_intervals(texts)) == [(0, 0, 4), (2, 0, 3), (3, 0, 2), (6, 0, 1)]
+    # banana, bananas, band, bat, cat
+    assert sorted(lcp_intervals([0, 6, 3, 2, 0])) == [(0, 0, 4), (2, 0, 3), (3, 0, 2), (6, 0, 1)]
 
 
 def test_line_dedup(spark):
@@ -139,6 +165,57 @@ def test_odd_rows(spark, op):
     assert op(frame(spark, [])).count() == 0
 
 
+def ordered(spark, rows):
+    """Rows in the order that the operators give to repeated ids: by a hash of the text."""
+    texts = spark.createDataFrame([(t,) for t in {t or "" for _, t in rows}], "t string")
+    tie = {r["t"]: r["h"] % (1 << 64) for r in texts.select("t", F.xxhash64(F.col("t").cast("binary")).alias("h")).collect()}
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1] or ""]))
+
+
+@pytest.mark.parametrize("key", [7, None])
+@pytest.mark.parametrize("op", [substring_dedup, suffix_array_dedup, line_dedup, ngram_jaccard_join])
+def test_rows_of_one_id_spread_over_blocks(spark, op, key):
+    """A table whose rows all share one id, or have none, gives the same as any other."""
+    rows = ordered(spark, [(key, t) for _, t in corpus()])
+    blocks = Blocks(frame(spark, rows), "doc_id", "text", BLOCK, 1 / 6)
+    sizes = [r["n"] for r in blocks.frame.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert len(sizes) > 5 and max(sizes) < sum(sizes) / 3
+    found = op(frame(spark, rows), block_bytes=BLOCK)
+    if op is ngram_jaccard_join:
+        assert {r["component_id"] for r in found.collect()} == {key}
+        return
+    if op is suffix_array_dedup:  # rows with one id do not remove each other's bytes
+        assert found.filter("n_removed > 0").count() == 0
+        return
+    split = words if op is substring_dedup else lambda t: [x for x in (t or "").split("\n") if words(x)]
+    seqs = [(i, split(t)) for i, (_, t) in enumerate(rows)]
+    gone = covered(seqs, 20 if op is substring_dedup else 3, True, strict=False)
+    assert sorted((r["n_units"], r["n_removed"]) for r in found.collect()) == sorted((len(w), len(g)) for (_, w), g in zip(seqs, gone))
+
+
+def test_a_hot_string_does_not_fill_one_bucket(spark):
+    """A rule line in every text: the pieces round it are filed under two minimisers."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(10)) + " -=-=-=-=-=-=-=-=- " + " ".join(word() for _ in range(10))) for i in range(150)]
+    rows += [(200 + i, t) for i, (_, t) in enumerate(rows[:40])]
+    told = {}
+    for hot in (8, 1 << 15):
+        blocks, shape, answers = _first_exchange(frame(spark, rows), "doc_id", "text", 50, 16, BLOCK, hot)
+
+        def keys(group, told):  # noqa: B023 - different pieces of a block, by what they are filed under
+            pieces = Candidates(Bytes(Texts(group).texts), Answers(told), shape)
+            filed = pieces.keys[pieces.first].view("int64")
+            return pa.table({"key": pa.array(filed, pa.int64()), "n": pa.array([1] * len(filed), pa.int64())})
+
+        parts = blocks._with(answers).applyInArrow(keys, "key long, n long")
+        told[hot] = max(r["n"] for r in parts.groupBy("key").agg(F.sum("n").alias("n")).collect())
+        gone = covered([(k, t.encode()) for k, t in rows], 50, False, strict=True)
+        got = suffix_array_dedup(frame(spark, rows), block_bytes=BLOCK, hot_pieces=hot).collect()
+        assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(k, len(g)) for (k, _), g in zip(rows, gone)]
+    assert told[8] < told[1 << 15] / 3
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     links = links.unionAll(spark.createDataFrame([(100, 101), (102, 101)], "a long, b long"))
