@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import stable_hash
-from evalloom.session import checkpoint
+from evalloom.session import checkpoint, forget
 
 # Target shares of the splits.
 SHARES = {"train": 0.6, "validation": 0.2, "test": 0.2}
@@ -23,14 +23,15 @@ def connected_groups(records: DataFrame, record: str, keys: list[Column]) -> Dat
     tagged = F.array(*[F.when(k.isNotNull(), F.struct(F.lit(i).alias("k"), k.cast("string").alias("v"))) for i, k in enumerate(keys)])
     links = records.select(F.col(record).alias("r"), F.explode(F.array_compact(tagged)).alias("key"))
     links = checkpoint(links.select("r", F.sha2(F.concat_ws(":", "key.k", "key.v"), 256).alias("key")).distinct())
-    labels = checkpoint(records.select(F.col(record).alias("r"), F.col(record).alias("label")).distinct())
+    labels = old = checkpoint(records.select(F.col(record).alias("r"), F.col(record).alias("label")).distinct())
     while True:
         lows = links.join(labels, "r").groupBy("key").agg(F.min("label").alias("low"))
         near = links.join(lows, "key").groupBy("r").agg(F.min("low").alias("near"))
         step = labels.join(near, "r", "left").select("r", "label", F.least("label", "near").alias("low"))
         up = labels.select(F.col("r").alias("low"), F.col("label").alias("lower"))
         new = checkpoint(step.join(up, "low").select("r", "lower", (F.col("lower") < F.col("label")).alias("moved")))
-        labels = new.select("r", F.col("lower").alias("label"))
+        forget(old)
+        labels, old = new.select("r", F.col("lower").alias("label")), new
         if new.filter("moved").isEmpty():
             return labels.select(F.col("r").alias(record), F.col("label").alias("group_name"))
 

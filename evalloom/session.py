@@ -48,6 +48,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpointed ``df`` that no later plan reads."""
+    saved = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if saved.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(saved.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
