@@ -152,14 +152,18 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
 
 def fit_languages(
     docs: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 2_000, switch: float = 12.0, floor: float = -6.0, slices: int = 6,
+    per_language: int = 2_000, switch: float = 12.0, floor: float = -6.0, slices: int = 6, max_languages: int = 256,
 ) -> LanguageModel:
     """Count the model on about ``per_language`` whole texts of each language under ``fold``, a
-    condition on ``id``. Rows without text or language are left out."""
+    condition on ``id``. Rows without text or language are left out. A column of more than
+    ``max_languages`` languages is refused: tables of all of them go to every worker."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(fold).filter("text is not null and lang is not null")
-    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(counted) > max_languages:
+        raise ValueError(f"{lang_col} holds more than {max_languages} languages")
+    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in counted}
     languages = tuple(sorted(share))
     if not languages:
         return LanguageModel((), np.zeros((0, len(GRAMS) * TABLE)), np.zeros((0, len(SCRIPTS)), bool), switch, floor)
@@ -238,7 +242,8 @@ def language_id(docs: DataFrame, fold: Column, id_col: str = "doc_id", text_col:
 
     ``lang_pred`` is the language of most letters on the best path, ``score`` their share (times the
     language's posterior where the path has no switch). A text that is null or without a letter is
-    ``und`` with score 0; so are all where nothing can be learned. Other columns are ignored.
+    ``und`` with score 0; so are all where nothing can be learned. Other columns are ignored. More
+    than 256 different languages to learn from are an error.
     """
     model = fit_languages(docs, fold, id_col, text_col, lang_col, per_language)
     found = docs.select(F.col(id_col).alias("doc_id"), language_column(model, F.col(text_col), docs.sparkSession).alias("r"))

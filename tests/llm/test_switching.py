@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from data import SCHEMA
+from pyspark.sql import functions as F
 from test_models import brute_path
 
 from evalloom.llm import language_id as lid
@@ -20,3 +22,34 @@ def test_paths_against_all_at_costly_switches(seed):
     (path,) = lid.viterbi([s], 5.0)
     value = sum(s[i, p] for i, p in enumerate(path)) - 5.0 * sum(a != b for a, b in zip(path, path[1:]))
     assert value == pytest.approx(brute_path(s, 5.0))
+
+
+def plain_viterbi(score, switch):
+    """Value of the best path, by the textbook recurrence."""
+    total = score[0].copy()
+    for row in score[1:]:
+        total = np.maximum(total, total.max() - switch) + row
+    return total.max()
+
+
+def test_many_random_texts_against_a_plain_dynamic_program():
+    rng = np.random.default_rng(3)
+    for switch in (1.5, 6.0, 12.0):
+        texts = []
+        for _ in range(1500):
+            n, k = int(rng.integers(1, 61)), 4
+            score = rng.normal(-2, 2, (n, k))
+            for a in range(0, n, max(1, n // int(rng.integers(1, 5)))):  # stretches that favour one language
+                score[a : a + n // 3 + 1, rng.integers(k)] += rng.uniform(0, 3)
+            score -= score.max(axis=1, keepdims=True)
+            texts.append(np.maximum(score, -6))
+        for score, path in zip(texts, lid.viterbi(texts, switch)):
+            value = score[np.arange(len(path)), path].sum() - switch * (np.diff(path) != 0).sum()
+            assert value == pytest.approx(plain_viterbi(score, switch))
+
+
+def test_too_many_languages_are_refused(spark):
+    rows = [(i, "some text here", f"l{i}", "s", 14, 1, "w", 2, "r") for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(ValueError):
+        lid.language_id(docs, F.lit(True))
