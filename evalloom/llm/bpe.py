@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from evalloom.session import ship_package
 
+# Fixed value: the public pattern whose matches end at the safe places below.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Between these characters every match of the pattern ends: no alternative runs from a non-space
 #: into a space, or from a letter into a digit or back, and only runs of spaces look ahead.
 SAFE_CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
@@ -42,10 +45,10 @@ def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def safe_pieces(text: str, size: int) -> Iterator[str]:
-    """Cut ``text`` at the first safe place after every ``size`` characters."""
+def safe_pieces(text: str, size: int | None) -> Iterator[str]:
+    """Cut ``text`` at the first safe place after every ``size`` characters; without a size, nowhere."""
     at = 0
-    while len(text) - at > size:
+    while size is not None and len(text) - at > size:
         cut = SAFE_CUT.search(text, at + size)
         if cut is None:
             break
@@ -54,7 +57,7 @@ def safe_pieces(text: str, size: int) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_pieces(enc: tiktoken.Encoding, text: str, size: int) -> Iterator[list[int]]:
+def encode_pieces(enc: tiktoken.Encoding, text: str, size: int | None) -> Iterator[list[int]]:
     for piece in safe_pieces(text, size):
         yield enc.encode_ordinary(piece)
 
@@ -76,33 +79,39 @@ def byte_bpe(
 
     A null or empty text has no tokens and decodes to no bytes. Repeated rows are encoded row by row,
     other columns are ignored. A digest is fed piece by piece, so its memory does not grow with a
-    text's tokens. No shuffle: each input batch is encoded where it is read.
+    text's tokens. No shuffle: each input batch is encoded where it is read. Texts are cut at safe
+    places only for ``CUT_PATTERN``; with another pattern each text is encoded in one piece.
     """
     spark = docs.sparkSession
     ship_package(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    size = piece_chars if pattern == CUT_PATTERN else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, pattern)
         names = [str(i) for i in range(enc.max_token_value + 1)]
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                yield (_digests if digests else _tokens)(part, enc, names, piece_chars)
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                yield (_digests if digests else _tokens)(part, enc, names, size)
 
     ready = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return ready.mapInArrow(rows, DIGESTS if digests else SCHEMA)
 
 
-def _tokens(part: pa.RecordBatch, enc: tiktoken.Encoding, names: list[str], size: int) -> pa.RecordBatch:
-    ids = [[i for p in encode_pieces(enc, t or "", size) for i in p] for t in part["text"].to_pylist()]
+def _tokens(part: pa.RecordBatch, enc: tiktoken.Encoding, names: list[str], size: int | None) -> pa.RecordBatch:
+    ids, decoded = [], []
+    for text in part["text"].to_pylist():
+        pieces = [np.array(p, np.int32) for p in encode_pieces(enc, text or "", size)]
+        ids.append(np.concatenate(pieces))
+        decoded.append(b"".join(enc.decode_bytes(p.tolist()) for p in pieces))
     return pa.RecordBatch.from_arrays(
-        [part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode_bytes(x) for x in ids], pa.binary())],
+        [part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
         ["doc_id", "n_tokens", "ids", "decoded"],
     )
 
 
-def _digests(part: pa.RecordBatch, enc: tiktoken.Encoding, names: list[str], size: int) -> pa.RecordBatch:
+def _digests(part: pa.RecordBatch, enc: tiktoken.Encoding, names: list[str], size: int | None) -> pa.RecordBatch:
     out: list[tuple[int, str, str]] = []
     for text in part["text"].to_pylist():
         n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
