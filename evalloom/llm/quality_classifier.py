@@ -145,12 +145,14 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 40, seed
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column, bound: int) -> DataFrame:
-    """At most ``bound`` labelled texts, the first in the order of a hash of their ids."""
+    """At most ``bound`` labelled texts, the first in the order of a hash of their ids; of several rows
+    with one id the least text."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().filter(fold)
     known = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(bound)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The ids are at most ``bound`` rows of two numbers.
-    return texts.join(F.broadcast(known), "id").orderBy(F.xxhash64("id"), "id").select("text", "label")
+    found = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return found.orderBy(F.xxhash64("id"), "id").select("text", "label")
 
 
 class QualityClassifier:

@@ -116,6 +116,13 @@ def test_quality_of_odd_rows(spark):
     assert qc.quality_scores(frame(spark, []), labels.limit(0), fold("id") != 0).count() == 0
 
 
+def test_repeated_rows_do_not_enlarge_the_sample(spark):
+    docs = frame(spark, [(i % 40, f"text {i}") for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    drawn = qc._sample(docs, labels, "doc_id", "text", "quality", F.lit(True), 30).collect()
+    assert len(drawn) == 30 and {int(r["text"].split()[1]) for r in drawn} <= set(range(400))
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -161,7 +168,7 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     rows = [*enumerate(texts), (500, None), (501, "")]
     benchmark = spark.createDataFrame([*enumerate(items), (7, None), (None, "a b"), (8, "")], "item_id long, text string")
     found = dc.decontaminate(frame(spark, rows), benchmark, params=dc.Params(paraphrase=0.6))
-    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} - {(77, 2)} == {(3, 0), (50, 1)}
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(3, 0), (50, 1), (77, 2)}
     small = dc.decontaminate(frame(spark, rows), benchmark, params=dc.Params(block_items=1))
     assert {tuple(r) for r in small.collect()} == {tuple(r) for r in found.collect()}
     assert dc.decontaminate(frame(spark, rows), benchmark.limit(0)).count() == 0
@@ -175,4 +182,4 @@ def test_candidates_miss_no_contained_item(spark):
     plain = {i: b" ".join(dc.words_of(t.encode())) for i, t in zip(docs.doc_id, docs.text)}
     held = {(i, k) for k, t in zip(items.item_id, items.text) for i, x in plain.items() if b" ".join(dc.words_of(t.encode())) in x}
     found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op7_benchmark_decontamination"](spark, SF).collect()}
-    assert len(held & found) >= 0.9 * len(held) and held
+    assert held <= found and held
