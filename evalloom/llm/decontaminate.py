@@ -6,7 +6,8 @@ of every document, overlapping runs of words, is projected into the latent space
 cosine with all benchmark items. Two exact searches stand beside it, which no word's frequency and no
 item's length weakens: for runs of up to three words that an item and a text share, and for the most
 telling word of an item. Passages near an item are checked by the longest common subsequence
-of words, and for paraphrases also for the item's answer, its most telling words.
+of words, and for paraphrases also for the item's answer: one of its most telling words must be there,
+and the words that are there must carry two fifths of the item's weight.
 
 Each document is judged where it is read. Only the weights, the factors and the items go to the
 workers: their size depends on the tables' fixed sizes and on the items in a block, which is bounded;
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -177,6 +179,7 @@ class Item:
     words: list[bytes]
     answer: frozenset[bytes]
     telling: tuple[bytes, ...]
+    weights: tuple[float, ...] = ()
 
 
 def run_length(size: int, copy: float) -> tuple[int, int]:
@@ -226,7 +229,7 @@ def _index(entries: list[tuple[np.ndarray, int, np.ndarray]]) -> Index:
 
 class Exact:
     """Runs of words and telling words of one block of items, by hash. An item of up to ``stride`` words has one telling
-    word more than a copy may lack, so every copy holds one of them, however it is spread."""
+    word more than a paraphrase may lack, so each holds one of them, however it is spread."""
 
     def __init__(self, items: list[Item], copy: float):
         runs: dict[int, list] = {}
@@ -387,15 +390,19 @@ class Lexicon:
             item = self.items[k]
             region = words[max(0, a - len(item.words)) : a + p.passage + len(item.words)]
             held = set(region)
-            if sum(w in held for w in item.words) < p.paraphrase * len(item.words):
+            there = [w in held for w in item.words]
+            if sum(there) < p.paraphrase * len(item.words):
                 continue  # not even out of order
             common = lcs(item.words, region) / len(item.words)
-            if common >= p.copy or (common >= p.paraphrase and item.answer <= held):
+            if common >= p.copy or (common >= p.paraphrase and self._answered(item, held, there)):
                 cosine = self.cosine(words[a : a + p.passage], k)
                 if k not in best or (common, cosine) > (best[k][1], best[k][0]):
                     best[k] = (cosine, common, a)
         return [(self.items[k].item_id, *v) for k, v in sorted(best.items())]
 
+    def _answered(self, item: Item, held: set[bytes], there: list[bool]) -> bool:
+        return not item.answer.isdisjoint(held) and sum(compress(item.weights, there)) >= self.p.weight * sum(item.weights)
+
     def cosine(self, words: list[bytes], k: int) -> float:
         """Latent cosine of a passage with the nearest of an item's."""
         slots, times = np.unique(slots_of(words), return_counts=True)
@@ -420,7 +427,9 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
 @dataclass(frozen=True)
 class Params:
     """Passages of ``passage`` words every ``stride`` words (a divisor of it); ``cosine`` to become a candidate; the share
-    of an item's words that must follow in order, for a copy and, with its answer, for a paraphrase.
+    of an item's words that must follow in order, for a copy and, with its answer, for a paraphrase; the share of the
+    item's weight that a paraphrase's words must carry. The answer is one of the ``answer_words`` most telling words, or
+    of one in ``answer_share`` words of a long item.
     Passages of items, cut as those of documents, are factored ``rank`` at a time, to full rank; a block holds up to ``block_items`` items, or as many as fill
     ``block_groups`` such groups."""
 
@@ -429,7 +438,9 @@ class Params:
     cosine: float = 0.3
     copy: float = 0.8
     paraphrase: float = 0.6
+    weight: float = 0.4
     answer_words: int = 3
+    answer_share: int = 10
     rank: int = 256
     block_items: int = 20_000
     block_groups: int = 8
@@ -441,9 +452,9 @@ class Decontaminator:
         ship_package(self.spark)
         items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
         self.items = items.filter("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])
-        n, df = document_frequency(docs, text_col)
+        n, self.df = document_frequency(docs, text_col)
         # Every word counts: a leak may stand in most documents.
-        self.idf = np.log((n + 1) / (df + 1)) + FLOOR
+        self.idf = np.log((n + 1) / (self.df + 1)) + FLOOR
 
     def _blocks(self) -> Iterator[Lexicon]:
         """Blocks of items in the order of their ids; one block at a time is on the driver."""
@@ -452,10 +463,14 @@ class Decontaminator:
             words = words_of(row["text"].encode())
             if not words:
                 continue
-            order = sorted(set(words), key=lambda w: (-self.idf[slots_of([w])[0]], w))
-            lost = len(words) - math.ceil(p.copy * len(words) - 1e-9) if len(words) <= p.stride else 0
+            slot = dict(zip(words, slots_of(words).tolist(), strict=True))
+            # A word that no document holds tells nothing: no leak has it.
+            order = sorted((w for w, at in slot.items() if self.df[at]), key=lambda w: (-self.idf[slot[w]], w))
+            lost = len(words) - math.ceil(p.paraphrase * len(words) - 1e-9) if len(words) <= p.stride else 0
             cut += [(len(block), b" ".join(words[a : a + p.passage])) for a in passages(len(words), p.passage, p.stride)]
-            block.append(Item(row["item_id"], words, frozenset(order[: p.answer_words]), tuple(order[: lost + 1])))
+            weights = tuple(float(self.idf[slot[w]]) for w in words)
+            answer = order[: max(p.answer_words, math.ceil(len(words) / p.answer_share))]
+            block.append(Item(row["item_id"], words, frozenset(answer), tuple(order[: lost + 1]), weights))
             if len(block) == p.block_items or len(cut) >= p.block_groups * p.rank:
                 yield Lexicon(self.idf, self._groups(cut), block, p)
                 block, cut = [], []

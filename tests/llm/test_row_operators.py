@@ -121,7 +121,7 @@ def test_thresholds_are_compiled(spark):
     assert quality_rules(df, thresholds=rules, max_repeat_percent=100).first()["broken_rules"] == ["a", "b"]
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - {"op3_suffix_array_dedup"}))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_against_its_sql(spark, name):
     assert_same(QUERIES[name](spark, SF), connect(SF), oracle_sql()[name])
 
