@@ -18,7 +18,7 @@ from evalloom.llm.ngram_join import ngram_jaccard_join
 from evalloom.llm.quality_classifier import fit_quality
 from evalloom.llm.queries import fold
 from evalloom.llm.window_dedup import line_dedup
-from evalloom.session import checkpoint, table
+from evalloom.session import checkpoint, forget, table
 
 QUALITY_CUT = 0.3
 
@@ -39,10 +39,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by similar sets of shingles."""
-    first = ngram_jaccard_join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["first_id"], "left_semi")
-    return kept.unionAll(docs.filter(docs["doc_id"].isNull()))
+    """One document, the one with the smallest id, of each group linked by similar sets of shingles; of
+    rows that repeat that id the one with the least text."""
+    first = ngram_jaccard_join(docs).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("n"))
+    first = checkpoint(first)
+    same = docs["doc_id"] == F.col("first_id")
+    kept = docs.join(first.filter("n = 1"), same, "left_semi")
+    repeated = docs.join(first.filter("n > 1"), same, "left_semi")
+    least = F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(F.col("text").isNotNull(), "text")).alias("row")
+    one = repeated.groupBy("doc_id").agg(least).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionAll(one).unionAll(docs.filter(docs["doc_id"].isNull()))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order; what a stage kept is deleted once its successor's rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = checkpoint(docs)
+            if before is not None:
+                forget(before)
+            before = docs
     return docs
