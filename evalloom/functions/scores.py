@@ -16,7 +16,8 @@ def exact_match(a: Column, b: Column) -> Column:
 
 
 def token_f1(predicted: Column, expected: Column) -> Column:
-    """Overlap F1 of two token arrays as multisets, times 100; 0 if either is empty."""
+    """Overlap F1 of two token arrays as multisets, times 100; 0 if either is empty. For answers: work grows with
+    the product of the lengths; ``operators.evidence.token_f1`` compares long texts."""
     common = F.aggregate(
         F.array_distinct(predicted),
         F.lit(0),

@@ -55,6 +55,17 @@ def ngrams(tokens: Column, n: int = LEAKAGE_NGRAM) -> Column:
     return F.get(F.transform(F.array(tokens), of), F.lit(0))
 
 
+def ngram_count(tokens: Column, n: int = LEAKAGE_NGRAM) -> Column:
+    """How many distinct n-grams a token array has, by 64-bit hashes: among the millions of n-grams of a very
+    long text two are taken for one with a chance below one in a million."""
+
+    def of(t: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.xxhash64(F.slice(t, i + 1, n)))
+        return F.when(F.size(t) >= n, F.size(F.array_distinct(found))).otherwise(0)
+
+    return F.get(F.transform(F.array(tokens), of), F.lit(0)).cast("long")
+
+
 def last_line(text: Column) -> Column:
     """Last line with content, trimmed."""
     return strip(F.try_element_at(F.filter(F.split(text, "\n"), lambda x: strip(x) != ""), F.lit(-1)))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import stable_hash
+from evalloom.operators.ordering import rank_within
 from evalloom.session import checkpoint, forget
 
 # Target shares of the splits.
@@ -40,34 +45,35 @@ def greedy_split(groups: DataFrame, shares: dict[str, float], seed: int = 0) ->
     """(group_name, split) of groups with a ``weight``: in the order of a seeded hash, each group goes to the
     split furthest below its target, ties to the first split.
 
-    The rule is a fold over all groups, so groups are folded in one task; records are not.
+    The rule is a fold over all groups, so groups, not records, pass through one task: sorted by Spark
+    and streamed, with one sum per split as the only state.
     """
-    names, targets = list(shares), F.array(*[F.lit(float(s)) for s in shares.values()])
-    item = F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group_name").cast("string")), 256).alias("h"), "group_name", F.col("weight").cast("double").alias("weight"))
-    all_ = groups.agg(F.array_sort(F.collect_list(item)).alias("items"), F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("total"))
-    name_type = groups.schema["group_name"].dataType.simpleString()
-    start = F.struct(
-        F.array(*[F.lit(0.0)] * len(names)).alias("filled"),
-        F.array().cast(f"array<struct<group_name: {name_type}, split: string>>").alias("out"),
+    names, targets = list(shares), np.array(list(shares.values()))
+    named = groups.select(
+        F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group_name").cast("string")), 256).alias("h"), "group_name", F.col("weight").cast("double").alias("weight")
     )
+    total = named.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("total"))  # one row
+    ordered = named.crossJoin(F.broadcast(total)).repartition(1).sortWithinPartitions("h", "group_name", "weight")
 
-    def put(state: Column, x: Column) -> Column:
-        deficit = F.zip_with(targets, state["filled"], lambda share, filled: share * F.col("total") - filled)
-        at = F.array_position(deficit, F.array_max(deficit)).cast("int") - 1
-        filled = F.transform(state["filled"], lambda v, i: F.when(i == at, v + x["weight"]).otherwise(v))
-        entry = F.struct(x["group_name"].alias("group_name"), F.get(F.array(*map(F.lit, names)), at).alias("split"))
-        return F.struct(filled.alias("filled"), F.concat(state["out"], F.array(entry)).alias("out"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.zeros(len(names))
+        for batch in batches:
+            split = []
+            for weight, all_ in zip(batch["weight"].to_pylist(), batch["total"].to_pylist(), strict=True):
+                at = int((targets * all_ - filled).argmax())
+                filled[at] += weight
+                split.append(names[at])
+            yield pa.RecordBatch.from_arrays([batch["group_name"], pa.array(split, pa.string())], ["group_name", "split"])
 
-    return all_.select(F.inline(F.aggregate("items", start, put, lambda s: s["out"])))
+    return ordered.mapInArrow(fold, f"group_name {groups.schema['group_name'].dataType.simpleString()}, split string")
 
 
 def stratified_split(rows: DataFrame, key: str, row: str, dev_fraction: float = 0.2, rare: int = 3, seed: int = 42) -> DataFrame:
     """``split`` dev or test, key by key in a hashed order; keys with at most ``rare`` rows are all test."""
-    order = stable_hash(F.lit(str(seed)), F.col(row).cast("string"))
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(order, row))).withColumn("size", F.count("*").over(w))
-    dev = (F.col("size") > rare) & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("size") * dev_fraction)))
-    return ranked.withColumn("split", F.when(dev, "dev").otherwise("test")).drop("rank", "size")
+    hashed = rows.withColumn("_hash", stable_hash(F.lit(str(seed)), F.col(row).cast("string")))
+    ranked = rank_within(hashed, key, ["_hash", row], "_rank", "_size")
+    dev = (F.col("_size") > rare) & (F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_size") * dev_fraction)))
+    return ranked.withColumn("split", F.when(dev, "dev").otherwise("test")).drop("_rank", "_hash", "_size")
 
 
 def stable_sample(rows: DataFrame, row: str, n: int, seed: int = 0) -> DataFrame:

@@ -19,7 +19,7 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "rn") -> Data
     dealt = checkpoint(dealt)  # the parts must be those that are counted
     counts = dealt.groupBy("_part").count()
     before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # one row per range
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # one row per shuffle partition
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     numbered = dealt.withColumn("_within", within).join(F.broadcast(offsets), "_part")
     return numbered.withColumn(name, F.col("_within").cast("long") + F.col("_before")).drop("_part", "_within", "_before")
@@ -30,9 +30,20 @@ def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
     return global_row_number(df, order).withColumn("batch", F.floor((F.col("rn") - 1) / size).cast("long"))
 
 
+def rank_within(df: DataFrame, group: str, order: list[str], rank: str = "rank", size: str | None = None) -> DataFrame:
+    """``rank`` of every row in its group, from 1 in the order of ``order`` (unique in a group), and the group's
+    ``size``. Rows are numbered over all groups and each group's first number is taken off, so that a group of any
+    size is spread over tasks; rows with a null group are a group too."""
+    numbered = global_row_number(df, [group, *order], "_rn")
+    first = numbered.groupBy(F.col(group).alias("_g")).agg(F.min("_rn").alias("_first"), F.count("*").alias("_in_group"))
+    both = numbered.join(first, F.col(group).eqNullSafe(F.col("_g")))
+    ranked = both.withColumn(rank, F.col("_rn") - F.col("_first") + 1)
+    return (ranked.withColumn(size, F.col("_in_group")) if size else ranked).drop("_rn", "_g", "_first", "_in_group")
+
+
 def round_robin(df: DataFrame, group: str, order: str) -> DataFrame:
     """``turn`` of every row in its group; ordering by (turn, group) takes the groups by turns."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("long"))
+    return rank_within(df, group, [order], "turn")
 
 
 def latest(df: DataFrame, key: str, order: list[Column], columns: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import fingerprint, redact
@@ -70,15 +70,14 @@ def number_lessons(lessons: DataFrame) -> DataFrame:
 
 def catalog(guidelines: DataFrame, lessons: DataFrame, least: int = 2, strong: int = 3) -> DataFrame:
     """Guidelines (route, pos, title, criteria as texts, lesson_ids) with ids, support, counts by signal, strength and
-    whether they are included. Guidelines are few, so they are numbered in one task."""
-    order = F.row_number().over(Window.orderBy("route", "pos"))
-    named = guidelines.withColumn("guideline_id", F.format_string("G%03d", order))
+    whether they are included."""
+    named = global_row_number(guidelines, ["route", "pos"]).withColumn("guideline_id", F.format_string("G%03d", "rn")).drop("rn")
     cited = named.select("guideline_id", F.explode("lesson_ids").alias("lesson_id")).join(lessons.select("lesson_id", "record_id", "signal"), "lesson_id")
     support = cited.groupBy("guideline_id").agg(
         F.count_distinct("record_id").alias("support"), *[F.count_if(F.col("signal") == s).alias(s) for s in ("explicit", "clear", "weak")]
     )
     criteria = F.transform("criteria", lambda c, i: F.struct(F.concat_ws(".c", "guideline_id", (i + 1).cast("string")).alias("criterion_id"), c.alias("statement")))
-    full = named.withColumn("criteria", criteria).join(F.broadcast(support), "guideline_id", "left").na.fill(0, ["support", "explicit", "clear", "weak"])
+    full = named.withColumn("criteria", criteria).join(support, "guideline_id", "left").na.fill(0, ["support", "explicit", "clear", "weak"])
     return full.withColumn("strength", F.when(F.col("support") >= strong, "strong").otherwise("emerging")).withColumn("included", F.col("support") >= least)
 
 

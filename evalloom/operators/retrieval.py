@@ -2,42 +2,146 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from evalloom.functions.text import LEAKAGE_NGRAM, MIN_SHORT_INPUT, occurs_as_word, word_count, words
+from evalloom.session import checkpoint, ship_package
+
+#: Values that one pass over the texts looks for; more take further passes.
+PASS_VALUES = 20_000
+PASS_QUERIES = 1_000
 
-from evalloom.functions.text import LEAKAGE_NGRAM, MIN_SHORT_INPUT, ngrams, occurs_as_word, word_count, words
+
+def _passes(rows: DataFrame, size: int) -> Iterator[list]:
+    """Rows of a small side, some at a time: only one pass's rows are on the driver."""
+    block = []
+    for row in rows.toLocalIterator():
+        block.append(row)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k: int = 7, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query.
 
-    Only postings of the queries' terms are kept before the shuffle; document frequencies come from
-    the same postings. The queries' terms are few, the postings many: the join is on the term and the
-    sum over terms is per (query, document). A result of at most k rows per query needs no full sort.
+    Queries are taken in blocks. Each text is cut down to the block's terms where it is read; document
+    frequencies are one small aggregate. Documents are then scored batch by batch against the whole
+    block, each task hands on its k best per query, and the best of these are the result: neither a
+    frequent term nor a query has a task of its own, and nothing of the size queries x documents is made.
     """
-    terms = docs.select(F.col(doc).alias("d"), words(F.col(text)).alias("w"))
-    stats = terms.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_len"))  # one row
-    asked = queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(words(F.col(text)))).alias("t"))
-    wanted = asked.select("t").distinct()
-    postings = terms.select("d", F.size("w").alias("len"), F.explode("w").alias("t")).join(wanted, "t", "left_semi")
-    tf = postings.groupBy("t", "d", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    weight = F.expr("ln(1 + (n - df + 0.5) / (df + 0.5))") * F.col("tf") * (k1 + 1)
-    weight = weight / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, "t").crossJoin(F.broadcast(stats)).join(asked, "t").groupBy("q", "d").agg(F.round(F.sum(weight), 6).alias("score"))
+    ship_package(docs.sparkSession)
+    asked = queries.select(F.col(query).alias("q"), F.array_distinct(words(F.col(text))).alias("t")).filter("size(t) > 0")
+    found = [_bm25_block(docs, rows, doc, text, k, k1, b, queries.schema[query].dataType.simpleString()) for rows in _passes(asked.orderBy("q"), PASS_QUERIES)]
+    if not found:
+        found = [asked.select("q", F.lit(None).cast(docs.schema[doc].dataType).alias("d"), F.lit(0.0).alias("score")).limit(0)]
+    best = found[0]
+    for more in found[1:]:
+        best = best.unionAll(more)
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
-    best = scored.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
+    best = best.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
     return best.select(F.col("q").alias(query), F.col("d").alias(doc), "score", "rank")
 
 
+def _bm25_block(docs: DataFrame, rows: list, doc: str, text: str, k: int, k1: float, b: float, query_type: str) -> DataFrame:
+    spark = docs.sparkSession
+    terms = sorted({t for r in rows for t in r["t"]})
+    place = {t: i for i, t in enumerate(terms)}
+    of = np.zeros((len(terms), len(rows)), bool)
+    for j, r in enumerate(rows):
+        of[[place[t] for t in r["t"]], j] = True
+
+    def kept(w: Column) -> Column:
+        return F.struct(F.size(w).alias("len"), F.filter(w, lambda t: t.isin(terms)).alias("w"))
+
+    # Bound to a lambda variable, the words are found once.
+    cut = F.get(F.transform(F.array(words(F.col(text))), kept), F.lit(0))
+    hits = checkpoint(docs.select(F.col(doc).alias("d"), cut.alias("c")).select("d", "c.len", "c.w"))
+    n, mean = hits.agg(F.count("*"), F.avg("len")).first()
+    seen = hits.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").count()
+    df = np.zeros(len(terms))
+    for r in seen.toLocalIterator():  # at most one row for each term of the block
+        df[place[r["t"]]] = r["count"]
+    shared = spark.sparkContext.broadcast((place, np.log(1 + (n - df + 0.5) / (df + 0.5)), of, [r["q"] for r in rows]))
+    doc_type = hits.schema["d"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, idf, asked, names = shared.value
+        best: dict[int, list[tuple[float, object]]] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                _best_of(part, where, idf, asked, k, k1, b, mean, best)
+        flat = [(names[j], d, -s) for j, kept in best.items() for s, d in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*flat, strict=True)) or [()] * 3, types, strict=True)], ["q", "d", "score"])
+
+    schema = StructType.fromDDL(f"q {query_type}, d {doc_type}, score double")
+    types = [f.type for f in to_arrow_schema(schema)]
+    return hits.filter("size(w) > 0").mapInArrow(score, schema)
+
+
+def _best_of(part: pa.RecordBatch, where: dict, idf: np.ndarray, asked: np.ndarray, k: int, k1: float, b: float, mean: float, best: dict) -> None:
+    """Merge the scores of some documents into the k best of each query, kept as (-score, document)."""
+    found = part["w"].to_pylist()
+    row = np.repeat(np.arange(len(found)), [len(w) for w in found])
+    at = np.fromiter((where[t] for w in found for t in w), np.int64, len(row))
+    key, tf = np.unique(row * len(idf) + at, return_counts=True)
+    row, at = key // len(idf), key % len(idf)
+    length = part["len"].to_numpy(zero_copy_only=False)[row]
+    weight = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+    used, column = np.unique(at, return_inverse=True)
+    dense = np.zeros((len(found), len(used)))
+    dense[row, column] = weight
+    score = np.round(dense @ asked[used].astype(np.float64), 6)
+    ids = part["d"].to_pylist()
+    top = np.argpartition(-score, k - 1, axis=0)[:k] if len(ids) > k else None
+    for j in np.flatnonzero(score.any(axis=0)).tolist():
+        least = score[top[:, j], j].min() if top is not None else 0.0
+        near = np.flatnonzero((score[:, j] >= least) & (score[:, j] > 0))
+        best[j] = sorted([*best.get(j, []), *((-score[i, j].item(), ids[i]) for i in near.tolist())])[:k]
+
+
 def leaked_ngrams(held_out: DataFrame, cases: DataFrame, case: str, text: str, n: int = LEAKAGE_NGRAM, most: int = 2) -> DataFrame:
-    """(ngram, owners): n-grams of the held-out texts that stand in 1 to ``most`` cases; more is boilerplate."""
-    new = held_out.select(F.explode(ngrams(words(F.col(text)), n)).alias("ngram")).distinct()
-    theirs = cases.select(F.col(case).alias("c"), F.explode(ngrams(words(F.col(text)), n)).alias("ngram"))
-    owned = theirs.join(new, "ngram", "left_semi").groupBy("ngram").agg(F.count("*").alias("owners"))
+    """(ngram, owners): n-grams of the held-out texts that stand in 1 to ``most`` cases; more is boilerplate.
+
+    Cases are searched for hashes of the held-out n-grams, a block of them at a time, where they are
+    read; only windows with such a hash become strings, and these are compared as strings.
+    """
+    new = _windows(held_out.select(words(F.col(text)).alias("w")), n).select("ngram").distinct()
+    new = checkpoint(new.withColumn("h", F.xxhash64("ngram")))
+    read = cases.select(F.col(case).alias("c"), words(F.col(text)).alias("w"))
+    found = None
+    for rows in _passes(new.select("h").distinct(), PASS_VALUES):
+        hits = _windows(read, n, [r["h"] for r in rows]).select("c", "ngram").distinct()
+        found = hits if found is None else found.unionAll(hits)
+    if found is None:
+        return new.select("ngram", F.lit(0).cast("long").alias("owners")).limit(0)
+    owned = found.join(new.select("ngram"), "ngram", "left_semi").groupBy("ngram").agg(F.count("*").alias("owners"))
     return owned.filter(F.col("owners") <= most)
 
 
+def _windows(rows: DataFrame, n: int, hashes: list[int] | None = None) -> DataFrame:
+    """A row for each n-gram of the words ``w``, or for those with one of the hashes."""
+
+    def hit(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - n)
+        text = F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        found = text if hashes is None else F.filter(text, lambda g: F.xxhash64(g).isin(hashes))
+        return F.when(F.size(w) >= n, found)
+
+    once = F.get(F.transform(F.array("w"), hit), F.lit(0))
+    return rows.select(*[c for c in rows.columns if c != "w"], F.explode(F.array_distinct(once)).alias("ngram"))
+
+
 def short_inputs(inputs: DataFrame, texts: DataFrame, value: str, row: str, text: str) -> DataFrame:
     """(row, value): short inputs that stand in a text as words. An input's first word is joined first, so
     regular expressions run on texts that hold it."""

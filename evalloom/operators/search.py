@@ -80,11 +80,17 @@ def lineage(candidates: DataFrame, child: str, parent: str) -> DataFrame:
 
 
 def merge_pairs(pool: DataFrame, member: str, changed: str, tried: DataFrame | None = None) -> DataFrame:
-    """Pairs of members whose sets of changed settings are both non-empty and share nothing."""
-    a = pool.select(F.col(member).alias("a"), F.col(changed).alias("ca"))
-    b = pool.select(F.col(member).alias("b"), F.col(changed).alias("cb"))
-    pairs = a.join(b, F.col("a") < F.col("b")).filter((F.size("ca") > 0) & (F.size("cb") > 0) & ~F.arrays_overlap("ca", "cb"))
-    pairs = pairs.select("a", "b")
+    """Pairs of members whose sets of changed settings are both non-empty and share nothing.
+
+    Sets are compared, of which there are few, and members joined to pairs of sets; the result has a row for each
+    pair of members, as the search asks.
+    """
+    of = pool.select(F.col(member).alias("m"), F.array_sort(F.array_distinct(changed)).alias("s")).filter("size(s) > 0")
+    sets = checkpoint(of.select("s").distinct())
+    apart = sets.select(F.col("s").alias("sa")).crossJoin(sets.select(F.col("s").alias("sb"))).filter(~F.arrays_overlap("sa", "sb"))
+    a = of.select(F.col("m").alias("a"), F.col("s").alias("sa"))
+    b = of.select(F.col("m").alias("b"), F.col("s").alias("sb"))
+    pairs = a.join(apart, "sa").join(b, "sb").filter("a < b").select("a", "b")
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions import scores, text, values
-from evalloom.operators import retrieval
+from evalloom.operators import evidence, retrieval
 from evalloom.plans.registry import query
 from evalloom.session import table
 
@@ -36,7 +36,8 @@ SELECT item_id, round(CASE WHEN np + ne > 0 THEN 200.0::double * common / (np +
 def token_f1_documents_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", text.answer_tokens(F.col("text")).alias("p"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), text.answer_tokens(F.col("text")).alias("e"))
-    return items.join(docs, "item_id").select("item_id", F.round(scores.token_f1(F.col("p"), F.col("e")), 6).alias("f1"))
+    found = evidence.token_f1(items.join(docs, "item_id"), "item_id", "p", "e")
+    return found.select("item_id", F.round("f1", 6).alias("f1"))
 
 
 @query(f"""
@@ -56,7 +57,7 @@ SELECT doc_id, len(w)::BIGINT AS words, (CASE WHEN len(w) >= 8 THEN len(list_dis
 """)
 def word_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
-    return docs.select("doc_id", F.size("w").cast("long").alias("words"), F.size(text.ngrams(F.col("w"))).cast("long").alias("ngrams"))
+    return docs.select("doc_id", F.size("w").cast("long").alias("words"), text.ngram_count(F.col("w")).alias("ngrams"))
 
 
 _GRAMS = """SELECT DISTINCT {0} AS id, array_to_string(w[i:i + 7], ' ') AS ngram
