@@ -66,6 +66,48 @@ def non_redundancy(failed: Column, duplicates: Column) -> Column:
     return F.greatest(F.lit(0.0), 100.0 - 20.0 * failed - 15.0 * duplicates)
 
 
+def called_with(calls: Column, tool: Column, arguments: Column) -> Column:
+    """Whether some call (struct tool, arguments as a map of texts) of this tool has every expected argument; more arguments
+    do not matter, and values are compared as texts."""
+    return F.exists(
+        calls, lambda c: (c["tool"] == tool) & F.forall(F.map_entries(arguments), lambda e: F.coalesce(F.try_element_at(c["arguments"], e["key"]) == e["value"], F.lit(False)))
+    )
+
+
+def argument_match(calls: Column, expected: Column) -> Column:
+    """Share of the expected steps with arguments that some successful call matches, times 100; without such steps 100."""
+    told = F.filter(expected, lambda s: s["arguments"].isNotNull())
+    hit = F.filter(told, lambda s: called_with(calls, s["tool"], s["arguments"]))
+    return F.when(F.coalesce(F.size(told), F.lit(0)) <= 0, 100.0).otherwise(100.0 * F.size(hit) / F.size(told))
+
+
+def repeated_calls(calls: Column) -> Column:
+    """How many calls repeat an earlier one: the same tool with equal arguments, whatever their order."""
+    seen = F.transform(calls, lambda c: F.concat_ws("\x1f", c["tool"], F.to_json(F.array_sort(F.map_entries(c["arguments"])))))
+    return F.size(seen) - F.size(F.array_distinct(seen))
+
+
+def judged(judge: Column, path: Column, judge_weight: float, path_weight: float) -> Column:
+    """Weighted mean of a judge's score and a trajectory's, weights brought to a sum of 1; a missing score leaves the other."""
+    total = judge_weight + path_weight
+    both = (judge_weight * judge + path_weight * path) / F.lit(total)
+    return F.coalesce(both, judge, path)
+
+
+def final_output(output: Column, steps: Column) -> Column:
+    """The text that is scored: the output, else that of the last step."""
+    return F.coalesce(output, F.try_element_at(steps, F.lit(-1))["output"], F.lit(""))
+
+
+def identifier_score(text: Column, expected: Column) -> tuple[Column, Column]:
+    """(exact, format) of a reply that should be one weakness id: 100 for the expected one; the format is proper (100) for the id
+    alone, improper (50) where it stands among other text, and else invalid (0)."""
+    ids = F.regexp_extract_all(F.upper(text), F.lit(r"\bCWE-(\d+)\b"), 1)
+    found = F.try_element_at(ids, F.lit(-1))
+    form = F.when(F.upper(F.trim(text)).rlike(r"^CWE-\d+$"), 100.0).when(F.size(ids) > 0, 50.0).otherwise(0.0)
+    return F.when(found == F.regexp_extract(F.upper(expected), r"(\d+)", 1), 100.0).otherwise(0.0), form
+
+
 def trajectory(selection: Column, ordering: Column, arguments: Column, redundancy: Column) -> Column:
     return SELECTION * selection + ORDERING * ordering + ARGUMENTS * arguments + REDUNDANCY * redundancy
 

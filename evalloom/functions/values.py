@@ -86,6 +86,58 @@ def compact_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: json.dumps(compact(t), sort_keys=True, separators=(",", ":")), na_action="ignore")
 
 
+def compact_each(keep: str | None = None, drop: tuple[str, ...] = ()):
+    """A UDF that compacts every text of an array with these key rules; nulls stay."""
+    view = Compactor(keep, drop)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def compacted(texts: pd.Series) -> pd.Series:
+        def each(values):
+            return [None if t is None else json.dumps(view(t), sort_keys=True, separators=(",", ":")) for t in values]
+
+        return texts.map(each, na_action="ignore")
+
+    return compacted
+
+
+def haystack(skip: tuple[str, ...] = ()):
+    """A UDF: every scalar of a JSON text in lower case with single spaces, outside the fields in ``skip``, joined by NUL."""
+
+    def collect(value) -> list[str]:
+        if isinstance(value, dict):
+            return [x for k, v in value.items() if k not in skip for x in collect(v)]
+        if isinstance(value, list):
+            return [x for v in value for x in collect(v)]
+        plain = isinstance(value, (str, int, float)) and not isinstance(value, bool)
+        return [re.sub(r"\s+", " ", str(value)).casefold()] if plain else []
+
+    @F.pandas_udf(T.StringType())
+    def joined(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: "\x00".join(collect(json.loads(t))), na_action="ignore")
+
+    return joined
+
+
+def with_parameters(config: str, changes: str):
+    """A configuration (JSON text) with values set at dotted paths (a JSON object of them), parents made as needed."""
+
+    @F.pandas_udf(T.StringType())
+    def updated(texts: pd.Series, updates: pd.Series) -> pd.Series:
+        out = []
+        for text, update in zip(texts, updates, strict=True):
+            whole = json.loads(text)
+            for path, value in json.loads(update).items():
+                *parents, leaf = path.split(".")
+                node = whole
+                for key in parents:
+                    node = node.setdefault(key, {})
+                node[leaf] = value
+            out.append(json.dumps(whole, sort_keys=True, separators=(",", ":")))
+        return pd.Series(out, dtype=object)
+
+    return updated(config, changes)
+
+
 def nested(value) -> set[str]:
     if isinstance(value, dict):
         return set(value).union(*map(nested, value.values()))

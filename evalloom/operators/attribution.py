@@ -72,7 +72,7 @@ def attribute(cases: DataFrame, threshold: float = 100.0) -> DataFrame:
         .when(
             F.col("tool_error").isNotNull(),
             found(
-                nothing, F.concat(F.lit("tool_"), F.col("tool_error.tool")),
+                nothing, F.concat(F.lit("tool_"), F.coalesce("tool_error.tool", F.lit("unknown"))),
                 F.concat(F.lit("tool_failure_"), classify_tool_error(F.col("tool_error.message"))), high,
             ),
         )
@@ -136,3 +136,21 @@ def first_failed_call(calls: DataFrame, case: str, order: str, tool: str, messag
     w = Window.partitionBy(case).orderBy(order)
     failed = calls.filter(F.col(message) != "").withColumn("n", F.row_number().over(w)).withColumn("failures", F.count("*").over(Window.partitionBy(case)))
     return failed.filter("n = 1").select(case, F.struct(F.col(tool).alias("tool"), F.col(message).alias("message")).alias("tool_error"), "failures")
+
+
+def case_evidence(expected: Column) -> Column:
+    """What a case says its answer should be: the first scalar among its known keys, else a scalar itself."""
+    keys = ("answer", "expected_answer", "reference_output", "label", "cwe_id")
+    whole = F.when(~F.schema_of_variant(expected).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get(expected, "$", "string"))
+    scalar = lambda k: F.when(~F.schema_of_variant(F.try_variant_get(expected, f"$.{k}", "variant")).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get(expected, f"$.{k}", "string"))
+    return F.coalesce(*map(scalar, keys), whole)
+
+
+def verified(results: DataFrame, cases: DataFrame, issues: DataFrame, threshold: float = 100.0) -> DataFrame:
+    """``attribute`` over results of runs without an issue (run_id, code), joined with their own cases: the evidence of a case is used only
+    where its run was found sound. ``results`` has run_id, case_id and the columns of ``attribute`` but question and expected,
+    which come from ``cases`` (run_id, case_id, question, expected as JSON text)."""
+    sound = results.join(issues.select("run_id").distinct(), "run_id", "left_anti")
+    told = cases.select("run_id", "case_id", "question", case_evidence(F.try_parse_json("expected")).alias("expected"))
+    joined = sound.join(told, ["run_id", "case_id"]).withColumn("case_id", F.struct("run_id", "case_id"))
+    return attribute(joined, threshold).select("case_id.*", "pos", "step", "heuristic", "confidence", "tier")

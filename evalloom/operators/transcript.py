@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.functions import values
+
 #: A record as these functions read it; further fields are ignored.
 RECORD = (
     "record_id string, group_id string, task_type string, user_input string, "
@@ -13,12 +15,12 @@ RECORD = (
     "runtime string, assistant_output string, "
     "events array<struct<sequence: int, type: string, role: string, content: string, call_id: string, name: string, arguments: string, result: string, error: string>>"
 )
-_ENTRY = "struct<role: string, content: string, name: string, arguments: string, outcome: string>"
+_ENTRY = "struct<role: string, content: string, name: string, arguments: string, outcome: string, error: string, result: string>"
 
 
 def _message(role: Column, content: Column) -> Column:
     empty = F.lit(None).cast("string")
-    return F.struct(role.alias("role"), content.alias("content"), empty.alias("name"), empty.alias("arguments"), empty.alias("outcome"))
+    return F.struct(role.alias("role"), content.alias("content"), *[empty.alias(c) for c in ("name", "arguments", "outcome", "error", "result")])
 
 
 def outcome(error: Column, result: Column) -> Column:
@@ -28,7 +30,10 @@ def outcome(error: Column, result: Column) -> Column:
 
 def _call(c: Column, error: Column, result: Column) -> Column:
     empty = F.lit(None).cast("string")
-    return F.struct(empty.alias("role"), empty.alias("content"), c["name"].alias("name"), c["arguments"].alias("arguments"), outcome(error, result).alias("outcome"))
+    return F.struct(
+        empty.alias("role"), empty.alias("content"), c["name"].alias("name"), c["arguments"].alias("arguments"), outcome(error, result).alias("outcome"),
+        error.alias("error"), F.when(error.isNull(), result).alias("result"),
+    )
 
 
 def _request() -> Column:
@@ -37,7 +42,7 @@ def _request() -> Column:
 
 
 def transcript() -> Column:
-    """Messages and tool calls in order, each call with the outcome of its result; the final output last."""
+    """Messages and tool calls in order, each call with the outcome, error and result of its result; the final output last."""
     events = F.array_sort("events")
     kept = F.filter(events, lambda e: e["type"].isin("message", "tool_call"))
 
@@ -55,6 +60,36 @@ def transcript() -> Column:
     return F.when(final.isNull() | (final == "") | stands, body).otherwise(F.concat(body, F.array(_message(F.lit("assistant"), final)))).cast(f"array<{_ENTRY}>")
 
 
+def episode_views(records: DataFrame, keep: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Records as a model sees them: (record_id, route, task_type, transcript, runtime), JSON values bounded, results cut down
+    by the key rules. ``records`` have a ``route`` (see ``route``). Compaction is one batched UDF for each kind of value."""
+    shown = records.withColumn("_t", transcript())
+
+    def each(name: str) -> Column:
+        return F.transform("_t", lambda e: e[name])
+
+    shown = shown.withColumns(
+        {"_a": values.compact_each()(each("arguments")), "_e": values.compact_each()(each("error")), "_r": values.compact_each(keep, drop)(each("result"))}
+    )
+    # The compacted arrays are zipped in: a lambda cannot hold a UDF.
+    entry = F.transform(
+        F.arrays_zip("_t", "_a", "_e", "_r"),
+        lambda z: F.struct(
+            *[z["_t"][c].alias(c) for c in ("role", "content", "name")], z["_a"].alias("arguments"), z["_t"]["outcome"].alias("outcome"),
+            z["_e"].alias("error"), z["_r"].alias("result"),
+        ),
+    )
+    return shown.select("record_id", "route", "task_type", entry.alias("transcript"), values.compact_json(F.coalesce("runtime", F.lit("{}"))).alias("runtime"))
+
+
+def observed(records: DataFrame, observe_traces: bool = False, keep: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Views of the train records that lessons are taken from, with the feedback of labeled ones; unlabeled ones only with
+    ``observe_traces``."""
+    chosen = records.filter((F.col("split") == "train") & (F.col("labeled") | F.lit(observe_traces)))
+    told = chosen.select("record_id", F.when(F.col("labeled"), F.col("feedback")).alias("feedback"))
+    return episode_views(chosen, keep, drop).join(told, "record_id")
+
+
 def user_messages() -> Column:
     """User contents, trimmed and not empty: those of the episode if it has any, else context and input."""
     told = F.transform(F.filter(F.array_sort("events"), lambda e: (e["type"] == "message") & (e["role"] == "user")), lambda e: F.trim(e["content"]))

@@ -42,3 +42,35 @@ def agent_messages(lines: DataFrame) -> DataFrame:
     event = F.from_json("value", "type string, message struct<content: array<struct<type: string, text: string>>>")
     parsed = lines.select(event.alias("e")).filter("e.type = 'assistant'")
     return parsed.select(F.explode("e.message.content").alias("c")).filter("c.type = 'text'").select("c.text")
+
+
+EVENT = "run_id string, case_id string, kind string, ok boolean, score double, tier string, ts timestamp"
+
+
+def live(events: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """State of every run from its events (``EVENT``; kind is start, result, completed or failed), in batch or as a stream.
+
+    A case is in flight from its start until its result; a result that comes again is dropped. A run is running until it
+    is marked: failed by ``failed``, and by ``completed`` as its results say (completed, degraded, failed), with
+    ``total_cases`` known from the mark's score. Ids are sorted, so a repeated batch writes the same row.
+    """
+    if events.isStreaming:
+        once = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["run_id", "case_id", "kind"])
+    else:
+        once = events.dropDuplicates(["run_id", "case_id", "kind"])
+    result = F.col("kind") == "result"
+    ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("case_id"))))
+    found = once.groupBy("run_id").agg(
+        ids(result).alias("attempted"), ids(result & F.col("ok")).alias("successful"), ids(result & ~F.col("ok")).alias("failed_ids"),
+        ids(F.col("kind") == "start").alias("started"), F.count_if(result).alias("completed_cases"), F.count_if(result & F.col("ok")).alias("successful_cases"),
+        F.avg(F.when(result & F.col("ok"), F.col("score"))).alias("mean_successful"), F.max(F.when(F.col("kind") == "completed", F.col("score"))).cast("long").alias("total_cases"),
+        F.bool_or(F.col("kind") == "completed").alias("marked"), F.bool_or(F.col("kind") == "failed").alias("broken"),
+    )
+    settled = F.when(
+        (F.col("total_cases") > 0) & (F.col("successful_cases") == F.col("total_cases")) & (F.col("completed_cases") == F.col("total_cases")), "completed"
+    ).when(F.col("successful_cases") > 0, "degraded").otherwise("failed")
+    status = F.when(F.col("broken"), "failed").when(F.col("marked"), settled).otherwise("running")
+    return found.select(
+        "run_id", "completed_cases", "successful_cases", "mean_successful", "attempted", "successful", "failed_ids",
+        F.array_except("started", "attempted").alias("in_flight"), status.alias("status"),
+    )
