@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,16 +88,22 @@ def compact_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: json.dumps(compact(t), sort_keys=True, separators=(",", ":")), na_action="ignore")
 
 
-def compact_each(keep: str | None = None, drop: tuple[str, ...] = ()):
-    """A UDF that compacts every text of an array with these key rules; nulls stay."""
-    view = Compactor(keep, drop)
+def compact_transcripts(keep: str | None = None, drop: tuple[str, ...] = ()):
+    """A function for ``mapInArrow`` on rows with ``transcript`` and ``runtime``: arguments, errors and the runtime compacted,
+    results with these key rules; nulls stay."""
+    rules = {"arguments": compact, "error": compact, "result": Compactor(keep, drop)}
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def compacted(texts: pd.Series) -> pd.Series:
-        def each(values):
-            return [None if t is None else json.dumps(view(t), sort_keys=True, separators=(",", ":")) for t in values]
+    def shown(value: str | None, view) -> str | None:
+        return None if value is None else json.dumps(view(value), sort_keys=True, separators=(",", ":"))
 
-        return texts.map(each, na_action="ignore")
+    def compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                row["runtime"] = shown(row["runtime"], compact)
+                for entry in row["transcript"]:
+                    entry.update({name: shown(entry[name], view) for name, view in rules.items()})
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
     return compacted
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions import values
+from evalloom.session import ship_package
 
 #: A record as these functions read it; further fields are ignored.
 RECORD = (
@@ -62,24 +63,10 @@ def transcript() -> Column:
 
 def episode_views(records: DataFrame, keep: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Records as a model sees them: (record_id, route, task_type, transcript, runtime), JSON values bounded, results cut down
-    by the key rules. ``records`` have a ``route`` (see ``route``). Compaction is one batched UDF for each kind of value."""
-    shown = records.withColumn("_t", transcript())
-
-    def each(name: str) -> Column:
-        return F.transform("_t", lambda e: e[name])
-
-    shown = shown.withColumns(
-        {"_a": values.compact_each()(each("arguments")), "_e": values.compact_each()(each("error")), "_r": values.compact_each(keep, drop)(each("result"))}
-    )
-    # The compacted arrays are zipped in: a lambda cannot hold a UDF.
-    entry = F.transform(
-        F.arrays_zip("_t", "_a", "_e", "_r"),
-        lambda z: F.struct(
-            *[z["_t"][c].alias(c) for c in ("role", "content", "name")], z["_a"].alias("arguments"), z["_t"]["outcome"].alias("outcome"),
-            z["_e"].alias("error"), z["_r"].alias("result"),
-        ),
-    )
-    return shown.select("record_id", "route", "task_type", entry.alias("transcript"), values.compact_json(F.coalesce("runtime", F.lit("{}"))).alias("runtime"))
+    by the key rules. ``records`` have a ``route`` (see ``route``). Open values are compacted batch by batch."""
+    ship_package(records.sparkSession)
+    rows = records.select("record_id", "route", "task_type", transcript().alias("transcript"), F.coalesce("runtime", F.lit("{}")).alias("runtime"))
+    return rows.mapInArrow(values.compact_transcripts(keep, drop), rows.schema)
 
 
 def observed(records: DataFrame, observe_traces: bool = False, keep: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
