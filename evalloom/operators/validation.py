@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.functions import values
 from evalloom.functions.text import blank
 
 # Fixed values of the contracts.
@@ -74,6 +75,75 @@ def record_code(labeled: bool) -> Column:
     return F.coalesce(first_code(*texts, ("context_message", messages), ("tool_call", calls), *feedback), episode_code(F.col("events")))
 
 
+def raw_record_code(raw: Column, labeled: bool, version: str) -> Column:
+    """Rules of an input record that only its JSON text shows: missing keys, types, and keys that are there but null.
+
+    A field that may be left out (request_id, route) must not be blank where it is there; labeled records have their
+    ``assistant_output`` and feedback, others no feedback; a tool result has a ``result`` key, null or not, or an error.
+    """
+    v = F.try_parse_json(raw)
+    fields = F.try_variant_get(v, "$", "map<string, variant>")
+
+    def has(name: str) -> Column:
+        return F.map_contains_key(fields, F.lit(name))
+
+    def kind(name: str) -> Column:
+        return F.schema_of_variant(fields[name])
+
+    def text(name: str) -> Column:
+        return F.when(kind(name) == "STRING", F.try_variant_get(fields[name], "$", "string"))
+
+    missing = F.array_except(F.array(*map(F.lit, REQUIRED_FIELDS)), F.map_keys(fields))
+    events = F.try_variant_get(v, "$.episode.events", "array<map<string, variant>>")
+
+    def unanswered(e: Column) -> Column:
+        result = F.try_variant_get(e["type"], "$", "string") == "tool_result"
+        error = F.map_contains_key(e, F.lit("error")) & ~F.is_variant_null(e["error"])
+        return result & ~F.map_contains_key(e, F.lit("result")) & ~error
+
+    rules = [
+        ("not_an_object", fields.isNull()),
+        ("missing_field", F.size(missing) > 0),
+        ("schema_version", ~text("schema_version").eqNullSafe(F.lit(version))),
+        *[(f"blank_{c}", blank(text(c))) for c in ("record_id", "group_id", "task_type", "user_input")],
+        *[(c, has(c) & blank(text(c))) for c in ("request_id", "route")],
+        ("assistant_output", has("assistant_output") & text("assistant_output").isNull()),
+        *[(c, ~kind(c).startswith("ARRAY")) for c in ("conversation_context", "tool_calls")],
+        ("empty_result", F.exists(events, unanswered)),
+        *[(c, ~kind(c).startswith("OBJECT")) for c in ("runtime", "metadata")],
+    ]
+    if labeled:
+        rules += [("no_assistant_output", ~has("assistant_output")), ("no_feedback", ~F.coalesce(kind("feedback").startswith("OBJECT"), F.lit(False)))]
+    else:
+        rules.append(("unexpected_feedback", has("feedback")))
+    return first_code(*rules)
+
+
+def held_out_lessons(lessons: DataFrame, records: DataFrame) -> DataFrame:
+    """Lessons (lesson_id, record_id) that come from a record outside the train split, or from none; none where nothing leaks."""
+    train = records.filter("split = 'train'").select("record_id")
+    return lessons.join(train, "record_id", "left_anti").select("lesson_id", "record_id")
+
+
+def protected_rows(rows: DataFrame, raw: str, protected: tuple[str, ...]) -> DataFrame:
+    """Rows whose JSON text has one of the protected keys at any depth."""
+    return rows.filter(F.arrays_overlap(values.nested_keys(raw), F.array(*map(F.lit, protected))))
+
+
+def parameter_value_code(value: Column, kind: str, low: float | None = None, high: float | None = None, choices: tuple[str, ...] = ()) -> Column:
+    """Rule that a variant breaks as the value of a parameter of this kind: bool, choice, int or float."""
+    of, number = F.schema_of_variant(value), F.try_variant_get(value, "$", "double")
+    if kind == "bool":
+        return F.when(of.isNull() | (of != "BOOLEAN"), "not_bool")
+    if kind == "choice":
+        return F.when(~F.coalesce(F.try_variant_get(value, "$", "string").isin(*choices), F.lit(False)), "not_a_choice")
+    numeric = of.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL.*)$")
+    return first_code(
+        ("not_numeric", of.isNull() | ~numeric), ("not_int", (number != F.floor(number)) if kind == "int" else F.lit(False)),
+        ("below_minimum", number < low if low is not None else F.lit(False)), ("above_maximum", number > high if high is not None else F.lit(False)),
+    )
+
+
 def record_violations(records: DataFrame, labeled: bool) -> DataFrame:
     """(record_id, code) of all records that break the contract or repeat an id."""
     own = records.select("record_id", record_code(labeled).alias("code")).filter("code is not null")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.operators.ordering import rank_within
+from evalloom.operators.prepare import redacted
+from evalloom.operators.validation import raw_record_code
+from evalloom.session import ship_package
+from evalloom.sources.archives import archived_passages
+
 CASE = (
     "case_id string, task_type string, context map<string,string>, expected string, metadata string, "
     "messages_template map<string,string>, prompt_template_path string"
@@ -20,12 +28,16 @@ def lines(spark: SparkSession, path: str, unicode_breaks: bool = False) -> DataF
     """(path, line, value) of every line that is not blank.
 
     Lines end at ``\\n`` alone; with ``unicode_breaks`` also at the other separators that end lines in
-    text. Physical numbers need a file's lines in order, so files are read whole and split in the JVM.
+    text. Files are read in splits; lines are numbered by their split's start and their place in it, so
+    no task holds a file.
     """
-    whole = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
-    breaks = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]" if unicode_breaks else "\\n"
-    parts = whole.select(F.col("file_path").alias("path"), F.posexplode(F.split("value", breaks)).alias("line", "value"))
-    return parts.withColumn("line", F.col("line") + 1).filter(F.trim("value") != "")
+    raw = spark.read.option("lineSep", "\n").text(path)
+    placed = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value")
+    breaks = "\\r\\n|[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+    parts = F.split(F.regexp_replace("value", "\\r$", ""), breaks) if unicode_breaks else F.array("value")
+    each = placed.select("path", "_split", "_at", F.posexplode(parts).alias("_part", "value"))
+    numbered = rank_within(each, "path", ["_split", "_at", "_part"], "line")
+    return numbered.select("path", F.col("line").cast("int").alias("line"), "value").filter(F.trim("value") != "")
 
 
 def case_violations(rows: DataFrame) -> DataFrame:
@@ -60,8 +72,57 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Strict JSON lines of a known schema; a malformed row fails the job."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("allowNonNumericNumbers", "false").json(path)
+    """Strict JSON lines of a known schema: a malformed row, a repeated key or a number that JSON does not know fails the job."""
+    rows = spark.read.text(path).filter(F.trim("value") != "").filter(F.parse_json("value").isNotNull())
+    read = F.from_json("value", schema, {"mode": "FAILFAST", "allowNonNumericNumbers": "false"})
+    return rows.select(read.alias("o")).select("o.*")
+
+
+def load_input(spark: SparkSession, path: str, schema: str, labeled: bool, version: str) -> DataFrame:
+    """Input records with a contract for their raw text (``operators.validation.raw_record_code``); raises for the first line
+    that breaks it or repeats a record id."""
+    rows = lines(spark, path, unicode_breaks=True)
+    rated = rows.withColumn("code", raw_record_code(F.col("value"), labeled, version)).withColumn("record_id", F.get_json_object("value", "$.record_id"))
+    again = rated.groupBy("record_id").agg(F.count("*").alias("n"), F.max(F.struct("path", "line")).alias("last")).filter("n > 1")
+    broken = rated.filter("code is not null").select("path", "line", "code")
+    fail_on(broken.unionByName(again.select("last.path", "last.line", F.lit("duplicate_record_id").alias("code"))))
+    return rows.select("line", F.from_json("value", schema).alias("o")).select("line", "o.*")
+
+
+def source_asset(spark: SparkSession, path: str, input_schema: str, lesson_schema: str, guideline_schema: str, mask: bool = True) -> dict[str, DataFrame]:
+    """Tables of a finished asset directory: ``records`` (feedback and unlabeled inputs with split and ``labeled``, redacted) and
+    ``guidelines`` (included ones with the records of their trusted lessons and the lessons' mean confidence).
+
+    An asset without a manifest is unfinished and refused, and so is a guideline whose lessons are not all there.
+    """
+    if spark.read.text(f"{path}/manifest.json").isEmpty():
+        raise ContractError(f"{path}: no manifest")
+    inputs = read_objects(spark, f"{path}/inputs/feedback.jsonl", input_schema).withColumn("labeled", F.lit(True))
+    if not _files(spark, f"{path}/inputs", "unlabeled.jsonl").isEmpty():
+        inputs = inputs.unionByName(read_objects(spark, f"{path}/inputs/unlabeled.jsonl", input_schema).withColumn("labeled", F.lit(False)))
+    splits = read_objects(spark, f"{path}/splits.jsonl", "record_id string, split string")
+    lessons = read_objects(spark, f"{path}/lessons.jsonl", lesson_schema)
+    catalog = spark.read.text(f"{path}/catalog.json", wholetext=True)
+    guidelines = catalog.select(F.inline(F.from_json("value", f"guidelines array<struct<{guideline_schema}>>")["guidelines"])).filter("included")
+    cited = guidelines.select("guideline_id", F.explode_outer("lesson_ids").alias("lesson_id")).join(lessons, "lesson_id", "left")
+    found = cited.groupBy("guideline_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("source") == "feedback", F.col("record_id")))).alias("source_record_ids"),
+        F.round(F.avg("confidence"), 4).alias("confidence"), F.bool_or(F.col("record_id").isNull()).alias("lost"),
+    )
+    lost = found.filter("lost").orderBy("guideline_id").first()
+    if lost:
+        raise ContractError(f"{path}: guideline {lost['guideline_id']} has no lessons")
+    records = inputs.join(splits, "record_id", "left")
+    return {"records": redacted(records) if mask else records, "guidelines": guidelines.join(found.drop("lost"), "guideline_id")}
+
+
+def passages(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
+    """(title, passage) of archives (tar, bz2-compressed or not) of JSON-lines files, themselves compressed or not: the title and
+    the first paragraph longer than ``least`` characters, with single spaces. Archives are streamed member by member, one
+    task each; lines that do not parse, and documents without such a paragraph, are left out."""
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(partial(archived_passages, least=least), "title string, passage string")
 
 
 def bundle_inventory(spark: SparkSession, path: str) -> DataFrame:
