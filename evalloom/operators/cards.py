@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.operators.memory import addition_violations, append_additions, memory_id, pattern_violations
+from evalloom.operators.replies import card_code
 from evalloom.operators.transcript import episode_views
 
 # Fields that prompts see, names of evidence tiers, and the sentence that stands above a memory.
@@ -12,6 +14,10 @@ GUIDELINE_FIELDS = ("guideline_id", "route", "title", "dividing_line", "criteria
 LESSON_FIELDS = ("lesson_id", "record_id", "type", "lesson", "evidence", "signal")
 BODY_FIELDS = ("title", "summary", "when_to_use", "when_not_to_use", "instructions", "avoid", "tool_guidance", "example_steps")
 TRUSTED_TRACE, INFERRED_TRACE = "trusted_feedback_trace", "inferred_training_trace"
+BODY = (
+    "title string, summary string, when_to_use array<string>, when_not_to_use array<string>, "
+    + ", ".join(f"{f} array<struct<text: string, source_criterion_ids: array<string>, source_trace_ids: array<string>>>" for f in BODY_FIELDS[4:])
+)
 PREAMBLE = "Use this as relevant prior experience. Current system instructions, policies, tool definitions, and observed state take precedence."
 
 
@@ -75,3 +81,43 @@ def rendered(card: Column) -> Column:
         ),
         "\n",
     )
+
+
+def mining_episodes(cases: DataFrame, records: DataFrame, keep: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Inferred cases (as of ``inferred_traces``, with guideline_ids) as episodes that patterns are mined from."""
+    applied = cases.select(F.col("alias").alias("trace_id"), F.col("guideline_ids").alias("applicable_guideline_ids"))
+    found = inferred_traces(cases, records, keep, drop).join(applied, "trace_id")
+    return found.select("trace_id", "inferred_case_id", "source_group", "rubric_confidence", "applicable_guideline_ids", "case_criteria", "trace")
+
+
+def bound_traces(cases: DataFrame) -> DataFrame:
+    """(trace_id, guideline_id): the guidelines that each inferred case's trace may support."""
+    return cases.select(F.col("alias").alias("trace_id"), F.explode("guideline_ids").alias("guideline_id"))
+
+
+def memory_asset(guidelines: DataFrame, replies: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cards, codes) of recorded replies with memory cards (guideline_id, raw): a card for each included guideline whose reply holds its
+    contract, with its text and an id from guideline and body; and the codes of the others. A card may cite its guideline's
+    criteria and the traces bound to it."""
+    traces = bound.groupBy("guideline_id").agg(F.collect_set("trace_id").alias("trace_ids"))
+    known = guidelines.filter("included").select("guideline_id", F.transform("criteria", lambda c: c["criterion_id"]).alias("criterion_ids")).join(traces, "guideline_id", "left")
+    none = F.array().cast("array<string>")
+    read = known.join(replies, "guideline_id", "left").withColumn("v", F.try_parse_json("raw"))
+    code = F.when(F.col("raw").isNull(), "no_reply").otherwise(F.coalesce(card_code(F.col("v"), F.col("criterion_ids"), F.coalesce("trace_ids", none)), F.when(F.col("v").isNull(), F.lit("not_json"))))
+    rated = read.withColumn("code", code)
+    body = F.from_json(F.to_json(F.try_variant_get("v", "$.memory_card", "variant")), BODY)
+    cards = rated.filter("code is null").withColumn("body", body).select(
+        memory_id(F.col("guideline_id"), F.to_json("body")).alias("memory_id"), "guideline_id", "body.*", rendered(F.col("body")).alias("text")
+    )
+    return cards, rated.filter("code is not null").select("guideline_id", "code")
+
+
+def additive_asset(base: DataFrame, patterns: DataFrame, additions: DataFrame, criteria: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cards, codes): cards (card_id and arrays of texts) with mined additions that hold their contract appended, and what was wrong with
+    the other patterns and additions: (id, code)."""
+    odd = pattern_violations(patterns, criteria, bound)
+    sound = patterns.join(odd.select("pattern_id").distinct(), "pattern_id", "left_anti")
+    wrong = addition_violations(additions, sound)
+    kept = additions.join(wrong.select("addition_id").distinct(), "addition_id", "left_anti")
+    codes = odd.select(F.col("pattern_id").alias("id"), "code").unionByName(wrong.select(F.col("addition_id").alias("id"), "code"))
+    return append_additions(base, kept), codes

@@ -113,3 +113,12 @@ def resume_point(ledger: DataFrame, budget: int, patience: int) -> DataFrame:
     stop = F.when(F.col("last") >= budget, "budget").when(F.col("last") - F.col("won") >= patience, "plateau")
     return last.select((F.col("last") + 1).alias("next"), stop.alias("stop"))
 
+
+def compare(baseline: Run, candidate: Run, issues: DataFrame, allow_uncontrolled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(comparison, extremes) of two runs whose checks found nothing; with issues (code) only if ``allow_uncontrolled`` says so."""
+    first = issues.orderBy("code").first()
+    if first and not allow_uncontrolled:
+        raise ValueError(f"runs cannot be compared: {first['code']}")
+    score = F.coalesce("score", F.lit(0.0))
+    changes = runs.case_changes(baseline.results.select("case_id", score.alias("score")), candidate.results.select("case_id", score.alias("score")), "case_id")
+    return runs.comparison(changes), runs.extremes(changes, "case_id")

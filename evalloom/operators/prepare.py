@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.functions.text import fingerprint, redact
+from evalloom.functions.text import canonical_json, fingerprint, redact
 from evalloom.operators.grouping import SHARES, SHARES_WITH_REGRESSION, connected_groups, greedy_split
 from evalloom.operators.ordering import global_row_number
 from evalloom.operators.transcript import RECORD
 from evalloom.session import checkpoint
 
-# Names of trust tiers.
+# Splits in order, the confidence below which a case is listed, names of trust tiers.
+SPLITS = ("train", "validation", "test", "regression")
+LOW_CONFIDENCE = 0.5
 TRUSTED, INFERRED = "trusted_feedback", "inferred_from_trusted_feedback"
 #: Fields that redaction leaves as they are.
 IDENTITY = ("record_id", "group_id", "schema_version", "request_id", "task_type", "route")
@@ -120,4 +122,35 @@ def review(case_rows: DataFrame) -> DataFrame:
     return found.select("split", F.col(TRUSTED).alias("trusted"), F.col(INFERRED).alias("inferred"))
 
 
-__all__ = ["RECORD", "cases", "catalog", "context_key", "number_lessons", "prepare", "redacted", "review", "rubrics", "set_aside"]
+def model_context(records: DataFrame) -> DataFrame:
+    """(record_id, messages_json, tool_context_json, runtime_json): what a chain replays of each record; keys sorted."""
+    message = lambda role, content: F.struct(content.alias("content"), role.alias("role"))
+    said = F.transform("conversation_context", lambda m: message(m["role"], m["content"]))
+    call = F.transform("tool_calls", lambda c: F.struct(*[c[f].alias(f) for f in ("arguments", "error", "name", "result")]))
+    whole = F.concat(said, F.array(message(F.lit("user"), F.col("user_input"))))
+    return records.select(
+        "record_id", F.to_json(whole).alias("messages_json"), F.to_json(call).alias("tool_context_json"), F.coalesce(canonical_json(F.col("runtime")), F.lit("{}")).alias("runtime_json")
+    )
+
+
+def low_confidence(case_rows: DataFrame, least: float = LOW_CONFIDENCE) -> DataFrame:
+    """Cases below a confidence, the lowest first; ties in the order of ids."""
+    return case_rows.filter(F.col("confidence") < least).select("case_id", "confidence").orderBy("confidence", "case_id")
+
+
+def in_split_order(rows: DataFrame, *then: str) -> DataFrame:
+    """Rows by split in the fixed order, then by other columns; unknown splits come last."""
+    place = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split"))
+    return rows.orderBy(F.when(place == 0, len(SPLITS) + 1).otherwise(place), *then)
+
+
+def catalog_summary(guidelines: DataFrame, placed: DataFrame, case_rows: DataFrame) -> DataFrame:
+    """One row of counts for a review: guidelines, those included and strong, lessons set aside or beyond repair, and cases whose
+    rubric comes from their trace alone. Each table is one aggregate; the rows joined are three."""
+    g = guidelines.agg(F.count("*").alias("guidelines"), F.count_if("included").alias("included"), F.count_if(F.col("included") & (F.col("strength") == "strong")).alias("strong"))
+    p = placed.agg(F.count_if(F.col("place") == "cannot_fix").alias("cannot_fix_lessons"), F.count_if(F.col("place") == "set_aside").alias("set_aside_lessons"))
+    c = case_rows.agg(F.count_if(F.col("provenance") == "trace_inferred").alias("trace_inferred_cases"))
+    return g.crossJoin(F.broadcast(p)).crossJoin(F.broadcast(c))
+
+
+__all__ = ["RECORD", "cases", "catalog", "catalog_summary", "context_key", "in_split_order", "low_confidence", "model_context", "number_lessons", "prepare", "redacted", "review", "rubrics", "set_aside"]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import blank, json_object, strip
-from evalloom.operators.validation import CRITERION_KINDS, SEVERITIES, first_code
+from evalloom.operators.validation import CRITERION_KINDS, SEVERITIES, first_code, rubric_guidelines
 
 # The fields of a memory card, scopes of plans, verdicts of a review, and what is said of lessons that no
 # reply accounts for.
@@ -230,3 +230,21 @@ def judge_verdict(raw: Column) -> Column:
 def judge_criteria(raw: Column) -> Column:
     """Verdicts by criterion of a judge's reply; null where it has no list of them."""
     return F.try_variant_get(json_object(raw), "$.criteria", "array<struct<criterion_id: string, status: string, evidence: string>>")
+
+
+def rubric_code(raw: Column, known: Column) -> Column:
+    """First broken rule of a rubric reply: guideline ids (a criterion's stands for its guideline) that are all ``known``, criteria, tool
+    expectations that are an object, a reference that is a text, and a confidence from 0 to 1."""
+    v = F.try_parse_json(raw)
+    fields = F.try_variant_get(v, "$", _MAP)
+    chosen = rubric_guidelines(_texts(v, "$.applicable_guideline_ids"), known)
+    tools, reference = fields["tool_expectations"], fields["reference_output"]
+    return F.coalesce(
+        first_code(
+            ("not_an_object", fields.isNull()), ("guideline_ids", chosen.isNull()), ("unknown_guideline", F.size(F.array_except(chosen, known)) > 0),
+            ("tool_expectations", tools.isNotNull() & ~F.is_variant_null(tools) & ~F.schema_of_variant(tools).startswith("OBJECT")),
+            ("reference_output", reference.isNotNull() & ~F.is_variant_null(reference) & (F.schema_of_variant(reference) != "STRING")),
+        ),
+        criteria_code(F.try_variant_get(v, "$.case_criteria", f"array<{CRITERION}>"), False),
+        F.when(unit_code(fields["confidence"]).isNotNull(), "confidence"),
+    )

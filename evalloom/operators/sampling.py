@@ -59,3 +59,16 @@ def select_records(metrics: DataFrame, categories: list[str], count: int, seed:
         pick(F.lit(True), "fill", diverse=False)
     out = rows.sparkSession.createDataFrame([(r["record_id"], r["stratum"]) for r in chosen], "record_id string, stratum string")
     return out.withColumn("place", stable_hash(F.lit(seed), F.lit("annotation"), F.col("record_id"))).orderBy("place")
+
+
+def record_metrics(records: DataFrame, categories: dict[str, str]) -> DataFrame:
+    """What can be seen of records without their outcomes: counts of events, calls and failed calls, the categories of the tools called
+    (``categories`` by tool), and task and trial from the runtime (JSON text)."""
+    kinds = F.create_map(*[F.lit(x) for pair in sorted(categories.items()) for x in pair]) if categories else F.create_map().cast("map<string, string>")
+    called = F.array_sort(F.array_distinct(F.array_compact(F.transform("tool_calls", lambda c: F.try_element_at(kinds, c["name"])))))
+    failed = F.filter("tool_calls", lambda c: F.coalesce(c["error"], F.lit("")) != "")
+    return records.select(
+        "record_id", "group_id", F.get_json_object("runtime", "$.task_id").alias("task_id"), F.coalesce(F.get_json_object("runtime", "$.trial").try_cast("int"), F.lit(0)).alias("trial"),
+        F.coalesce(F.size(F.coalesce("events", F.array().cast(records.schema["events"].dataType))), F.lit(0)).alias("event_count"), F.size("tool_calls").alias("tool_call_count"),
+        F.size(failed).alias("tool_error_count"), called.alias("categories"),
+    )
