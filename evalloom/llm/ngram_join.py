@@ -154,7 +154,7 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) whose summed overlaps reach the threshold."""
+    """Pairs (a, na, b, nb) whose summed overlaps reach the threshold, with the overlap ``n``."""
     overlap = F.size(F.array_intersect("a_segment", "b_segment")).cast("long")
     partial = (
         pairs.join(_segments(sets, "b"), "b")
@@ -162,7 +162,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("a", "b", "na", "nb", overlap.alias("n"))
     )
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
-    return total.filter(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    return total.filter(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b", "na", "nb", "n")
 
 
 def _room(percent: int) -> Column:
@@ -188,6 +188,42 @@ def _pairs(left: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _prepared(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(table, classes, sets, prefix): all rows with their sets' fingerprints; the classes of equal sets, each under its smallest id; one
+    set for each class that can link; and the places of its prefix tokens in the global order."""
+    table = checkpoint(set_table(docs, id_col, text_col, words, percent, block_bytes))
+    known = table.filter("doc_id is not null and n_shingles > 0")
+    classes = checkpoint(known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")))
+    sets = known.filter("n_prefix > 0").join(
+        classes.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi"
+    )
+    sets = sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "fp1", "fp2"])
+    # Ties for the pivot are broken by id, so that a recomputed task chooses alike.
+    edited = (F.least(F.col("n_single"), F.lit((1 << 19) - 1)).cast("long") * F.lit(1 << 43)) + F.pmod("rep", F.lit(1 << 43))
+    sets = checkpoint(sets.select("rep", F.col("n_shingles").alias("n"), edited.alias("edited"), "n_single", "n_prefix", "tokens", "cuts"))
+    # Tokens of frequency 1 come first in the order, so a token's place counts from their number on.
+    prefix = sets.select("rep", "n", "edited", "n_single", F.posexplode(F.slice("tokens", F.lit(1), F.col("n_prefix"))).alias("i", "token"))
+    return table, classes, sets, prefix.withColumn("i", F.col("i") + F.col("n_single")).drop("n_single")
+
+
+def ngram_jaccard_links(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_bytes: int = 4 << 20
+) -> tuple[DataFrame, DataFrame]:
+    """(links, members): every link between classes of documents with equal sets, as (a, b, na, nb, n) with ids of classes, sizes and overlap,
+    and (doc_id, class_id) of all documents with a shingle.
+
+    Copies are one class, so they are not paired; different sets are, each pair once, which makes as many rows as there are
+    links: use ``ngram_jaccard_join`` where components are enough. Ids are taken to tell documents apart; rows without an id
+    have no class. Texts and words are as there.
+    """
+    table, classes, sets, prefix = _prepared(docs, id_col, text_col, words, percent, block_bytes)
+    x = prefix.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), "token")
+    y = prefix.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), "token")
+    links = _links(checkpoint(_pairs(x.join(y, "token").filter("x < y").filter(_room(percent)), percent)), sets, percent)
+    members = table.filter("doc_id is not null and n_shingles > 0").join(classes, ["fp1", "fp2"])
+    return links, members.select("doc_id", F.col("rep").alias("class_id"))
+
+
 def ngram_jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -205,19 +241,8 @@ def ngram_jaccard_join(
     is their own id. Rows that repeat an id share the smallest component of the id's rows with such a
     set. A row without an id has no component. Other columns are ignored.
     """
-    table = checkpoint(set_table(docs, id_col, text_col, words, percent, block_bytes))
+    table, classes, sets, prefix = _prepared(docs, id_col, text_col, words, percent, block_bytes)
     known = table.filter("doc_id is not null and n_shingles > 0")
-    classes = checkpoint(known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")))
-    sets = known.filter("n_prefix > 0").join(
-        classes.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi"
-    )
-    sets = sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "fp1", "fp2"])
-    # Ties for the pivot are broken by id, so that a recomputed task chooses alike.
-    edited = (F.least(F.col("n_single"), F.lit((1 << 19) - 1)).cast("long") * F.lit(1 << 43)) + F.pmod("rep", F.lit(1 << 43))
-    sets = checkpoint(sets.select("rep", F.col("n_shingles").alias("n"), edited.alias("edited"), "n_single", "n_prefix", "tokens", "cuts"))
-    # Tokens of frequency 1 come first in the order, so a token's place counts from their number on.
-    prefix = sets.select("rep", "n", "edited", "n_single", F.posexplode(F.slice("tokens", F.lit(1), F.col("n_prefix"))).alias("i", "token"))
-    prefix = prefix.withColumn("i", F.col("i") + F.col("n_single")).drop("n_single")
     links = component = None
     for last in [False] * pivot_rounds + [True]:
         group = prefix if component is None else prefix.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -238,7 +263,7 @@ def ngram_jaccard_join(
         pairs = checkpoint(_pairs(met.filter("x < y") if last else met, percent))
         if pairs.isEmpty():
             break
-        found = checkpoint(_links(pairs, sets, percent))
+        found = checkpoint(_links(pairs, sets, percent).select("a", "b"))
         if found.isEmpty():
             continue
         links = found if links is None else links.unionAll(found)

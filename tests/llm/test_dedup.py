@@ -4,13 +4,13 @@ import random
 
 import pyarrow as pa
 import pytest
-from brute import components, covered, sha, spans, words
+from brute import components, covered, sha, shingles, spans, words
 from data import corpus, frame
 from pyspark.sql import functions as F
 
 from evalloom.llm.blocks import Answers, Blocks, Texts
 from evalloom.llm.components import connected_components
-from evalloom.llm.ngram_join import ngram_jaccard_join
+from evalloom.llm.ngram_join import ngram_jaccard_join, ngram_jaccard_links
 from evalloom.llm.suffix_dedup import Bytes, Candidates, _first_exchange, lcp_intervals, maximal_repeats, repeat_groups, suffix_array_dedup
 from evalloom.llm.window_dedup import line_dedup, substring_dedup
 
@@ -146,6 +146,17 @@ def test_ngram_join(spark):
     assert sorted(map(tuple, got.collect())) == components(rows)
 
 
+def test_links_between_classes(spark):
+    rows = corpus(90)
+    sets = {k: shingles(t) for k, t in rows}
+    links, members = ngram_jaccard_links(frame(spark, rows), block_bytes=BLOCK)
+    of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    assert of == {k: min(j for j in sets if sets[j] == s) for k, s in sets.items() if s}
+    both = {(a, b): len(sets[a] & sets[b]) for a in set(of.values()) for b in set(of.values()) if a < b}
+    want = {(a, b, len(sets[a]), len(sets[b]), n) for (a, b), n in both.items() if n and 100 * n >= 80 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in links.select("a", "b", "na", "nb", "n").collect()} == want and len(want) > 3
+
+
 def test_ngram_join_at_the_threshold(spark):
     words_ = [f"w{i}" for i in range(94)]  # 90 shingles
     near = [*words_[:84], *[f"x{i}" for i in range(10)]]  # 80 of 100 are shared
