@@ -101,14 +101,22 @@ class LanguageModel:
 def _plain(score: np.ndarray, switch: float) -> int | None:
     """The language of a text whose best path has no switch, where that is easily seen.
 
-    A path with m switches has at most m + 1 stretches off the best single language. With no stretch
-    of words on which another language gains half of what one switch costs, their gains stay below
-    (m + 1) / 2 <= m switches, so no path with switches can win.
+    Let no stretch of words on which another language is better gain as much as one switch costs. A path
+    with m switches then loses unless all of its m + 1 stretches are off the best language; such a path
+    gains at most what the best other language of every word does, summed over the text. If each stretch
+    gains less than half a switch, that sum need not be taken.
     """
     best = int(score.sum(axis=0).argmax())
     gain = np.cumsum(score - score[:, best : best + 1], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros((1, gain.shape[1])), gain[:-1]]), axis=0)
-    return best if (gain - low).max() < switch / 2 else None
+    most = (gain - low).max()
+    if most < switch / 2:
+        return best
+    if most >= switch:
+        return None
+    others = score.copy()
+    others[:, best] = -np.inf
+    return best if others.max(axis=1).sum() - score[:, best].sum() < switch else None
 
 
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
