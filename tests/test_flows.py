@@ -146,3 +146,51 @@ def test_bm25_over_passes_and_hot_terms(spark, monkeypatch):
     cases = spark.createDataFrame([(1, "x a b c d e f g h i"), (2, "a b c d e f g h"), (3, None), (4, "z " * 30)], "c int, text string")
     got = {r["ngram"]: r["owners"] for r in retrieval.leaked_ngrams(held, cases, "c", "text").collect()}
     assert got == {"a b c d e f g h": 2, "b c d e f g h i": 1, "z z z z z z z z": 1}
+
+
+def test_additive_asset_keeps_what_holds(spark):
+    from evalloom.operators import cards, memory
+
+    base = spark.createDataFrame([("k", ["i"], [], [], [])], "card_id string, instructions array<string>, avoid array<string>, tool_guidance array<string>, example_steps array<string>")
+    patterns = spark.createDataFrame([("P1", "G1", "avoid", "x", ["G1.c1"], ["t1"], 0.5), ("P2", "G1", "avoid", "y", ["G1.c9"], ["t1"], 0.5)], f"pattern_id string, {memory.PATTERN}")
+    additions = spark.createDataFrame([("A1", "k", "avoid", "no haste", ["G1.c1"], ["t1"], ["P1"]), ("A2", "k", "avoid", "z", ["G1.c9"], ["t1"], ["P2"])], f"addition_id string, card_id string, {memory.ADDITION}")
+    criteria, bound = spark.createDataFrame([("G1", "G1.c1")], "guideline_id string, criterion_id string"), spark.createDataFrame([("t1", "G1")], "trace_id string, guideline_id string")
+    got, codes = cards.additive_asset(base, patterns, additions, criteria, bound)
+    assert [r["avoid"] for r in got.collect()] == [["no haste"]]
+    assert {tuple(r) for r in codes.collect()} == {("P2", "unknown_criterion"), ("A2", "unknown_pattern")}
+
+
+def test_compare_refuses_runs_with_issues(spark):
+    def run(scores):
+        results = spark.createDataFrame([(str(i), s) for i, s in enumerate(scores)], "case_id string, score double")
+        return flows.Run(results, None, None)
+
+    none = spark.createDataFrame([], "code string")
+    found, extremes = flows.compare(run([10.0, None, 50.0]), run([20.0, 5.0, 40.0]), none)
+    r = found.first()
+    assert (r["shared"], r["regressions"], r["improvements"], round(r["mean_delta"], 6)) == (3, 1, 2, round(5 / 3, 6))
+    assert {(x["kind"], x["case_id"]) for x in extremes.collect()} == {("regression", "2"), ("improvement", "0"), ("improvement", "1")}
+    issues = none.unionAll(spark.createDataFrame([("results.missing",)], "code string"))
+    with pytest.raises(ValueError, match="results.missing"):
+        flows.compare(run([1.0]), run([2.0]), issues)
+    assert flows.compare(run([1.0]), run([2.0]), issues, allow_uncontrolled=True)[0].first()["shared"] == 1
+
+
+def test_splits_in_their_order(spark):
+    from evalloom.operators import prepare
+
+    rows = spark.createDataFrame([("test", 1), ("other", 2), ("train", 4), ("train", 3), ("validation", 5)], "split string, n int")
+    assert [r["n"] for r in prepare.in_split_order(rows, "n").collect()] == [3, 4, 5, 1, 2]
+
+
+def test_sections_of_a_summary_are_left_out_where_empty(spark):
+    from evalloom.operators import reports
+
+    schema = "case_id string, ok boolean, score double, breakdown map<string,double>, timings array<struct<name: string, seconds: double>>, tier string"
+    rows = [("a", True, 80.0, {"f1": 0.5}, [("x", 1.0), ("y", 2.0)], None), ("b", True, 60.0, {"f1": 1.0}, [("x", 3.0)], None), ("c", False, None, None, None, None)]
+    text = [r["text"] for r in reports.summary_lines(spark.createDataFrame(rows, schema)).orderBy("section", "line").collect()]
+    assert text == [
+        "# Evaluation Summary", "", "Total cases: 3", "Successful cases: 2", "Infrastructure failures: 1", "", "## Composite Score", "- average: 70.00", "", "## Score Breakdown", "- f1: 0.75",
+        "## Step Timings", "", "| Step | Avg (s) | P50 (s) | P95 (s) |", "|------|---------|---------|---------|", "| x | 2.000 | 2.000 | 3.000 |", "| y | 2.000 | 2.000 | 2.000 |", "| Total | 3.000 | 3.000 | 3.000 |",
+    ]
+    assert reports.summary_lines(spark.createDataFrame([], schema)).count() == 6
