@@ -12,23 +12,26 @@ def bootstrap_gain(gains: DataFrame, key: str, case: str, gain: str, resamples:
     """(key, cases, mean_gain, p_improve): the share of resamples whose summed gain is above 0.
 
     Draws are hashes of (seed, resample, place), so every engine and every retry draws alike. Each key's
-    gains are packed into one array in case order; resamples are then rows, computed in parallel.
+    gains are packed into one array in case order. A resample's hashes are the same for all keys and made once; keys
+    and resamples meet by runs of 16 resamples, so few keys do not mean few tasks.
     Without any gain other than 0 both numbers are 0.
     """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(case), F.col(gain).alias("g"))))
     packed = gains.groupBy(key).agg(ordered.alias("s")).select(key, F.transform("s", lambda x: x["g"]).alias("g"))
-    packed = packed.withColumn("cases", F.size("g").cast("long")).withColumn("mean_gain", F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / F.size("g"))
-
-    def draw(b: Column, i: Column) -> Column:
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), i.cast("string")))
-        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.size("g")).cast("int")
-
-    # Few keys must not mean few tasks: runs of resamples are dealt out before they are drawn.
-    parts = int(gains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = packed.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 32)))).repartition(parts, key, "c")
-    last = F.least((F.col("c") + 1) * 32, F.lit(resamples))
-    rows = dealt.select("*", F.explode(F.sequence(F.col("c") * 32 + 1, last)).alias("b"))
-    total = F.aggregate(F.sequence(F.lit(1), F.size("g")), F.lit(0.0), lambda a, i: a + F.get("g", draw(F.col("b"), i)))
+    packed = checkpoint(packed.withColumn("cases", F.size("g").cast("long")).withColumn("mean_gain", F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / F.size("g")))
+    most = packed.agg(F.max("cases")).first()[0] or 1
+
+    def drawn(i: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), i.cast("string")))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+    spark = gains.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    draws = spark.range(1, resamples + 1).repartition(parts, "id").select(F.col("id").alias("b"), F.floor((F.col("id") - 1) / 16).alias("c"))
+    draws = draws.withColumn("h", F.transform(F.sequence(F.lit(1), F.lit(most)), drawn))
+    dealt = packed.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((resamples - 1) // 16).cast("long"))))
+    rows = dealt.join(draws.hint("merge"), "c")
+    total = F.aggregate(F.slice("h", F.lit(1), F.size("g")), F.lit(0.0), lambda a, h: a + F.get("g", F.pmod(h, F.size("g")).cast("int")))
     up = rows.select(key, "cases", "mean_gain", F.exists("g", lambda x: x != 0).alias("any"), (total > 0).alias("up"))
     found = up.groupBy(key, "cases", "mean_gain", "any").agg((F.count_if("up") / F.lit(resamples)).alias("p"))
     return found.select(
