@@ -22,23 +22,28 @@ def connected_groups(records: DataFrame, record: str, keys: list[Column]) -> Dat
     """(record, group_name): records that share the value of any key are one group, named by its smallest
     record. Null keys connect nothing.
 
-    Each round a key takes the smallest label of its records and a record the smallest of its keys;
-    labels then jump to their own label. A key shared by very many records is reduced before the shuffle.
+    A key is reduced to a star first: its records are linked with its smallest one, so a key of very many records
+    makes as many links and no pairs, and records without a shared key take no part in the rounds. Each round a record
+    takes the smallest label among its neighbours', then that label's own; the round before is deleted.
     """
     tagged = F.array(*[F.when(k.isNotNull(), F.struct(F.lit(i).alias("k"), k.cast("string").alias("v"))) for i, k in enumerate(keys)])
-    links = records.select(F.col(record).alias("r"), F.explode(F.array_compact(tagged)).alias("key"))
-    links = checkpoint(links.select("r", F.sha2(F.concat_ws(":", "key.k", "key.v"), 256).alias("key")).distinct())
-    labels = old = checkpoint(records.select(F.col(record).alias("r"), F.col(record).alias("label")).distinct())
+    held = records.select(F.col(record).alias("r"), F.explode(F.array_compact(tagged)).alias("key"))
+    held = held.select("r", F.sha2(F.concat_ws(":", "key.k", "key.v"), 256).alias("key"))
+    star = held.join(held.groupBy("key").agg(F.min("r").alias("low")), "key").filter("r <> low").select("r", "low").distinct()
+    links = checkpoint(star.unionAll(star.select(F.col("low").alias("r"), F.col("r").alias("low"))).distinct())
+    labels = old = checkpoint(links.groupBy("r").agg(F.min("low").alias("low")).select("r", F.least("r", "low").alias("label")))
     while True:
-        lows = links.join(labels, "r").groupBy("key").agg(F.min("label").alias("low"))
-        near = links.join(lows, "key").groupBy("r").agg(F.min("low").alias("near"))
-        step = labels.join(near, "r", "left").select("r", "label", F.least("label", "near").alias("low"))
+        near = links.join(labels.withColumnRenamed("r", "low"), "low").groupBy("r").agg(F.min("label").alias("near"))
+        step = labels.join(near, "r").select("r", "label", F.least("label", "near").alias("low"))
         up = labels.select(F.col("r").alias("low"), F.col("label").alias("lower"))
-        new = checkpoint(step.join(up, "low").select("r", "lower", (F.col("lower") < F.col("label")).alias("moved")))
+        new = checkpoint(step.join(up, "low").select("r", F.least("low", "lower").alias("lower"), (F.least("low", "lower") < F.col("label")).alias("moved")))
         forget(old)
         labels, old = new.select("r", F.col("lower").alias("label")), new
         if new.filter("moved").isEmpty():
-            return labels.select(F.col("r").alias(record), F.col("label").alias("group_name"))
+            break
+    forget(links)
+    every = records.select(F.col(record).alias("r")).distinct().join(labels, "r", "left")
+    return every.select(F.col("r").alias(record), F.coalesce("label", "r").alias("group_name"))
 
 
 def greedy_split(groups: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
