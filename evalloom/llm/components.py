@@ -27,4 +27,5 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         forget(old)
         labels, old = new.select("node", "label"), new
         if new.filter("moved").isEmpty():
+            forget(edges)
             return labels.withColumnRenamed("label", "component")
