@@ -28,9 +28,10 @@ def select_records(metrics: DataFrame, categories: list[str], count: int, seed:
             free = free.filter(~F.col(c).isin([r[c] for r in chosen])) if chosen else free
         return free
 
-    def pick(condition: Column, stratum: str, diverse: bool = True) -> None:
+    def pick(condition: Column, stratum: str, diverse: bool = True, first: list[Column] | None = None) -> bool:
+        """Choose the best record under a condition, by ``first`` before all else; whether there was one."""
         if len(chosen) >= count:
-            return
+            return False
         trials: dict[int, int] = {}
         for r in chosen:
             trials[r["trial"]] = trials.get(r["trial"], 0) + 1
@@ -39,22 +40,20 @@ def select_records(metrics: DataFrame, categories: list[str], count: int, seed:
             used = F.when(F.col("trial") == trial, n).otherwise(used)
         free = left(rows.filter(condition), diverse)
         key = stable_hash(F.lit(seed), F.lit(stratum), F.col("record_id"))
-        best = free.orderBy(used, F.abs(F.col("event_count") - target_events), key).first()
+        best = free.orderBy(*(first or []), used, F.abs(F.col("event_count") - target_events), key).first()
         if best:
             chosen.append({**best.asDict(), "stratum": stratum})
+        return best is not None
 
     for c in sorted(categories):
         pick(F.array_contains("categories", c), f"operation:{c}")
     pick(F.size("categories") == 0, "operation:no_consequential_action")
     pick(F.col("tool_error_count") > 0, "shape:tool_error")
     pick(F.size("categories") >= 2, "shape:multi_action")
-    order = stable_hash(F.lit(seed), F.lit("group"), F.col("group_id"))
-    while len(chosen) < count:
-        # A group without an eligible record now has none later, so the next one that has is the first in order.
-        group = left(rows).filter("group_id is not null").orderBy(order, "group_id").first()
-        if not group:
-            break
-        pick(F.col("group_id") == group["group_id"], "group_coverage")
+    # A group without an eligible record now has none later, so the next one that has is the first in order.
+    order = [stable_hash(F.lit(seed), F.lit("group"), F.col("group_id")), F.col("group_id")]
+    while pick(F.col("group_id").isNotNull(), "group_coverage", first=order):
+        pass
     while len(chosen) < count:
         pick(F.lit(True), "fill", diverse=False)
     out = rows.sparkSession.createDataFrame([(r["record_id"], r["stratum"]) for r in chosen], "record_id string, stratum string")
