@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from evalloom.functions.text import LEAKAGE_NGRAM, MIN_SHORT_INPUT, occurs_as_word, word_count, words
-from evalloom.session import checkpoint, ship_package
+from evalloom.session import checkpoint, ship_package, spread
 
 #: Values that one pass over the texts looks for; more take further passes.
 PASS_VALUES = 20_000
@@ -60,12 +60,11 @@ def _bm25_block(docs: DataFrame, rows: list, doc: str, text: str, k: int, k1: fl
     for j, r in enumerate(rows):
         of[[place[t] for t in r["t"]], j] = True
 
-    def kept(w: Column) -> Column:
-        return F.struct(F.size(w).alias("len"), F.filter(w, lambda t: t.isin(terms)).alias("w"))
-
-    # Bound to a lambda variable, the words are found once.
-    cut = F.get(F.transform(F.array(words(F.col(text))), kept), F.lit(0))
-    hits = checkpoint(docs.select(F.col(doc).alias("d"), cut.alias("c")).select("d", "c.len", "c.w"))
+    # Bound to a lambda variable, the words are found once. Terms are words, so they need no quoting.
+    asked = ", ".join(f"'{t}'" for t in terms)
+    cut = F.expr(f"get(transform(array(v), x -> struct(size(x) AS len, filter(x, t -> t IN ({asked})) AS w)), 0)")
+    read = spread(docs.select(doc, text)).select(F.col(doc).alias("d"), words(F.col(text)).alias("v"))
+    hits = checkpoint(read.select("d", cut.alias("c")).select("d", "c.len", "c.w"))
     n, mean = hits.agg(F.count("*"), F.avg("len")).first()
     seen = hits.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").count()
     df = np.zeros(len(terms))
@@ -117,8 +116,8 @@ def leaked_ngrams(held_out: DataFrame, cases: DataFrame, case: str, text: str, n
     read; only windows with such a hash become strings, and these are compared as strings.
     """
     new = _windows(held_out.select(words(F.col(text)).alias("w")), n).select("ngram").distinct()
-    new = checkpoint(new.withColumn("h", F.xxhash64("ngram")))
-    read = cases.select(F.col(case).alias("c"), words(F.col(text)).alias("w"))
+    new = checkpoint(new.withColumn("h", F.xxhash64(F.split("ngram", " "))))
+    read = spread(cases.select(F.col(case).alias("c"), F.col(text).alias("x"))).select("c", words(F.col("x")).alias("w"))
     found = None
     for rows in _passes(new.select("h").distinct(), PASS_VALUES):
         hits = _windows(read, n, [r["h"] for r in rows]).select("c", "ngram").distinct()
@@ -132,13 +131,12 @@ def leaked_ngrams(held_out: DataFrame, cases: DataFrame, case: str, text: str, n
 def _windows(rows: DataFrame, n: int, hashes: list[int] | None = None) -> DataFrame:
     """A row for each n-gram of the words ``w``, or for those with one of the hashes."""
 
-    def hit(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - n)
-        text = F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-        found = text if hashes is None else F.filter(text, lambda g: F.xxhash64(g).isin(hashes))
-        return F.when(F.size(w) >= n, found)
-
-    once = F.get(F.transform(F.array("w"), hit), F.lit(0))
+    listed = "" if hashes is None else ", ".join(f"{h}L" if h > -(1 << 63) else "-9223372036854775808" for h in hashes)
+    near = "" if hashes is None else f"i -> xxhash64(slice(v, i + 1, {n})) IN ({listed})"
+    at = f"sequence(0, size(v) - {n})"
+    found = at if hashes is None else f"filter({at}, {near})"
+    # Bound to a lambda variable, the words are found once.
+    once = F.expr(f"get(transform(array(w), v -> IF(size(v) >= {n}, transform({found}, i -> array_join(slice(v, i + 1, {n}), ' ')), NULL)), 0)")
     return rows.select(*[c for c in rows.columns if c != "w"], F.explode(F.array_distinct(once)).alias("ngram"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import scores, text, values
 from evalloom.operators import evidence, retrieval
 from evalloom.plans.registry import query
-from evalloom.session import table
+from evalloom.session import spread, table
 
 _REDACT = r"regexp_replace(regexp_replace({0}, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b', '<email>', 'g'), '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b', '<ip_address>', 'g')"
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -58,7 +58,7 @@ SELECT doc_id, len(w)::BIGINT AS words, (CASE WHEN len(w) >= 8 THEN len(list_dis
   lambda i: array_to_string(w[i:i + 7], ' ')))) ELSE 0 END)::BIGINT AS ngrams FROM w
 """)
 def word_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.words(F.col("text")).alias("w"))
     return docs.select("doc_id", F.size("w").cast("long").alias("words"), text.ngram_count(F.col("w")).alias("ngrams"))
 
 

@@ -48,6 +48,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over as many tasks as the session has cores, where a scan would have fewer: a file of one row group is one
+    task, however many cores wait. A table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a checkpointed ``df`` that no later plan reads."""
     saved = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
