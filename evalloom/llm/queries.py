@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.bpe import byte_bpe
 from evalloom.llm.decontaminate import decontaminate
+from evalloom.llm.hard_negatives import hard_negatives
 from evalloom.llm.language_id import language_id
+from evalloom.llm.license_scan import license_scan
 from evalloom.llm.ngram_join import ngram_jaccard_join
 from evalloom.llm.quality_classifier import quality_scores
 from evalloom.llm.quality_rules import quality_rules
 from evalloom.llm.sql import ORACLE
 from evalloom.llm.suffix_dedup import suffix_array_dedup
 from evalloom.llm.url_filter import UrlRule, url_filter
+from evalloom.llm.whitening import whiten
 from evalloom.llm.window_dedup import line_dedup, substring_dedup
 from evalloom.session import table
 
@@ -92,6 +95,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted), F.col("id") % 50 == 0)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -103,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_license_scan": op11_license_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evalloom.llm.license_scan import MIN_PERCENT, PHRASE_SCORE, PHRASES, SEEDS, TEMPLATES, words_of
 from evalloom.llm.quality_rules import STOP_WORDS, THRESHOLDS
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -150,4 +151,99 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FRO
   LEFT JOIN (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id) AS c USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op2_ngram_jaccard_join": OP2, "op3_suffix_array_dedup": OP3, "op8_line_dedup": OP8, "op9_url_filter": OP9, "op10_quality_rules": OP10}
+
+def _list(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+_TEMPLATES = ", ".join(
+    f"({i}, '{t.label}', {_list(t.words)}, {t.slack}, {_list(' '.join(words_of(k)) for k in t.key)}, {_list(sorted({w for k in t.key for w in words_of(k)}))})"
+    for i, t in enumerate(TEMPLATES)
+)
+_PHRASES = ", ".join(f"('{p.label}', {_list(words_of(p.text))})" for p in PHRASES)
+
+OP11 = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t(tid, label, body, slack, phrases, needed) AS (VALUES {_TEMPLATES}
+), p(label, body) AS (VALUES {_PHRASES}
+), posting AS (
+  SELECT tid, unnest(body) AS w, unnest(range(len(body))) AS j FROM t
+), vocabulary AS (
+  SELECT DISTINCT w FROM (SELECT w FROM posting UNION ALL SELECT unnest(needed) FROM t UNION ALL SELECT unnest(body) FROM p)
+), word AS MATERIALIZED (
+  SELECT rid, i, w FROM (SELECT rid, unnest(w) AS w, unnest(range(len(w))) AS i FROM d) SEMI JOIN vocabulary USING (w)
+), known AS MATERIALIZED (
+  SELECT DISTINCT rid, w FROM word
+), weight AS MATERIALIZED (
+  SELECT v.w, floor(1000 * ln((1.0 + (SELECT count(*) FROM d)) / (1 + count(k.rid))))::INTEGER + 1 AS n
+  FROM vocabulary v LEFT JOIN known k USING (w) GROUP BY v.w
+), total AS (
+  SELECT tid, sum(n) AS n FROM (SELECT DISTINCT tid, w FROM posting) JOIN weight USING (w) GROUP BY tid
+), candidate AS (
+  SELECT k.rid, t.tid FROM (SELECT tid, len(needed) AS n, unnest(needed) AS w FROM t) AS t JOIN known k USING (w)
+  GROUP BY k.rid, t.tid, t.n HAVING count(*) = t.n
+), seed AS (
+  SELECT c.rid, c.tid, k.w FROM candidate c JOIN (SELECT DISTINCT tid, w FROM posting) x ON x.tid = c.tid
+  JOIN known k ON k.rid = c.rid AND k.w = x.w JOIN weight ON weight.w = k.w
+  QUALIFY row_number() OVER (PARTITION BY c.rid, c.tid ORDER BY weight.n DESC, k.w) <= {SEEDS}
+), place AS (
+  SELECT s.rid, s.tid, word.i - posting.j AS o,
+    lead(word.i - posting.j) OVER (PARTITION BY s.rid, s.tid ORDER BY word.i - posting.j) AS after
+  FROM seed s JOIN word ON word.rid = s.rid AND word.w = s.w JOIN posting ON posting.tid = s.tid AND posting.w = s.w
+), region AS (
+  SELECT DISTINCT place.rid, t.tid, t.label, t.phrases, t.body, o,
+    d.w[greatest(o, 0) + 1 : greatest(o + len(t.body) + t.slack, 0)] AS r
+  FROM place JOIN t USING (tid) JOIN d ON d.rid = place.rid WHERE after - o <= t.slack
+), found AS (
+  SELECT rid, tid, label, o, (SELECT sum(weight.n) FROM weight WHERE list_contains(body, weight.w) AND list_contains(r, weight.w)) AS n
+  FROM region WHERE len(list_filter(phrases, lambda k: contains(' ' || array_to_string(r, ' ') || ' ', ' ' || k || ' '))) = len(phrases)
+), good AS (
+  SELECT rid, label, max(found.n)::DOUBLE / total.n AS share FROM found JOIN total USING (tid)
+  GROUP BY rid, tid, label, total.n HAVING 100 * max(found.n) >= {MIN_PERCENT} * total.n
+), base AS (
+  SELECT rid, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(body)] = body)) AS i FROM d CROSS JOIN p
+), b AS (
+  SELECT rid, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid
+), l AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM good) GROUP BY rid
+)
+SELECT doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  coalesce((SELECT max(share) FROM good WHERE good.rid = d.rid), CASE WHEN b.n > 0 THEN {PHRASE_SCORE} ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid)
+"""
+
+OP12 = r"""
+WITH e AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), score AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, list_dot_product(a.x, b.x)::BIGINT AS s
+  FROM e a JOIN e b ON a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM score WHERE label = anchor_label AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.s AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.s DESC, n.vec_id)::INTEGER AS rank
+  FROM positive p JOIN score n ON n.anchor_id = p.anchor_id AND n.label <> n.anchor_label
+    AND 100 * n.s BETWEEN 50 * p.positive_score AND 95 * p.positive_score
+) WHERE rank <= 3
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": OP1,
+    "op2_ngram_jaccard_join": OP2,
+    "op3_suffix_array_dedup": OP3,
+    "op8_line_dedup": OP8,
+    "op9_url_filter": OP9,
+    "op10_quality_rules": OP10,
+    "op11_license_scan": OP11,
+    "op12_hard_negatives": OP12,
+}
