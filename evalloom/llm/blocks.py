@@ -7,7 +7,9 @@ distinct hashes as delta-coded bytes, and the bucket answers with a few bits per
 order. Where it matters who comes first, a hash comes with the place of its first row in the order of
 ids. The number of blocks is all that the driver knows of them, and a block is a function of its rows
 alone: no bounds are sampled, rows of one id (or of none) spread like any others, and a recomputed task
-repeats what the lost one sent. Only rows equal in both id and text share a block.
+repeats what the lost one sent. Rows equal in both id and text would share a block; where there are more
+of them than a few blocks hold rows, they are dealt as one row with their number, and each gets its result
+afterwards.
 
 A hash that occurs very often is sent once per block, so no bucket grows with a hash's frequency. The
 number of request rows is what blocks times buckets could spoil: both grow with the square root of the
@@ -26,9 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from evalloom.session import ship_package
+from evalloom.session import checkpoint, ship_package
 
 #: The id that stands for null: rows without an id come first and share it.
 NO_ID = -(1 << 63)
@@ -36,6 +38,11 @@ REQUEST = "bucket int, block int, body binary"
 ANSWER = "block int, level int, bucket int, body binary"
 BUCKET_KEYS = 1 << 20
 ROW_KEYS = 16
+#: Equal rows are dealt as one where they are more than so many times a block's mean number of rows.
+MANY_BLOCKS = 4
+LEAST_COPIES = 16
+#: Copies that one row of an expanded result stands for until it is dealt out.
+COPIES_AT_ONCE = 10_000
 
 _LIBC = ctypes.CDLL(None)
 _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -57,13 +64,28 @@ class Blocks:
             *row,
         )
         self.row_field = rows.schema["row"] if carry else None
-        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        tied = rows.withColumn("tie", F.xxhash64("text"))
+        repeats = tied.groupBy("key", "tie").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+        total, n_rows, most = repeats.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
         self.n_keys = max(2.0, total * per_byte)
         # A block and a bucket share n_keys / (blocks * buckets) keys: enough for one row of a request.
         self.grow = math.sqrt(max(1.0, ROW_KEYS * self.n_keys / (block_bytes * per_byte * BUCKET_KEYS)))
         self.n_blocks = max(1, math.ceil(total / (block_bytes * self.grow)))
-        tied = rows.withColumn("tie", F.xxhash64("text"))
-        self.frame = tied.withColumn("block", F.pmod(F.xxhash64("key", "tie"), F.lit(self.n_blocks)).cast("int"))
+        # Other columns tell carried rows apart, so that they need no collapsing; maps cannot be hashed.
+        own = [docs[c] for c, kind in docs.dtypes if carry and not any(x in kind for x in ("map<", "variant"))]
+        if own:
+            tied = tied.withColumn("own", F.xxhash64(*[F.col(f"row.`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))]))
+        dealt_by = ["key", "tie", *(["own"] if own else [])]
+        many = max(LEAST_COPIES, MANY_BLOCKS * n_rows // self.n_blocks)
+        self.collapsed = most > many and (not carry or len(own) == len(docs.columns))
+        if self.collapsed:
+            # At most n_blocks / MANY_BLOCKS of them: a few bytes each, whatever the table's size.
+            hot = F.broadcast(repeats.filter(F.col("n") > many).select("key", "tie"))
+            dense = tied.join(hot, ["key", "tie"], "left_semi")
+            whole = [c for c in tied.columns if c != "doc_id"]
+            once = dense.groupBy(*whole).agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+            tied = tied.join(hot, ["key", "tie"], "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(once)
+        self.frame = tied.withColumn("block", F.pmod(F.xxhash64(*dealt_by), F.lit(self.n_blocks)).cast("int")).drop("own")
 
     @property
     def bits(self) -> int:
@@ -88,10 +110,26 @@ class Blocks:
         return self._with(answers).applyInArrow(apply, REQUEST)
 
     def finish(self, answers: DataFrame, fn: Callable[[Texts, Answers], pa.Table], schema: str | StructType) -> DataFrame:
-        def apply(group: pa.Table, told: pa.Table) -> pa.Table:
-            return _released(fn(Texts(group), Answers(told)))
+        """A row of ``fn`` for each row of the input; where rows were collapsed, ``fn`` may say in a column
+        ``copies`` how many rows each of its own stands for, else all copies have one result."""
 
-        return self._with(answers).applyInArrow(apply, schema)
+        def apply(group: pa.Table, told: pa.Table) -> pa.Table:
+            texts = Texts(group)
+            out = fn(texts, Answers(told))
+            if texts.copies is not None and "copies" not in out.column_names:
+                out = out.append_column("copies", pa.array(texts.copies))
+            return _released(out)
+
+        if not self.collapsed:
+            return self._with(answers).applyInArrow(apply, schema)
+        schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        found = checkpoint(self._with(answers).applyInArrow(apply, StructType([*schema.fields, StructField("copies", LongType())])))
+        several = found.filter("copies > 1")
+        parts = several.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_AT_ONCE))))
+        parts = parts.repartition(max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        left = F.least(F.lit(COPIES_AT_ONCE).cast("long"), F.col("copies") - F.col("part") * COPIES_AT_ONCE)
+        each = parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+        return found.filter("copies = 1").select(*schema.names).unionAll(each.select(*schema.names))
 
     def _with(self, answers: DataFrame):
         return self.frame.groupBy("block").cogroup(answers.groupBy("block"))
@@ -153,6 +191,7 @@ class Texts:
         ids = group["doc_id"].to_pylist()
         self.ids = pa.array([ids[i] for i in order], pa.int64())
         self.rows = group["row"].take(order) if "row" in group.column_names else None
+        self.copies = group["copies"].to_numpy()[order] if "copies" in group.column_names else None
 
 
 class Answers:

@@ -26,6 +26,9 @@ CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Between these characters every match of the pattern ends: no alternative runs from a non-space
 #: into a space, or from a letter into a digit or back, and only runs of spaces look ahead.
 SAFE_CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
+#: White space that is so long goes round the pattern: the library's regular expression recurses along a
+#: run and overflows its stack near a million characters.
+LONG_RUN = regex.compile(r"\p{White_Space}{4096,}")
 MAX_RANK_BYTES = 64 << 20
 
 
@@ -57,9 +60,25 @@ def safe_pieces(text: str, size: int | None) -> Iterator[str]:
     yield text[at:]
 
 
+def around_runs(text: str) -> Iterator[tuple[bool, str]]:
+    """(is a long run, part): what the pattern's match on a run of white space is, is known without it: all
+    of the run at the end of a text, all but its last character before anything else."""
+    at = 0
+    for run in LONG_RUN.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        yield False, text[at : run.start()]
+        yield True, text[run.start() : stop]
+        at = stop
+    yield False, text[at:]
+
+
 def encode_pieces(enc: tiktoken.Encoding, text: str, size: int | None) -> Iterator[list[int]]:
-    for piece in safe_pieces(text, size):
-        yield enc.encode_ordinary(piece)
+    for run, part in around_runs(text) if size is not None else [(False, text)]:
+        if run:
+            yield enc._encode_single_piece(part)
+            continue
+        for piece in safe_pieces(part, size):
+            yield enc.encode_ordinary(piece)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded binary"
@@ -80,7 +99,8 @@ def byte_bpe(
     A null or empty text has no tokens and decodes to no bytes. Repeated rows are encoded row by row,
     other columns are ignored. A digest is fed piece by piece, so its memory does not grow with a
     text's tokens. No shuffle: each input batch is encoded where it is read. Texts are cut at safe
-    places only for ``CUT_PATTERN``; with another pattern each text is encoded in one piece.
+    places only for ``CUT_PATTERN``; with another pattern each text is encoded in one piece. Runs of white
+    space of any length are encoded as the one match that they are.
     """
     spark = docs.sparkSession
     ship_package(spark)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.blocks import Answers, Blocks, Distinct, Texts, answer, hashes, mix, pack, rolled, slices, unpack
 from evalloom.llm.components import connected_components
-from evalloom.session import checkpoint
+from evalloom.session import checkpoint, forget
 
 FRAGMENTS = 8
 SETS = "doc_id long, n_shingles long, fp1 long, fp2 long, n_prefix int, n_single int, tokens array<long>, cuts array<int>"
@@ -264,6 +264,7 @@ def ngram_jaccard_join(
         if pairs.isEmpty():
             break
         found = checkpoint(_links(pairs, sets, percent).select("a", "b"))
+        forget(pairs)
         if found.isEmpty():
             continue
         links = found if links is None else links.unionAll(found)

@@ -4,7 +4,9 @@ A window of ``window`` bytes is filed under its minimiser, the ``seed``-byte str
 smallest hash (the leftmost of equal ones), so equal windows meet under one minimiser. Consecutive
 windows with one minimiser form a *piece*. Pieces whose minimiser occurs once in the corpus cannot
 repeat; a first exchange of hashes drops them. It also finds the *hot* minimisers, round which too many
-different pieces lie; their windows are filed under the two smallest hashes instead.
+different pieces lie; their windows are filed under the two smallest hashes instead. Where a second
+exchange finds such a pair still hot, as both lie in the fixed part of a template, its windows are filed
+one by one under the hash of all their bytes: a key that only equal windows share.
 
 The distinct remaining pieces of a bucket make a shard with one enhanced suffix array: the suffixes
 that share ``window`` bytes with another one in order, the common-prefix lengths of neighbours, scanned
@@ -38,6 +40,8 @@ from evalloom.session import checkpoint
 PIECE_KEYS = 1 << 17
 #: Different pieces round one minimiser beyond which it is hot.
 HOT_PIECES = 1 << 15
+#: Levels of the exchanges: minimisers, pieces, and pairs of minimisers where some are hot.
+ASK, PIECES, SPLIT = 0, 1, 2
 
 _CHUNK = 1 << 16
 _PLACE = np.uint64((1 << 17) - 1)
@@ -104,7 +108,18 @@ class Bytes:
             first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
             both = mix(np.uint64(key) ^ mix(low[first] & ~_PLACE))
             place = (low[first] & _PLACE).astype(np.int64) + a
-            parts.append(Pieces(first + a, np.diff(np.append(first, n)), both, both, place))
+            sums = np.append(np.uint64(0), np.cumsum(mix(grams)))
+            stop = np.append(first[1:], n)
+            parts.append(Pieces(first + a, stop - first, both, sums[stop + window - seed] - sums[first], place))
+        return Pieces.joined(parts)
+
+    def windows(self, pieces: Pieces, window: int) -> Pieces:
+        """A piece for each window, filed under the hash of the whole window."""
+        parts = []
+        for a, n in zip(pieces.start.tolist(), pieces.count.tolist(), strict=True):
+            key = mix(mix(_rolled_bytes(self.array[a : a + n + window - 1], window)) ^ np.uint64(window))
+            at = np.arange(a, a + n)
+            parts.append(Pieces(at, np.ones(n, np.int64), key, key, at))
         return Pieces.joined(parts)
 
     def _chunk(self, a: int, b: int, whole: np.ndarray, window: int, seed: int) -> Pieces:
@@ -209,11 +224,11 @@ class Candidates:
         pieces = data.pieces(shape.window, shape.seed)
         found = Distinct(pieces.key >> np.uint64(64 - shape.key_bits))
         sizes = [s.stop - s.start for _, s in slices(found.keys, shape.key_bits, shape.ask_bits)]
-        shared, hot = read_bits(told.of(0), sizes, 2)
+        shared, hot = read_bits(told.of(ASK), sizes, 2)
         keep = (shared | (found.counts > 1))[found.place]
         hot = hot[found.place]
-        dense = data.split(pieces.where(keep & hot), shape.window, shape.seed)
-        pieces = Pieces.joined([pieces.where(keep & ~hot), dense])
+        self.dense = data.split(pieces.where(keep & hot), shape.window, shape.seed)
+        pieces = Pieces.joined([pieces.where(keep & ~hot), *self._spread(data, told, shape)])
         by_place = np.argsort(pieces.start, kind="stable")
         self.start, self.count = pieces.start[by_place], pieces.count[by_place]
         self.keys = pieces.key[by_place]
@@ -237,6 +252,16 @@ class Candidates:
         self.first = np.array(first, np.int64)
         self.bucket = bucket[self.first] if first else np.zeros(0, np.int64)
 
+    def _spread(self, data: Bytes, told: Answers, shape: Shape) -> list[Pieces]:
+        """Pieces filed under two hashes, as far as a second exchange has not found those hot, too."""
+        if not told.of(SPLIT):
+            return [self.dense]
+        found = Distinct(self.dense.key >> np.uint64(64 - shape.key_bits))
+        sizes = [s.stop - s.start for _, s in slices(found.keys, shape.key_bits, shape.ask_bits)]
+        shared, hot = read_bits(told.of(SPLIT), sizes, 2)
+        keep, hot = (shared | (found.counts > 1))[found.place], hot[found.place]
+        return [self.dense.where(keep & ~hot), data.windows(self.dense.where(keep & hot), shape.window)]
+
     def parts(self) -> Iterator[tuple[int, slice]]:
         return runs(self.bucket)
 
@@ -387,7 +412,15 @@ def _first_exchange(docs: DataFrame, id_col: str, text_col: str, window: int, se
     def ask(texts: Texts) -> Iterator[tuple[int, bytes]]:
         return _ask_minimisers(Bytes(texts.texts).pieces(window, seed), shape.key_bits, shape.ask_bits)
 
-    return blocks, shape, answer(blocks.ask(ask), 0, _minimisers(hot_pieces))
+    def ask_pairs(texts: Texts, told: Answers) -> Iterator[tuple[int, bytes]]:
+        return _ask_minimisers(Candidates(Bytes(texts.texts), told, shape).dense, shape.key_bits, shape.ask_bits)
+
+    told = checkpoint(answer(blocks.ask(ask), ASK, _minimisers(hot_pieces)))
+    # The second half of a body says which minimisers are hot; mostly none is.
+    hot = F.expr("hex(substring(body, octet_length(body) div 2 + 1, octet_length(body))) rlike '[1-9A-F]'")
+    if not told.filter(hot).isEmpty():
+        told = told.unionAll(answer(blocks.ask_with(told, ask_pairs), SPLIT, _minimisers(hot_pieces)))
+    return blocks, shape, told
 
 
 def suffix_array_dedup(
@@ -416,7 +449,7 @@ def suffix_array_dedup(
         data, found = candidates(texts, told)
         ids = texts.keys[data.row(found.start)] if len(found.start) else np.zeros(0, np.int64)
         size = np.array([len(t) - window + 1 for t in found.texts], np.int64)
-        bits = read_bits(told.of(1), [int(size[part].sum()) for _, part in found.parts()], 1)[0]
+        bits = read_bits(told.of(PIECES), [int(size[part].sum()) for _, part in found.parts()], 1)[0]
         begin = np.cumsum(size) - size
         later = ids > ids[found.first][found.place] if len(ids) else np.zeros(0, bool)
         cover = np.zeros(len(data.array) + 1, np.int32)
@@ -440,7 +473,7 @@ def suffix_array_dedup(
             }
         )
 
-    answers = answers.unionAll(answer(blocks.ask_with(answers, ask_pieces), 1, _owners(window)))
+    answers = answers.unionAll(answer(blocks.ask_with(answers, ask_pieces), PIECES, _owners(window)))
     return blocks.finish(answers, finish, RESULT)
 
 

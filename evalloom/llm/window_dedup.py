@@ -130,7 +130,25 @@ def _dedup(
                 "kept_text": pa.array([join(t, split(t), m) for t, m in zip(texts.texts, masks, strict=True)], pa.binary()).cast(pa.string()),
             }
         )
-        return out.append_column("row", texts.rows) if carry else out
+        if carry:
+            out = out.append_column("row", texts.rows)
+        return out if texts.copies is None else _with_copies(out, texts, units)
+
+    def _with_copies(out: pa.Table, texts: Texts, units: Units) -> pa.Table:
+        """The first of equal rows is judged like any other; all windows of the others started earlier."""
+        sizes = units.ends - units.starts
+        again = np.flatnonzero(texts.copies > 1)
+        masks = [np.full(sizes[i], sizes[i] >= lengths[-1]) for i in again.tolist()]
+        later = {
+            "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()),
+            "spans": pa.array([_spans(m) for m in masks], _SPANS),
+            "kept_text": pa.array([join(texts.texts[i], split(texts.texts[i]), m) for i, m in zip(again.tolist(), masks, strict=True)], pa.binary()).cast(pa.string()),
+            "copies": pa.array(texts.copies[again] - 1, pa.int64()),
+        }
+        first = out.append_column("copies", pa.array(np.ones(out.num_rows, np.int64)))
+        rest = first.take(again)
+        rest = pa.table({c: later[c] if c in later else rest[c] for c in first.column_names})
+        return pa.concat_tables([first, rest])
 
     schema = StructType.fromDDL(RESULT)
     return blocks.finish(answers, finish, StructType([*schema.fields, blocks.row_field]) if carry else schema)

@@ -227,6 +227,61 @@ def test_a_hot_string_does_not_fill_one_bucket(spark):
     assert told[8] < told[1 << 15] / 3
 
 
+@pytest.mark.parametrize("op", [substring_dedup, suffix_array_dedup, line_dedup, ngram_jaccard_join])
+def test_a_third_of_the_table_is_one_row(spark, op):
+    """Equal rows are dealt as one, so no block holds them all, and each gets its result."""
+    text = " ".join(f"word{i}" for i in range(60)) + "\na\nb\nc\nd"
+    rows = [(k, t) for k, t in corpus() if k != 7] + [(7, text)] * 400 + [(None, None)] * 300 + [(90, "x " + text)]
+    blocks = Blocks(frame(spark, rows), "doc_id", "text", BLOCK, 1 / 6)
+    sizes = [r["count"] for r in blocks.frame.groupBy("block").count().collect()]
+    assert blocks.collapsed and max(sizes) < 40 and blocks.frame.agg(F.sum("copies")).first()[0] == len(rows)
+    found = op(frame(spark, rows), block_bytes=BLOCK)
+    assert found.count() == len(rows)
+    if op is ngram_jaccard_join:
+        once = {k: t for k, t in rows if k is not None}
+        want = {k: (n, c) for k, n, c in components(list(once.items()))}
+        assert all((r["n_shingles"], r["component_id"]) == want.get(r["doc_id"], (0, None)) for r in found.collect())
+        return
+    rows = ordered(spark, rows)
+    if op is suffix_array_dedup:
+        gone = covered([(-1 if k is None else k, (t or "").encode()) for k, t in rows], 50, False, strict=True)
+        assert sorted(r["n_removed"] for r in found.collect()) == sorted(map(len, gone))
+        return
+    split = words if op is substring_dedup else lambda t: [x for x in (t or "").split("\n") if words(x)]
+    seqs = [(i, split(t)) for i, (_, t) in enumerate(rows)]
+    gone = covered(seqs, 20 if op is substring_dedup else 3, True, strict=False)
+    assert sorted((r["n_units"], r["n_removed"]) for r in found.collect()) == sorted((len(w), len(g)) for (_, w), g in zip(seqs, gone))
+    assert found.filter("doc_id = 7 and n_removed = 0").count() == 1
+
+
+def test_templates_with_changing_numbers_fill_no_bucket(spark):
+    """Log lines of one template: the two smallest hashes of a window both lie in the fixed part, so their pieces grow with the
+    corpus until windows are filed one by one."""
+    rng = random.Random(11)
+
+    def line(i):
+        return f"{rng.randrange(10**8):08d} the request was finished by worker of tenant {rng.randrange(10**8):08d}"
+
+    most = {}
+    for n in (150, 300):
+        rows = [(i, line(i)) for i in range(n)]
+        rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[::9])]
+        for hot in (20, 1 << 15):
+            blocks, shape, answers = _first_exchange(frame(spark, rows), "doc_id", "text", 50, 16, BLOCK, hot)
+
+            def keys(group, told):  # noqa: B023
+                pieces = Candidates(Bytes(Texts(group).texts), Answers(told), shape)
+                return pa.table({"key": pa.array(pieces.keys[pieces.first].view("int64"), pa.int64()), "text": pa.array(pieces.texts, pa.binary())})
+
+            parts = blocks._with(answers).applyInArrow(keys, "key long, text binary")
+            most[n, hot] = max([r["n"] for r in parts.groupBy("key").agg(F.count_distinct("text").alias("n")).collect()], default=0)
+        gone = covered([(k, t.encode()) for k, t in rows], 50, False, strict=True)
+        got = suffix_array_dedup(frame(spark, rows), block_bytes=BLOCK, hot_pieces=20).collect()
+        assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(k, len(g)) for (k, _), g in zip(rows, gone)]
+    assert most[300, 1 << 15] > 1.5 * most[150, 1 << 15] > 100  # without splitting
+    assert most[300, 20] <= 20 and most[150, 20] <= 20
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     links = links.unionAll(spark.createDataFrame([(100, 101), (102, 101)], "a long, b long"))

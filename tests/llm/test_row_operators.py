@@ -11,7 +11,8 @@ from data import corpus, frame
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
-from evalloom.llm.bpe import SAFE_CUT, byte_bpe, read_ranks, safe_pieces
+from evalloom.llm import bpe
+from evalloom.llm.bpe import SAFE_CUT, byte_bpe, encode_pieces, read_ranks, safe_pieces
 from evalloom.llm.quality_rules import Threshold, quality_rules
 from evalloom.llm.queries import QUERIES, URL_RULES, oracle_sql
 from evalloom.llm.url_filter import RuleIndex, UrlRule, url_filter
@@ -153,3 +154,25 @@ def test_pipeline_stages_take_odd_rows(spark):
         docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SF).count() <= len(odd)
+
+
+def test_long_runs_of_white_space_are_encoded_as_one_match(spark):
+    """Runs at which the library's pattern overflows its stack: the ids are those of the parts, whose matches are known."""
+    enc = bpe.encoding(read_ranks(RANKS), public_tokenizers.PATTERN)
+    for unit in (" ", "\n", "\r\n", " \u3000\t", "\u00a0"):
+        for n in (4000, 4096, 20_000):
+            for before, after in (("", ""), ("a", ""), ("", "b"), ("a", " b"), ("a.", "1"), ("\u00e9", "!")):
+                text = before + unit * n + after
+                assert [i for p in encode_pieces(enc, text, 1 << 16) for i in p] == enc.encode_ordinary(text)
+    for n in (1_000_000, 3_000_000):
+        for unit in (" ", "\n", " \n\t"):
+            run = unit * n
+            for before, after in (("", ""), ("word", ""), ("word", "next"), ("", "x")):
+                got = [i for p in encode_pieces(enc, before + run + after, 1 << 16) for i in p]
+                # All but the last character is one match; the last one is matched with what follows.
+                want = enc.encode_ordinary(before) + enc._encode_single_piece(run[:-1] if after else run) + (enc.encode_ordinary(run[-1] + after) if after else [])
+                assert got == want
+    rows = [(1, " " * 1_200_000), (2, "a" + "\n" * 1_200_000 + "b"), (3, "plain text")]
+    got = {r["doc_id"]: r for r in byte_bpe(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).collect()}
+    assert {k: bytes(r["decoded"]).decode() for k, r in got.items()} == dict(rows)
+    assert got[1]["n_tokens"] == len(got[1]["ids"])
