@@ -32,8 +32,8 @@ MAX_DIMS = 2047
 #: Rows from which the top of the tree is built; it steers the search and decides no result.
 SAMPLE = 2048
 LEAVES = 64
-#: Rows of a tree's leaf.
-BUCKET = 48
+#: Rows of a tree's leaf: enough for one vectorised product.
+BUCKET = 512
 
 ROWS = "id long, label long, x binary"
 POSITIVES = "anchor long, key long, id long, score long"
@@ -97,7 +97,7 @@ def _bounds(near: float, far: float, to_vantage: float, low: float, high: float)
 
 
 class Searcher:
-    """Rows of a block in falling score for one anchor after another."""
+    """The rows of a block, searched for one anchor after another."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, points: np.ndarray, norm2: int, copies: int, bucket: int):
         keep = self._distinct(ids, labels, points, copies)
@@ -108,6 +108,11 @@ class Searcher:
         self.tree = Tree(self.points, np.sqrt(np.maximum(norm2 - size2, 0.0)), bucket)
         at = [n.vantage for n in self.tree.nodes]
         self.vantages, self.lift = self.points[at], self.tree.lift[at]
+        # Rows of a bucket side by side: a bucket is a slice, and its product copies nothing.
+        order = np.concatenate(self.tree.buckets)
+        self.ids, self.labels, self.points = self.ids[order], self.labels[order], self.points[order]
+        ends = np.cumsum([len(b) for b in self.tree.buckets]).tolist()
+        self.slices = [slice(end - len(b), end) for end, b in zip(ends, self.tree.buckets, strict=True)]
 
     @staticmethod
     def _distinct(ids: np.ndarray, labels: np.ndarray, points: np.ndarray, copies: int) -> np.ndarray:
@@ -120,48 +125,25 @@ class Searcher:
         place = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
         return order[by[place < copies]]
 
-    def nearest(self, anchor: np.ndarray, distances: np.ndarray, top: float, floor) -> Iterator[tuple[int, int, int]]:
-        """(score, id, label) by falling score, then rising id, of the rows with a score up to ``top``.
-
-        ``floor()`` is the least score still wanted; it may rise while rows are taken. A row comes out
-        once no unopened part can hold one before it.
-        """
-        size2 = float(anchor @ anchor)
-        room = size2 + self.norm2
+    def search(self, anchor: np.ndarray, distances: np.ndarray, query: Query) -> None:
+        """Open parts nearest first, as long as one may hold a score that ``query`` still wants."""
+        room = float(anchor @ anchor) + self.norm2
         margin = 1e-6 * room + 1.0
-
-        def score_at(distance: float) -> float:
-            return (room - distance * distance) / 2
-
-        tree = self.tree
-        parts = [(-math.inf, 0, tree.root, 0.0, math.inf)]
+        nodes = self.tree.nodes
+        parts = [(-math.inf, 0, self.tree.root, 0.0, math.inf)]
         serial = 1
-        ready: list[tuple[int, int, int]] = []
-        while parts or ready:
-            while ready and (not parts or -ready[0][0] > -parts[0][0]):
-                score, key, label = heapq.heappop(ready)
-                if -score < floor():
-                    return
-                yield -score, key, label
-            if not parts:
-                continue
+        while parts:
             bound, _, child, near, far = heapq.heappop(parts)
-            if -bound < floor():
-                # No part holds a wanted row; what is ready may.
-                parts = []
-                continue
+            if -bound < query.floor:
+                return
             if child < 0:
-                rows = tree.buckets[~child]
-                scores = _dot(self.points[rows], anchor, self.exact)
-                for i in np.flatnonzero((scores <= top) & (scores >= floor())).tolist():
-                    r = rows[i]
-                    heapq.heappush(ready, (-int(scores[i]), int(self.ids[r]), int(self.labels[r])))
+                rows = self.slices[~child]
+                query.take(self.ids[rows], self.labels[rows], _dot(self.points[rows], anchor, self.exact).astype(np.int64))
                 continue
-            node = tree.nodes[child]
-            for low, high, below in node.parts:
+            for low, high, below in nodes[child].parts:
                 a, b = _bounds(near, far, float(distances[child]), low, high)
-                best = score_at(a) + margin
-                if best >= floor() and score_at(b) - margin <= top:
+                best = (room - a * a) / 2 + margin
+                if best >= query.floor and (room - b * b) / 2 - margin <= query.top:
                     heapq.heappush(parts, (-best, serial, below, a, b))
                     serial += 1
 
@@ -370,10 +352,67 @@ class _Index:
         return dealt.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(meet, schema)
 
 
+class Best:
+    """The first ``count`` rows by falling score, then rising id, of those offered between two scores."""
+
+    def __init__(self, count: int, low: float, high: float):
+        self.count, self.floor, self.high = count, low, high
+        self.found: list[tuple[int, int]] = []
+
+    def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        at = np.flatnonzero((scores >= self.floor) & (scores <= self.high))
+        if len(at) > self.count:
+            at = at[np.lexsort((ids[at], -scores[at]))[: self.count]]
+        if len(at):
+            self.found = sorted([*self.found, *zip((-scores[at]).tolist(), ids[at].tolist(), strict=True)])[: self.count]
+            if len(self.found) == self.count:
+                self.floor = max(self.floor, -self.found[-1][0])
+
+
+class Query:
+    """What one anchor looks for: ``floor`` is the least score still wanted, ``top`` the largest."""
+
+    floor: float
+    top: float = math.inf
+
+    def take(self, ids: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> None:
+        raise NotImplementedError
+
+
+class PositiveQuery(Query):
+    """The first rows of the anchor's label, without the anchor, that score at least ``known``."""
+
+    def __init__(self, key: int, label: int, known: int | None, count: int):
+        self.key, self.label = key, label
+        self.best = Best(count, -math.inf if known is None else known, math.inf)
+        self.floor = self.best.floor
+
+    def take(self, ids: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> None:
+        mine = (labels == self.label) & (ids != self.key)
+        self.best.offer(ids[mine], scores[mine])
+        self.floor = self.best.floor
+
+
+class NegativeQuery(Query):
+    """For each window of scores the first rows of another label inside it."""
+
+    def __init__(self, label: int, windows: dict[int, tuple[int, int]], count: int):
+        self.label = label
+        self.best = {s: Best(count, *w) for s, w in windows.items()}
+        self.top = max(b.high for b in self.best.values())
+        self.floor = min(b.floor for b in self.best.values())
+
+    def take(self, ids: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> None:
+        near = np.flatnonzero((labels != self.label) & (scores >= self.floor) & (scores <= self.top))
+        if len(near):
+            ids, scores = ids[near], scores[near]
+            for b in self.best.values():
+                b.offer(ids, scores)
+            self.floor = min(b.floor for b in self.best.values())
+
+
 @dataclass
 class _Positives:
-    """The first rows of an anchor's own label, without the anchor, that score at least ``known``."""
-
     count: int
     copies: int
     schema: pa.Schema
@@ -381,21 +420,14 @@ class _Positives:
     def __call__(self, searcher: Searcher, batch: pa.RecordBatch, anchors: np.ndarray, far: np.ndarray) -> list[dict]:
         out = []
         for i, row in enumerate(batch.select(["id", "label", "key", "known"]).to_pylist()):
-            floor = -math.inf if row["known"] is None else row["known"]
-            left = self.count
-            for score, key, label in searcher.nearest(anchors[i], far[i], math.inf, lambda least=floor: least):
-                if label == row["label"] and key != row["id"]:
-                    out.append({"anchor": row["id"], "key": row["key"], "id": key, "score": score})
-                    left -= 1
-                    if not left:
-                        break
+            query = PositiveQuery(row["id"], row["label"], row["known"], self.count)
+            searcher.search(anchors[i], far[i], query)
+            out += [{"anchor": row["id"], "key": row["key"], "id": key, "score": -score} for score, key in query.best.found]
         return out
 
 
 @dataclass
 class _Negatives:
-    """For each of an anchor's windows, the first rows of another label inside it."""
-
     count: int
     low: int
     high: int
@@ -409,23 +441,15 @@ class _Negatives:
     def __call__(self, searcher: Searcher, batch: pa.RecordBatch, anchors: np.ndarray, far: np.ndarray) -> list[dict]:
         out = []
         for i, row in enumerate(batch.select(["id", "label", "key", "scores"]).to_pylist()):
-            open_ = {s: self.count for s in row["scores"] if self.window(s)[0] <= self.window(s)[1]}
-            if not open_:
-                continue
-            windows = {s: self.window(s) for s in open_}
-            top = max(b for _, b in windows.values())
-            floor = [min(a for a, _ in windows.values())]
-            for score, key, label in searcher.nearest(anchors[i], far[i], top, lambda least=floor: least[0]):
-                if label == row["label"]:
-                    continue
-                for s in [s for s in open_ if windows[s][0] <= score <= windows[s][1]]:
-                    out.append({"anchor": row["id"], "key": row["key"], "positive_score": s, "id": key, "score": score})
-                    open_[s] -= 1
-                    if not open_[s]:
-                        del open_[s]
-                if not open_:
-                    break
-                floor[0] = min(windows[s][0] for s in open_)
+            windows = {s: w for s in row["scores"] if (w := self.window(s))[0] <= w[1]}
+            if windows:
+                query = NegativeQuery(row["label"], windows, self.count)
+                searcher.search(anchors[i], far[i], query)
+                out += [
+                    {"anchor": row["id"], "key": row["key"], "positive_score": s, "id": key, "score": -score}
+                    for s, best in query.best.items()
+                    for score, key in best.found
+                ]
         return out
 
 

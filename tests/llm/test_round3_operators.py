@@ -7,7 +7,7 @@ import pytest
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
-from evalloom.llm.hard_negatives import Searcher, hard_negatives
+from evalloom.llm.hard_negatives import PositiveQuery, Searcher, hard_negatives
 from evalloom.llm.license_scan import license_scan, words_of
 from evalloom.llm.queries import QUERIES, oracle_sql
 from evalloom.llm.whitening import whiten
@@ -145,11 +145,12 @@ def test_search_opens_few_parts_where_vectors_cluster():
     points = np.floor(np.repeat(centres, 64, 0) + rng.normal(size=(4096, 8)))
     s = Searcher(np.arange(4096), np.zeros(4096, int), points, int((points**2).sum(1).max()), 6, 48)
     opened = []
-    buckets = s.tree.buckets
-    s.tree.buckets = type("Counted", (list,), {"__getitem__": lambda self, i: (opened.append(i), list.__getitem__(self, i))[1]})(buckets)
+    buckets = s.slices
+    s.slices = type("Counted", (list,), {"__getitem__": lambda self, i: (opened.append(i), list.__getitem__(self, i))[1]})(buckets)
     anchor = points[:1]
-    best = [score for score, _, _ in (x for _, x in zip(range(5), s.nearest(anchor[0], s.to_vantages(anchor)[0], math.inf, lambda: -math.inf), strict=False))]
-    assert best == sorted((points @ anchor[0]).tolist(), reverse=True)[:5]
+    query = PositiveQuery(-1, 0, None, 5)
+    s.search(anchor[0], s.to_vantages(anchor)[0], query)
+    assert [-score for score, _ in query.best.found] == sorted((points @ anchor[0]).tolist(), reverse=True)[:5]
     assert len(opened) < len(buckets) / 2
 
 
