@@ -102,28 +102,3 @@ def distinct_configs(candidates: DataFrame, config: list[str], order: str) -> Da
     key = F.sha2(F.to_json(F.struct(*config)), 256)
     w = Window.partitionBy("config_hash").orderBy(order)
     return candidates.withColumn("config_hash", key).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
-
-
-def best_merge(pool: DataFrame, settings: DataFrame, tried: DataFrame | None = None) -> DataFrame:
-    """(a, b, common, score): the pair of members (candidate_id, parent_id, selection_score) with the highest summed score that can be merged:
-    neither descends from the other, and since their nearest common ancestor they changed different ``settings`` (candidate_id, path,
-    value), both at least one. One row, or none; ties go to the first pair of ids.
-    """
-    up = lineage(pool, "candidate_id", "parent_id").select("candidate_id", "ancestor", "depth")
-    line = up.unionByName(pool.select("candidate_id", F.col("candidate_id").alias("ancestor"), F.lit(0).cast("long").alias("depth"))).join(pool.select(F.col("candidate_id").alias("ancestor")), "ancestor")
-    a = line.select(F.col("candidate_id").alias("a"), "ancestor", F.col("depth").alias("da"))
-    b = line.select(F.col("candidate_id").alias("b"), "ancestor", F.col("depth").alias("db"))
-    # Pairs meet at their ancestors; a pool is what a search keeps, its members are few.
-    met = a.join(b, "ancestor").filter("a < b").groupBy("a", "b").agg(F.min_by(F.struct("ancestor", "da", "db"), F.col("da") + F.col("db")).alias("m"))
-    apart = met.filter("m.da > 0 and m.db > 0").select("a", "b", F.col("m.ancestor").alias("common"))
-    if tried is not None:
-        apart = apart.join(tried, ["a", "b"], "left_anti")
-    values = settings.groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("s"))
-    for side in ("a", "b", "common"):
-        apart = apart.join(values.select(F.col("candidate_id").alias(side), F.col("s").alias(f"s_{side}")), side)
-    changed = lambda side: F.array_sort(F.map_keys(F.map_filter(f"s_{side}", lambda k, v: ~v.eqNullSafe(F.try_element_at("s_common", k)))))
-    fit = apart.withColumns({"ca": changed("a"), "cb": changed("b")}).filter((F.size("ca") > 0) & (F.size("cb") > 0) & ~F.arrays_overlap("ca", "cb"))
-    scored = fit
-    for side in ("a", "b"):
-        scored = scored.join(pool.select(F.col("candidate_id").alias(side), F.col("selection_score").alias(f"p_{side}")), side)
-    return scored.select("a", "b", "common", (F.col("p_a") + F.col("p_b")).alias("score")).orderBy(F.desc("score"), "a", "b").limit(1)

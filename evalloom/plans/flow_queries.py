@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions import values
-from evalloom.operators import calls, cards, flows, prepare, replies, sampling, search, validation
+from evalloom.operators import calls, cards, flows, merges, prepare, replies, sampling, validation
 from evalloom.plans.registry import query
 from evalloom.session import table
 
@@ -140,7 +140,7 @@ def record_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey > 1 THEN s_suppkey // 3 END AS parent, s_suppkey % 11 AS score FROM supplier WHERE s_suppkey <= 40),
+WITH RECURSIVE p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey > 1 THEN s_suppkey // 3 END AS parent, s_suppkey % 11 AS score FROM supplier),
 line(id, anc, depth) AS (SELECT id, id, 0 FROM p UNION ALL SELECT line.id, p.parent, depth + 1 FROM line JOIN p ON p.id = line.anc WHERE p.parent IS NOT NULL AND p.parent IN (SELECT id FROM p)),
 met AS (SELECT a.id AS a, b.id AS b, min_by(a.anc, a.depth + b.depth) AS c, min_by(a.depth, a.depth + b.depth) AS da, min_by(b.depth, a.depth + b.depth) AS db FROM line a JOIN line b ON a.anc = b.anc AND a.id < b.id GROUP BY ALL),
 f AS (SELECT met.*, pa.score + pb.score AS score FROM met JOIN p pa ON pa.id = a JOIN p pb ON pb.id = b WHERE da > 0 AND db > 0
@@ -148,13 +148,13 @@ f AS (SELECT met.*, pa.score + pb.score AS score FROM met JOIN p pa ON pa.id = a
 SELECT a, b, c AS common, score::DOUBLE AS score FROM f ORDER BY score DESC, a, b LIMIT 1
 """)
 def search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first forty suppliers are a pool, each the child of a third of its number, with two settings."""
+    """All suppliers are a pool, each the child of a third of its number, with two settings."""
     i = F.col("s_suppkey")
-    pool = table(spark, sf_dir, "supplier").filter("s_suppkey <= 40").select(
+    pool = table(spark, sf_dir, "supplier").select(
         i.alias("candidate_id"), F.when(i > 1, F.floor(i / 3)).cast("long").alias("parent_id"), (i % 11).cast("double").alias("selection_score")
     )
     values_ = F.array(F.struct(F.lit("p").alias("path"), (F.col("candidate_id") % 2).alias("value")), F.struct(F.lit("q").alias("path"), (F.col("candidate_id") % 3).alias("value")))
-    return search.best_merge(pool, pool.select("candidate_id", F.inline(values_)))
+    return merges.best_merge(pool, pool.select("candidate_id", F.inline(values_))).select("a", "b", "common", "score")
 
 
 @query("""
