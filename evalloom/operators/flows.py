@@ -1,4 +1,4 @@
-"""Whole flows over recorded replies and outputs: an evaluation run, an evaluation asset, a round of the search."""
+"""Whole flows over recorded replies and outputs: an evaluation run, an evaluation asset, a comparison. The search is ``optimize``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import scores
 from evalloom.functions.text import fingerprint, normalize_answer
-from evalloom.operators import loop, prepare, replies, run_checks, runs, search, transcript
+from evalloom.operators import prepare, replies, run_checks, runs, transcript
 from evalloom.operators.evidence import guideline_support
 from evalloom.operators.validation import check_lessons, held_out_lessons
 from evalloom.session import checkpoint
@@ -97,23 +97,6 @@ def support(lessons: DataFrame, guidelines: DataFrame) -> DataFrame:
     return guideline_support(cited.join(lessons.select("lesson_id", "record_id"), "lesson_id"), "guideline_id", "record_id")
 
 
-def search_round(ledger: DataFrame, candidates: DataFrame, gains: DataFrame, least_train: float = 0.0, least: float = 0.0, confidence: float = 0.8, resamples: int = 2000) -> DataFrame:
-    """Candidates of one round, decided: the train screen, the best that passes, its paired test on validation gains (candidate_id, case_id,
-    gain), and the decision; with how often its level was missed since the last acceptance."""
-    screened = loop.screen(candidates, least_train)
-    tested = search.bootstrap_gain(gains.join(screened.filter("chosen and passed").select("candidate_id"), "candidate_id"), "candidate_id", "case_id", "gain", resamples)
-    tests = tested.select("candidate_id", F.col("mean_gain").alias("val_delta"), F.col("p_improve").alias("val_p"), F.lit(0.0).alias("train_p"))
-    decided = loop.decide(screened, tests, least, confidence, tiebreak=False).select("candidate_id", F.col("reason").alias("decision"), "accepted")
-    return screened.join(decided, "candidate_id", "left").withColumns({"reason": F.coalesce("decision", "reason"), "accepted": F.coalesce("accepted", F.lit(False))}).drop("decision")
-
-
-def resume_point(ledger: DataFrame, budget: int, patience: int) -> DataFrame:
-    """One row: the next iteration of a search and why it should stop, if it should, by the ledger alone."""
-    last = ledger.agg(F.coalesce(F.max("iteration"), F.lit(0)).alias("last"), F.coalesce(F.max(F.when(F.col("accepted"), F.col("iteration"))), F.lit(0)).alias("won"))
-    stop = F.when(F.col("last") >= budget, "budget").when(F.col("last") - F.col("won") >= patience, "plateau")
-    return last.select((F.col("last") + 1).alias("next"), stop.alias("stop"))
-
-
 def compare(baseline: Run, candidate: Run, issues: DataFrame, allow_uncontrolled: bool = False) -> tuple[DataFrame, DataFrame]:
     """(comparison, extremes) of two runs whose checks found nothing; with issues (code) only if ``allow_uncontrolled`` says so."""
     first = issues.orderBy("code").first()

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions import values
-from evalloom.operators import loop
+from evalloom.operators import loop, optimize
 from evalloom.plans.registry import query
-from evalloom.session import table
+from evalloom.session import new_folder, table
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,3 +186,38 @@ def search_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("role"), F.when(F.col("event_id") % 3 > 0, F.col("event_id").cast("string")).otherwise("n/a").alias("input_tokens"), (F.col("event_id") % 7).cast("string").alias("output_tokens")
     )
     return loop.usage(calls)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT j, avg(((o_orderkey * (37 * j + 11)) % 101) * 0.5 + (13 * j % 7) * 2 + (o_totalprice::BIGINT % 10)) FILTER (WHERE o_orderkey % 3 > 0) AS train,
+  avg(((o_orderkey * (37 * j + 11)) % 101) * 0.5 + (13 * j % 7) * 2 + (o_totalprice::BIGINT % 10)) FILTER (WHERE o_orderkey % 3 = 0) AS val FROM orders CROSS JOIN range(0, 13) AS t(j) GROUP BY j),
+w AS (SELECT (j + 1) // 2 AS i, arg_max(j, train) AS j, max(train) AS train, arg_max(val, train) AS val FROM e WHERE j > 0 GROUP BY 1),
+s(i, j, parent, train, val, reason, best, best_train, best_val) AS (
+  SELECT 0::BIGINT, 0::BIGINT, NULL::BIGINT, train, val, NULL::VARCHAR, 0::BIGINT, train, val FROM e WHERE j = 0
+  UNION ALL
+  SELECT w.i, w.j, s.best, w.train, CASE WHEN w.train >= s.best_train THEN w.val END, CASE WHEN w.train < s.best_train THEN 'train_screen' WHEN w.val > s.best_val THEN 'accepted' ELSE 'selection_below_threshold' END,
+    CASE WHEN w.train >= s.best_train AND w.val > s.best_val THEN w.j ELSE s.best END, CASE WHEN w.train >= s.best_train AND w.val > s.best_val THEN w.train ELSE s.best_train END,
+    CASE WHEN w.train >= s.best_train AND w.val > s.best_val THEN w.val ELSE s.best_val END
+  FROM s JOIN w ON w.i = s.i + 1)
+SELECT i::INTEGER AS iteration, 'c' || lpad(j::VARCHAR, 3, '0') AS candidate_id, 'c' || lpad(parent::VARCHAR, 3, '0') AS parent_id, reason = 'accepted' AS accepted, reason,
+  round(train, 6) AS train_score, round(val, 6) AS selection_score FROM s WHERE i > 0
+""")
+def search_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded search of six rounds with two plans each: every order is a case of every candidate, a third of them for validation."""
+    j = F.col("j")
+    score = (F.col("o_orderkey") * (37 * j + 11) % 101) * 0.5 + (13 * j % 7) * 2 + F.round("o_totalprice").cast("long") % 10
+    cases = table(spark, sf_dir, "orders").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(12).cast("long"))))
+    name = F.concat(F.lit("c"), F.lpad(j.cast("string"), 3, "0"))
+    evaluations = cases.select(
+        name.alias("candidate_id"), F.when(F.col("o_orderkey") % 3 == 0, "val").otherwise("train").alias("split"), F.lit(0).alias("repeat"), F.col("o_orderkey").cast("string").alias("case_id"),
+        F.lit("succeeded").alias("execution_status"), score.alias("score"),
+    )
+    plans = spark.range(1, 13).select(
+        F.floor((F.col("id") + 1) / 2).cast("int").alias("iteration"), F.col("id").cast("int").alias("place"), F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("candidate_id"),
+        F.lit("prompt").alias("level"), F.lit("t").alias("technique"), F.create_map(F.lit("p"), F.col("id").cast("string")).alias("config"), F.lit(None).cast("string").alias("reason"),
+    )
+    policy = optimize.Policy(("prompt",), 6, plateau_patience=9, confidence=0.0, resamples=20, pareto_parent=False)
+    ledger = optimize.run_optimization(spark, policy, new_folder(spark, "search"), {"p": "0"}, plans, evaluations)
+    return ledger.filter("type = 'iteration'").select(
+        "iteration", "candidate_id", "parent_id", "accepted", "reason", F.round("train_score", 6).alias("train_score"), F.round("selection_score", 6).alias("selection_score")
+    )

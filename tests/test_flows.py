@@ -81,18 +81,6 @@ def test_recorded_calls(spark):
     assert [(r["chunk"], r["seen"]) for r in chunks] == [(0, 3)] * 3 + [(1, 6)] * 3 + [(2, 7)]
 
 
-def test_search_round_and_resume(spark):
-    candidates = spark.createDataFrame([(1, "a", 60.0, 50.0), (1, "b", 70.0, 50.0), (1, "c", 40.0, 50.0)], "iteration int, candidate_id string, train_score double, parent_score double")
-    gains = spark.createDataFrame([("b", i, 1.0 if i % 3 else 0.5) for i in range(40)], "candidate_id string, case_id int, gain double")
-    got = {r["candidate_id"]: (r["reason"], r["accepted"]) for r in flows.search_round(None, candidates, gains, resamples=200).collect()}
-    assert got == {"a": ("not_selected", False), "b": ("accepted", True), "c": ("train_screen", False)}
-    ledger = spark.createDataFrame([(1, True), (2, False), (3, False)], "iteration int, accepted boolean")
-    assert tuple(flows.resume_point(ledger, 10, 2).first()) == (4, "plateau") and tuple(flows.resume_point(ledger, 10, 5).first()) == (4, None)
-    empty = spark.createDataFrame([], ledger.schema)
-    assert tuple(flows.resume_point(empty, 10, 5).first()) == (1, None)
-    assert loop.screen(candidates.limit(0)).count() == 0
-
-
 def test_live_progress_as_a_stream(spark, tmp_path):
     rows = [("r", "1", "start"), ("r", "2", "start"), ("r", "1", "result"), ("r", "1", "result"), ("q", "1", "start"), ("q", "", "failed")]
     df = spark.createDataFrame(rows, "run_id string, case_id string, kind string").select("*", F.lit(True).alias("ok"), F.lit(50.0).alias("score"), F.lit("t").alias("tier"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
