@@ -413,14 +413,13 @@ def _first_exchange(docs: DataFrame, id_col: str, text_col: str, window: int, se
         return _ask_minimisers(Bytes(texts.texts).pieces(window, seed), shape.key_bits, shape.ask_bits)
 
     def ask_pairs(texts: Texts, told: Answers) -> Iterator[tuple[int, bytes]]:
+        # The second half of a body says which minimisers are hot; mostly none is, and the texts are left alone.
+        if not any(any(body[len(body) // 2 :]) for body in told.of(ASK)):
+            return iter(())
         return _ask_minimisers(Candidates(Bytes(texts.texts), told, shape).dense, shape.key_bits, shape.ask_bits)
 
-    told = checkpoint(answer(blocks.ask(ask), ASK, _minimisers(hot_pieces)))
-    # The second half of a body says which minimisers are hot; mostly none is.
-    hot = F.expr("hex(substring(body, octet_length(body) div 2 + 1, octet_length(body))) rlike '[1-9A-F]'")
-    if not told.filter(hot).isEmpty():
-        told = told.unionAll(answer(blocks.ask_with(told, ask_pairs), SPLIT, _minimisers(hot_pieces)))
-    return blocks, shape, told
+    told = answer(blocks.ask(ask), ASK, _minimisers(hot_pieces))
+    return blocks, shape, told.unionAll(answer(blocks.ask_with(told, ask_pairs), SPLIT, _minimisers(hot_pieces)))
 
 
 def suffix_array_dedup(
