@@ -189,8 +189,8 @@ def search_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT j, avg(((o_orderkey * (37 * j + 11)) % 101) * 0.5 + (13 * j % 7) * 2 + (o_totalprice::BIGINT % 10)) FILTER (WHERE o_orderkey % 3 > 0) AS train,
-  avg(((o_orderkey * (37 * j + 11)) % 101) * 0.5 + (13 * j % 7) * 2 + (o_totalprice::BIGINT % 10)) FILTER (WHERE o_orderkey % 3 = 0) AS val FROM orders CROSS JOIN range(0, 13) AS t(j) GROUP BY j),
+WITH RECURSIVE e AS (SELECT j, avg(((o_orderkey * (37 * j + 11)) % 101) * 0.5 + (5 * j % 13) + (floor(o_totalprice)::BIGINT % 10)) FILTER (WHERE o_orderkey % 3 > 0) AS train,
+  avg(((o_orderkey * (37 * j + 11)) % 101) * 0.5 + (5 * j % 13) + (floor(o_totalprice)::BIGINT % 10)) FILTER (WHERE o_orderkey % 3 = 0) AS val FROM orders CROSS JOIN range(0, 13) AS t(j) GROUP BY j),
 w AS (SELECT (j + 1) // 2 AS i, arg_max(j, train) AS j, max(train) AS train, arg_max(val, train) AS val FROM e WHERE j > 0 GROUP BY 1),
 s(i, j, parent, train, val, reason, best, best_train, best_val) AS (
   SELECT 0::BIGINT, 0::BIGINT, NULL::BIGINT, train, val, NULL::VARCHAR, 0::BIGINT, train, val FROM e WHERE j = 0
@@ -205,7 +205,7 @@ SELECT i::INTEGER AS iteration, 'c' || lpad(j::VARCHAR, 3, '0') AS candidate_id,
 def search_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recorded search of six rounds with two plans each: every order is a case of every candidate, a third of them for validation."""
     j = F.col("j")
-    score = (F.col("o_orderkey") * (37 * j + 11) % 101) * 0.5 + (13 * j % 7) * 2 + F.round("o_totalprice").cast("long") % 10
+    score = (F.col("o_orderkey") * (37 * j + 11) % 101) * 0.5 + (5 * j % 13) + F.floor("o_totalprice") % 10
     cases = table(spark, sf_dir, "orders").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(12).cast("long"))))
     name = F.concat(F.lit("c"), F.lpad(j.cast("string"), 3, "0"))
     evaluations = cases.select(
