@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions import values
-from evalloom.operators import calls, cards, flows, merges, prepare, replies, sampling, validation
+from evalloom.operators import calls, cards, evaluation, flows, merges, prepare, replies, sampling, validation
 from evalloom.plans.registry import query
-from evalloom.session import table
+from evalloom.session import new_folder, table
 
 
 def _pick(i: Column, *texts: str | None) -> Column:
@@ -209,3 +209,28 @@ def memory_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, codes = cards.memory_asset(guidelines, told, bound)
     none = F.lit(None).cast("string")
     return codes.select("guideline_id", "code", none.alias("title"), F.lit(None).cast("int").alias("steps")).unionByName(found.select("guideline_id", none.alias("code"), "title", F.size("example_steps").alias("steps")))
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS case_id, CASE WHEN p_size % 7 = 3 THEN 'failed' ELSE 'succeeded' END AS execution_status,
+  CASE WHEN p_size % 7 <> 3 AND p_partkey % 2 = 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS composite_score, CASE WHEN p_size % 7 = 3 THEN 'timeout' END AS error_category FROM part
+""")
+def evaluation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are cases of a run that is stopped after its first batch and started again; the results are those of the bundle that it loads."""
+    key = F.col("p_partkey").cast("string")
+    parts = table(spark, sf_dir, "part")
+    expected = F.when(F.col("p_partkey") % 2 == 0, F.element_at(F.split("p_brand", "#"), -1)).otherwise("nothing")
+    cases = parts.select(key.alias("case_id"), F.col("p_partkey").alias("pos"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")).alias("context"), expected.alias("expected"))
+
+    def chain(context: dict):
+        yield "brand", context["brand"]
+        if int(context["size"]) % 7 == 3:
+            raise TimeoutError(context["size"])
+        yield "answer", context["brand"].split("#")[-1]
+
+    path = new_folder(spark, "evaluation")
+    given = {"config": {"dataset_path": "part"}, "dimensions": ["model", "prompt"], "batch_size": max(1, cases.count() // 3)}
+    evaluation.run_evaluation(cases, path, "run-1", chain, "exact", most_batches=1, **given)
+    bundle = evaluation.run_evaluation(cases, path, "run-1", chain, "exact", **given)
+    value = F.from_json("raw", "composite_score double, error_category string")
+    return bundle.results.select("case_id", "execution_status", value["composite_score"].alias("composite_score"), value["error_category"].alias("error_category"))
