@@ -14,9 +14,12 @@ from pyspark.sql.types import StructType
 from evalloom.functions.text import LEAKAGE_NGRAM, MIN_SHORT_INPUT, occurs_as_word, word_count, words
 from evalloom.session import checkpoint, ship_package, spread
 
-#: Values that one pass over the texts looks for; more take further passes.
-PASS_VALUES = 20_000
+#: Queries that one pass over the texts looks for; more take further passes.
 PASS_QUERIES = 1_000
+#: Bits of a Bloom filter at most (64 MB), its functions, and the tasks that make it.
+FILTER_BITS = 1 << 29
+FILTER_FUNCTIONS = 4
+FILTER_TASKS = 16
 
 
 def _passes(rows: DataFrame, size: int) -> Iterator[list]:
@@ -109,34 +112,71 @@ def _best_of(part: pa.RecordBatch, where: dict, idf: np.ndarray, asked: np.ndarr
         best[j] = sorted([*best.get(j, []), *((-score[i, j].item(), ids[i]) for i in near.tolist())])[:k]
 
 
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each hash in a filter of ``bits`` bits, a power of two: one row for each of the functions."""
+    u = h.view(np.uint64)
+    low, high = u & np.uint64(0xFFFFFFFF), (u >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(low + np.uint64(i) * high) & np.uint64(bits - 1) for i in range(FILTER_FUNCTIONS)])
+
+
+def bloom_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bits (as bytes) of a Bloom filter over a column of longs: about ten for each value, at most ``FILTER_BITS``, beyond which it lets
+    more values through and loses none. Tasks set bits, and their filters are merged level by level."""
+    n = max(1, hashes.count())
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (10 * n).bit_length()))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(bits, bool)
+        for batch in batches:
+            on[_places(batch[0].to_numpy(zero_copy_only=False), bits).ravel()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], ["f"])
+
+    def both(a: bytes, b: bytes) -> bytes:
+        return (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()
+
+    parts = hashes.select(column).coalesce(FILTER_TASKS).mapInArrow(partial, "f binary").rdd.map(lambda r: bytes(r[0]))
+    return np.frombuffer(parts.treeReduce(both), np.uint8)
+
+
 def leaked_ngrams(held_out: DataFrame, cases: DataFrame, case: str, text: str, n: int = LEAKAGE_NGRAM, most: int = 2) -> DataFrame:
     """(ngram, owners): n-grams of the held-out texts that stand in 1 to ``most`` cases; more is boilerplate.
 
-    Cases are searched for hashes of the held-out n-grams, a block of them at a time, where they are
-    read; only windows with such a hash become strings, and these are compared as strings.
+    The cases are read once, whatever the number of held-out n-grams: where a text is read, its windows' hashes are tested against a
+    Bloom filter of the held-out ones; only windows that pass become strings, and these are joined exactly.
     """
+    ship_package(cases.sparkSession)
     new = _windows(held_out.select(words(F.col(text)).alias("w")), n).select("ngram").distinct()
     new = checkpoint(new.withColumn("h", F.xxhash64(F.split("ngram", " "))))
+    shared = cases.sparkSession.sparkContext.broadcast(bloom_filter(new, "h"))
     read = spread(cases.select(F.col(case).alias("c"), F.col(text).alias("x"))).select("c", words(F.col("x")).alias("w"))
-    found = None
-    for rows in _passes(new.select("h").distinct(), PASS_VALUES):
-        hits = _windows(read, n, [r["h"] for r in rows]).select("c", "ngram").distinct()
-        found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        return new.select("ngram", F.lit(0).cast("long").alias("owners")).limit(0)
+    # Bound to a lambda variable, the words are found once.
+    hashed = F.expr(f"get(transform(array(w), v -> IF(size(v) >= {n}, struct(v AS w, transform(sequence(0, size(v) - {n}), i -> xxhash64(slice(v, i + 1, {n}))) AS h), NULL)), 0)")
+    windows = read.select("c", hashed.alias("s")).filter("s is not null").select("c", "s.w", "s.h")
+    kind = windows.schema["c"].dataType.simpleString()
+    arrow = to_arrow_schema(StructType.fromDDL(f"c {kind}, ngram string"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value
+        bits = np.uint64(len(bloom) * 8)
+        for batch in batches:
+            ends = np.cumsum(batch["h"].value_lengths().to_numpy(zero_copy_only=False))
+            at = _places(batch["h"].flatten().to_numpy(zero_copy_only=False), int(bits))
+            hit = np.flatnonzero(((bloom[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(0))
+            row = np.searchsorted(ends, hit, "right")
+            starts = ends - np.diff(ends, prepend=0)
+            said = {r: batch["w"][r].as_py() for r in np.unique(row).tolist()}
+            found = sorted({(r, " ".join(said[r][i : i + n])) for r, i in zip(row.tolist(), (hit - starts[row]).tolist(), strict=True)})
+            yield pa.RecordBatch.from_arrays([batch["c"].take(pa.array([r for r, _ in found], pa.int64())), pa.array([g for _, g in found], pa.string())], schema=arrow)
+
+    found = windows.mapInArrow(test, f"c {kind}, ngram string").distinct()
     owned = found.join(new.select("ngram"), "ngram", "left_semi").groupBy("ngram").agg(F.count("*").alias("owners"))
     return owned.filter(F.col("owners") <= most)
 
 
-def _windows(rows: DataFrame, n: int, hashes: list[int] | None = None) -> DataFrame:
-    """A row for each n-gram of the words ``w``, or for those with one of the hashes."""
-
-    listed = "" if hashes is None else ", ".join(f"{h}L" if h > -(1 << 63) else "-9223372036854775808" for h in hashes)
-    near = "" if hashes is None else f"i -> xxhash64(slice(v, i + 1, {n})) IN ({listed})"
-    at = f"sequence(0, size(v) - {n})"
-    found = at if hashes is None else f"filter({at}, {near})"
+def _windows(rows: DataFrame, n: int) -> DataFrame:
+    """A row for each n-gram of the words ``w``."""
     # Bound to a lambda variable, the words are found once.
-    once = F.expr(f"get(transform(array(w), v -> IF(size(v) >= {n}, transform({found}, i -> array_join(slice(v, i + 1, {n}), ' ')), NULL)), 0)")
+    once = F.expr(f"get(transform(array(w), v -> IF(size(v) >= {n}, transform(sequence(0, size(v) - {n}), i -> array_join(slice(v, i + 1, {n}), ' ')), NULL)), 0)")
     return rows.select(*[c for c in rows.columns if c != "w"], F.explode(F.array_distinct(once)).alias("ngram"))
 
 

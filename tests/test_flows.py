@@ -129,7 +129,7 @@ def test_bm25_over_passes_and_hot_terms(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "PASS_QUERIES", 2)
     assert sorted(map(tuple, retrieval.bm25_top(docs, queries, "d", "q", "text", k=5).collect())) == whole
     assert retrieval.bm25_top(docs, queries.limit(0), "d", "q", "text").count() == 0
-    monkeypatch.setattr(retrieval, "PASS_VALUES", 3)
+    monkeypatch.setattr(retrieval, "FILTER_BITS", 1 << 4)  # nearly everything passes: the join decides
     held = spark.createDataFrame([("a b c d e f g h i",), ("z " * 9,)], "text string")
     cases = spark.createDataFrame([(1, "x a b c d e f g h i"), (2, "a b c d e f g h"), (3, None), (4, "z " * 30)], "c int, text string")
     got = {r["ngram"]: r["owners"] for r in retrieval.leaked_ngrams(held, cases, "c", "text").collect()}
@@ -182,3 +182,14 @@ def test_sections_of_a_summary_are_left_out_where_empty(spark):
         "## Step Timings", "", "| Step | Avg (s) | P50 (s) | P95 (s) |", "|------|---------|---------|---------|", "| x | 2.000 | 2.000 | 3.000 |", "| y | 2.000 | 2.000 | 2.000 |", "| Total | 3.000 | 3.000 | 3.000 |",
     ]
     assert reports.summary_lines(spark.createDataFrame([], schema)).count() == 6
+
+
+def test_leakage_reads_the_cases_once(spark, tmp_path):
+    """Thirty thousand held-out n-grams and one scan of the corpus, with a filter that is too small for them."""
+    spark.range(3000).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.concat(F.lit("w"), F.col("id") % 1500, F.lit("x"), i)), " ").alias("text")).write.parquet(str(tmp_path / "cases"))
+    cases = spark.read.parquet(str(tmp_path / "cases"))
+    held = spark.range(1400, 4000).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda i: F.concat(F.lit("w"), F.col("id"), F.lit("x"), i)), " ").alias("text"))
+    found = retrieval.leaked_ngrams(held, cases, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert (found.count(), {r["owners"] for r in found.select("owners").distinct().collect()}) == (100 * 12, {2})
