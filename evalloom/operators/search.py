@@ -2,41 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from evalloom.session import checkpoint
-
-
-def bootstrap_gain(gains: DataFrame, key: str, case: str, gain: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from evalloom.operators.ordering import rank_within
+from evalloom.session import checkpoint, ship_package
+
+#: Cases of one block of a bootstrap, and draws that a task holds at once.
+BLOCK_CASES = 1 << 16
+DRAWS_AT_ONCE = 1 << 20
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finaliser of a public 32-bit hash, on numbers below 2**32: in SQL it is shifts, products and remainders."""
+    low = np.uint64(0xFFFFFFFF)
+    h = h ^ (h >> np.uint64(16))
+    h = (h * np.uint64(2246822507)) & low
+    h = h ^ (h >> np.uint64(13))
+    h = (h * np.uint64(3266489909)) & low
+    return h ^ (h >> np.uint64(16))
+
+
+def block_counts(n: int, leaf: int, block: int, resamples: int, seed: int) -> np.ndarray:
+    """How many of the ``n`` draws of each resample fall into block ``leaf``: a multinomial split, halved from the root down. Each block
+    walks to its own place and meets the same numbers on the way as its neighbours, so nothing is sent between them."""
+    lo, hi = 0, -(-n // block)
+    counts = np.full(resamples, n, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left, whole = mid * block - lo * block, min(hi * block, n) - lo * block
+        rng = np.random.Generator(np.random.Philox(key=[seed & (1 << 64) - 1, (lo << 32) + hi]))
+        taken = rng.binomial(counts, left / whole)
+        counts, lo, hi = (taken, lo, mid) if leaf < mid else (counts - taken, mid, hi)
+    return counts
+
+
+def resampled_sums(gains: np.ndarray, counts: np.ndarray, leaf: int, seed: int) -> np.ndarray:
+    """Summed gain of each resample's draws from one block: draw i of resample b is a hash of (seed, block, b, i)."""
+    out = np.empty(len(counts))
+    step = max(1, DRAWS_AT_ONCE // max(1, int(counts.max(initial=1))))
+    base = np.uint64((seed * 3266489917 + leaf * 668265263) & 0xFFFFFFFF)
+    for start in range(0, len(counts), step):
+        c = counts[start : start + step]
+        b = np.repeat(np.arange(len(c)), c)
+        i = np.arange(len(b)) - np.repeat(np.cumsum(c) - c, c) + 1
+        h = (b + start + 1).astype(np.uint64) * np.uint64(2654435769) + i.astype(np.uint64) * np.uint64(2246822519) + base
+        drawn = gains[(_mixed(h & np.uint64(0xFFFFFFFF)) % np.uint64(len(gains))).astype(np.int64)]
+        out[start : start + step] = np.bincount(b, weights=drawn, minlength=len(c))
+    return out
+
+
+def bootstrap_gain(gains: DataFrame, key: str, case: str, gain: str, resamples: int = 2000, seed: int = 0, block: int = BLOCK_CASES) -> DataFrame:
     """(key, cases, mean_gain, p_improve): the share of resamples whose summed gain is above 0.
 
-    Draws are hashes of (seed, resample, place), so every engine and every retry draws alike. Each key's
-    gains are packed into one array in case order. A resample's hashes are the same for all keys and made once; keys
-    and resamples meet by runs of 16 resamples, so few keys do not mean few tasks.
+    A key's cases are cut into blocks of bounded size by their rank. How many of a resample's draws fall into a block is a multinomial
+    split that each block computes for itself; draws inside a block are hashes, so every retry draws alike. A block makes
+    one sum for each resample, and the sums of a key's blocks are added: no key is held in one place, whatever its cases.
     Without any gain other than 0 both numbers are 0.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(case), F.col(gain).alias("g"))))
-    packed = gains.groupBy(key).agg(ordered.alias("s")).select(key, F.transform("s", lambda x: x["g"]).alias("g"))
-    packed = checkpoint(packed.withColumn("cases", F.size("g").cast("long")).withColumn("mean_gain", F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / F.size("g")))
-    most = packed.agg(F.max("cases")).first()[0] or 1
-
-    def drawn(i: Column) -> Column:
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), i.cast("string")))
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-
-    spark = gains.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    draws = spark.range(1, resamples + 1).repartition(parts, "id").select(F.col("id").alias("b"), F.floor((F.col("id") - 1) / 16).alias("c"))
-    draws = draws.withColumn("h", F.transform(F.sequence(F.lit(1), F.lit(most)), drawn))
-    dealt = packed.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((resamples - 1) // 16).cast("long"))))
-    rows = dealt.join(draws.hint("merge"), "c")
-    total = F.aggregate(F.slice("h", F.lit(1), F.size("g")), F.lit(0.0), lambda a, h: a + F.get("g", F.pmod(h, F.size("g")).cast("int")))
-    up = rows.select(key, "cases", "mean_gain", F.exists("g", lambda x: x != 0).alias("any"), (total > 0).alias("up"))
-    found = up.groupBy(key, "cases", "mean_gain", "any").agg((F.count_if("up") / F.lit(resamples)).alias("p"))
-    return found.select(
-        key, "cases", F.when(F.col("any"), F.col("mean_gain")).otherwise(0.0).alias("mean_gain"),
-        F.when(F.col("any"), F.col("p")).otherwise(0.0).alias("p_improve"),
+    ship_package(gains.sparkSession)
+    ranked = rank_within(gains.select(F.col(key).alias("k"), F.col(case).alias("c"), F.coalesce(F.col(gain).cast("double"), F.lit(0.0)).alias("g")), "k", ["c"], "_rank", "_size")
+    leaf = F.floor((F.col("_rank") - 1) / block).alias("leaf")
+    packed = ranked.groupBy("k", leaf).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "g"))), lambda x: x["g"]).alias("g"), F.max("_size").alias("n"))
+    kind = packed.schema["k"].dataType.simpleString()
+    schema = StructType.fromDDL(f"k {kind}, n long, gained double, moved boolean, up long, sums array<double>")
+    names = [f.name for f in to_arrow_schema(schema)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                n, place = row["n"][0].as_py(), row["leaf"][0].as_py()
+                g = row["g"].flatten().to_numpy(zero_copy_only=False)
+                sums = resampled_sums(g, block_counts(n, place, block, resamples, seed), place, seed)
+                alone = n <= block
+                found = [row["k"], [n], [float(g.sum())], [bool((g != 0).any())], [int((sums > 0).sum()) if alone else None], [None if alone else sums.tolist()]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(found, to_arrow_schema(schema), strict=True)], names)
+
+    drawn = checkpoint(packed.mapInArrow(draw, schema))
+    several = drawn.filter("sums is not null").select("k", F.posexplode("sums").alias("b", "s")).groupBy("k", "b").agg(F.sum("s").alias("s")).groupBy("k").agg(F.count_if(F.col("s") > 0).alias("together"))
+    found = drawn.groupBy("k").agg(F.max("n").alias("cases"), (F.sum("gained") / F.max("n")).alias("mean"), F.bool_or("moved").alias("moved"), F.max("up").alias("up"))
+    both = found.join(several.withColumnRenamed("k", "same"), F.col("k").eqNullSafe(F.col("same")), "left").drop("same")
+    p = F.coalesce("up", "together", F.lit(0)) / F.lit(resamples)
+    return both.select(
+        F.col("k").alias(key), "cases", F.when(F.col("moved"), F.col("mean")).otherwise(0.0).alias("mean_gain"), F.when(F.col("moved"), p).otherwise(0.0).alias("p_improve"),
     )
 
 

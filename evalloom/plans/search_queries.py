@@ -112,8 +112,10 @@ _GAINS = """
 gains AS (SELECT c_nationkey AS k, c_custkey AS case_id, CASE WHEN c_acctbal > 9000 THEN 10.0 WHEN c_acctbal < -800 THEN -10.0 ELSE 0.0 END AS gain
   FROM customer),
 packed AS (SELECT k, list(gain ORDER BY case_id) AS g, count(*) AS n FROM gains GROUP BY k),
-draws AS (SELECT k, b, sum(g[1 + (('0x' || substr(md5('0:' || b || ':' || i), 1, 8))::BIGINT % n)]) AS total
-  FROM (SELECT k, g, n, b, unnest(range(1, n + 1)) AS i FROM packed CROSS JOIN range(1, 2001) AS r(b)) GROUP BY k, b),
+h0 AS (SELECT k, g, n, b, ((b * 2654435769 + i * 2246822519) % 4294967296)::UBIGINT AS h FROM (SELECT k, g, n, b, unnest(range(1, n + 1)) AS i FROM packed CROSS JOIN range(1, 2001) AS r(b))),
+h1 AS (SELECT k, g, n, b, (xor(h, h >> 16) * 2246822507::UBIGINT) % 4294967296::UBIGINT AS h FROM h0),
+h2 AS (SELECT k, g, n, b, (xor(h, h >> 13) * 3266489909::UBIGINT) % 4294967296::UBIGINT AS h FROM h1),
+draws AS (SELECT k, b, sum(g[1 + (xor(h, h >> 16) % n::UBIGINT)::BIGINT]) AS total FROM h2 GROUP BY k, b),
 boot AS (SELECT k, n AS cases, CASE WHEN list_sum(list_transform(g, lambda x: abs(x))) > 0 THEN list_sum(g) / n ELSE 0 END AS mean_gain,
   CASE WHEN list_sum(list_transform(g, lambda x: abs(x))) > 0 THEN p ELSE 0 END AS p_improve
   FROM packed JOIN (SELECT k, count(*) FILTER (total > 0) / 2000.0::double AS p FROM draws GROUP BY k) USING (k))

@@ -143,3 +143,22 @@ def test_supporting_rows(spark):
     rows = [("g", i, p) for i, p in enumerate(["mixed", "mixed", "negative", "positive", "positive"])]
     got = grouping.supporting_rows(spark.createDataFrame(rows, "g string, r int, p string"), "g", "r", "p", 3).orderBy("place")
     assert [r["r"] for r in got.collect()] == [3, 2, 0]
+
+
+def test_bootstrap_of_a_key_in_many_blocks(spark):
+    """Blocks of sixteen cases: all draws are dealt out, and the share agrees with that of one block; the largest array is a block."""
+    import numpy as np
+
+    from evalloom.operators.search import block_counts, resampled_sums
+
+    n, block, resamples = 1000, 16, 400
+    counts = np.stack([block_counts(n, leaf, block, resamples, 3) for leaf in range(-(-n // block))])
+    assert (counts.sum(0) == n).all() and abs(counts[:-1].mean() - block) < 0.2 and 10 < counts[0].var() < 25
+    assert resampled_sums(np.arange(5.0), np.zeros(7, int), 0, 0).tolist() == [0.0] * 7
+    rows = [("hot", i, 1.0 if i % 5 < 3 else -1.4) for i in range(n)] + [("cold", i, 1.0 if i % 2 else -0.5) for i in range(20)] + [(None, 1, 1.0)] + [("flat", i, 0.0) for i in range(40)]
+    gains = spark.createDataFrame(rows, "k string, c int, g double")
+    one = {r["k"]: r for r in search.bootstrap_gain(gains, "k", "c", "g", resamples=2000).collect()}
+    many = {r["k"]: r for r in search.bootstrap_gain(gains, "k", "c", "g", resamples=2000, block=block).collect()}
+    assert one.keys() == many.keys() == {"hot", "cold", "flat", None}
+    assert all(abs(one[k]["p_improve"] - many[k]["p_improve"]) < 0.04 and abs(one[k]["mean_gain"] - many[k]["mean_gain"]) < 1e-9 for k in one)
+    assert 0.6 < one["hot"]["p_improve"] < 0.99 and one["flat"]["p_improve"] == 0.0 and one[None]["p_improve"] == 1.0
