@@ -311,15 +311,15 @@ def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH r AS (SELECT user_id AS run_id, event_id::VARCHAR AS case_id, event_type <> 'error' AS ok, value, event_id % 4 = 0 AS open FROM events),
 g AS (SELECT run_id, count(*) AS n, count(*) FILTER (NOT open) AS done, count(*) FILTER (NOT open AND ok) AS good, round(avg(value) FILTER (NOT open AND ok), 6) AS mean, count(*) FILTER (open) AS flying FROM r GROUP BY ALL)
-SELECT run_id::VARCHAR AS run_id, done AS completed_cases, good AS successful_cases, mean AS mean_successful, flying::INT AS in_flight,
+SELECT run_id::VARCHAR AS run_id, done AS completed_cases, good AS successful_cases, mean AS mean_successful, flying::INT AS in_flight, done AS refused_results,
   CASE WHEN run_id % 5 = 0 THEN 'failed' WHEN run_id % 2 = 0 THEN CASE WHEN good = n AND done = n THEN 'completed' WHEN good > 0 THEN 'degraded' ELSE 'failed' END ELSE 'running' END AS status FROM g
 """)
 def live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is a case that starts; three of four have a result, twice; some runs are marked as completed or failed."""
     e = table(spark, sf_dir, "events").select(F.col("user_id"), F.col("event_id").cast("string").alias("case_id"), "event_id", (F.col("event_type") != "error").alias("ok"), "value", "ts")
-    row = lambda kind, score: [F.col("user_id").cast("string").alias("run_id"), "case_id", F.lit(kind).alias("kind"), "ok", score.alias("score"), F.lit(None).cast("string").alias("tier"), "ts"]
+    row = lambda kind, score, total=F.lit(None): [F.col("user_id").cast("string").alias("run_id"), "case_id", F.lit(kind).alias("kind"), "ok", score.alias("score"), total.cast("long").alias("total_cases"), "ts"]
     results = e.filter("event_id % 4 <> 0").select(*row("result", F.col("value")))
-    marks = e.groupBy("user_id").agg(F.count("*").cast("double").alias("value"), F.max("ts").alias("ts")).withColumns({"case_id": F.lit(""), "ok": F.lit(True)})
-    done, broken = marks.filter("user_id % 2 = 0").select(*row("completed", F.col("value"))), marks.filter("user_id % 5 = 0").select(*row("failed", F.lit(0.0)))
+    marks = e.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("ts")).withColumns({"case_id": F.lit(""), "ok": F.lit(True)})
+    done, broken = marks.filter("user_id % 2 = 0").select(*row("completed", F.lit(0.0), F.col("n"))), marks.filter("user_id % 5 = 0").select(*row("failed", F.lit(0.0)))
     found = progress.live(e.select(*row("start", F.lit(0.0))).unionAll(results).unionAll(results).unionAll(done).unionAll(broken))
-    return found.select("run_id", "completed_cases", "successful_cases", F.round("mean_successful", 6).alias("mean_successful"), F.size("in_flight").alias("in_flight"), "status")
+    return found.select("run_id", "completed_cases", "successful_cases", F.round(F.round("mean_successful", 9), 6).alias("mean_successful"), F.col("in_flight").cast("int").alias("in_flight"), "refused_results", "status")

@@ -82,14 +82,37 @@ def test_recorded_calls(spark):
 
 
 def test_live_progress_as_a_stream(spark, tmp_path):
-    rows = [("r", "1", "start"), ("r", "2", "start"), ("r", "1", "result"), ("r", "1", "result"), ("q", "1", "start"), ("q", "", "failed")]
-    df = spark.createDataFrame(rows, "run_id string, case_id string, kind string").select("*", F.lit(True).alias("ok"), F.lit(50.0).alias("score"), F.lit("t").alias("tier"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
-    df.write.parquet(str(tmp_path / "in"))
-    stream = progress.live(spark.readStream.schema(progress.EVENT).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.outputMode("complete").format("memory").queryName("live_test").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
-    query.awaitTermination(120)
-    got = {r["run_id"]: (r["completed_cases"], r["attempted"], r["in_flight"], r["status"]) for r in spark.table("live_test").collect()}
-    assert got == {"r": (1, ["1"], ["2"], "running"), "q": (0, [], ["1"], "failed")}
+    """Counters by case and run, over a restart: a result that comes again in a later batch is refused, and cases are released in time."""
+    hour = 3600
+
+    def events(*rows):
+        schema = "run_id string, case_id string, kind string, ok boolean, score double, total_cases long, s long"
+        return spark.createDataFrame([(*r[:3], r[3] if len(r) > 3 else True, 50.0, r[4] if len(r) > 4 else None, r[5] if len(r) > 5 else 0) for r in rows], schema).select(
+            "run_id", "case_id", "kind", "ok", "score", "total_cases", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s")).alias("ts")
+        )
+
+    first = events(("r", "1", "start"), ("r", "2", "start"), ("r", "1", "result"), ("r", "1", "result"), ("q", "1", "start"), ("q", "", "failed"), *[("big", str(i), "result") for i in range(500)])
+    second = events(("r", "1", "result", False, None, 5), ("r", "2", "result", False, None, 6), ("r", "", "completed", True, 2, 9), ("big", "", "completed", True, 500, 9))
+    whole = first.unionAll(second)
+
+    def follow(batch):
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = progress.follow(spark.readStream.schema(progress.EVENT).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), "1 second", hour * 1000)
+        query.awaitTermination(240)
+        return query
+
+    follow(first)
+    got = {r["run_id"]: (r["completed_cases"], r["in_flight"], r["refused_results"], r["status"]) for r in progress.followed(spark, str(tmp_path / "out")).collect()}
+    assert got == {"r": (1, 1, 1, "running"), "q": (0, 1, 0, "failed"), "big": (500, 0, 0, "running")}
+    query = follow(second)
+    found = {r["run_id"]: tuple(r) for r in progress.followed(spark, str(tmp_path / "out")).collect()}
+    assert found == {r["run_id"]: tuple(r) for r in progress.live(whole).collect()}
+    assert found["r"][1:] == (2, 1, 1, 50.0, 0, 2, "degraded") and found["big"][-1] == "completed"
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "refused")).groupBy("run_id", "case_id").agg(F.sum("refused")).collect()] == [("r", "1", 2)]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 506  # a small row for each case and mark
+    follow(events(("late", "1", "start", True, None, 9 * hour)))
+    query = follow(events(("late", "2", "start", True, None, 9 * hour + 2)))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 10
 
 
 def tasks_with_rows(df):
