@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 from time import perf_counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import fingerprint
+from evalloom.operators.ordering import rank_within
 from evalloom.session import ship_package
 
 
@@ -89,7 +90,6 @@ def run_chain(cases: DataFrame, chain: Chain) -> DataFrame:
 def in_chunks(rows: DataFrame, part: str, order: str, size: int) -> DataFrame:
     """``chunk`` of each row in its part, from 0, and ``seen``: how many rows of the part the chunks up to this one hold. A fold over
     chunks asks with one chunk and is answered for all that were seen."""
-    place = F.row_number().over(Window.partitionBy(part).orderBy(order))
-    total = F.count("*").over(Window.partitionBy(part))
+    ranked = rank_within(rows, part, [order], "_n", "_total")
     chunk = F.floor((F.col("_n") - 1) / size).cast("int")
-    return rows.withColumns({"_n": place, "_total": total}).withColumn("chunk", chunk).withColumn("seen", F.least((F.col("chunk") + 1) * size, F.col("_total"))).drop("_n", "_total")
+    return ranked.withColumn("chunk", chunk).withColumn("seen", F.least((F.col("chunk") + 1) * size, F.col("_total"))).drop("_n", "_total")

@@ -87,8 +87,8 @@ def run_evaluation(
             rows.write.mode("overwrite").parquet(f"{path}/outcomes/batch-{b:06d}")
         forget(dealt)
         results = checkpoint(scored(cases, outcomes(spark, path), scorer))
-        told = results.select(
-            "case_id", (F.col("execution_status") == "succeeded").alias("ok"), F.col("composite_score").alias("score"), F.col("score_breakdown").alias("breakdown"),
+        told = results.join(cases.select("case_id", "pos"), "case_id").select(
+            "case_id", "pos", (F.col("execution_status") == "succeeded").alias("ok"), F.col("composite_score").alias("score"), F.col("score_breakdown").alias("breakdown"),
             F.col("step_timings").alias("timings"), F.lit(None).cast("string").alias("tier"),
         )
         bundles.publish_run(target, run_id, cases.select("case_id", "pos"), results, config, {}, variants or {}, dimensions, reports.summary_lines(told))

@@ -35,7 +35,8 @@ def labelled_field(text: Column, prefix: str) -> Column:
 
 def summary_lines(results: DataFrame, attributed: DataFrame | None = None) -> DataFrame:
     """(section, line, text): an evaluation's summary. ``results`` has case_id, ok, score, breakdown (map), timings (array of
-    structs name and seconds) and tier; ``attributed`` has step and heuristic. Sections hold aggregates only; an empty one is
+    structs name and seconds), tier and, if rows have an order of their own, pos; ``attributed`` has step and heuristic. Steps come as they
+    are first seen. Sections hold aggregates only; an empty one is
     left out."""
     good = results.filter("ok")
     counts = results.agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"), F.avg(F.when(F.col("ok"), F.col("score"))).alias("mean"))
@@ -53,30 +54,36 @@ def summary_lines(results: DataFrame, attributed: DataFrame | None = None) -> Da
         F.lit(2).alias("section"),
         F.posexplode(
             F.array(
-                F.lit("## Weighted Score"), F.concat(F.lit("- weighted_score: "), F.format_string("%.2f", share)),
+                F.lit(""), F.lit("## Weighted Score"), F.concat(F.lit("- weighted_score: "), F.format_string("%.2f", share)),
                 F.concat(F.lit("- total_earned: "), F.format_string("%.0f", "e")), F.concat(F.lit("- total_possible: "), F.format_string("%.0f", "p")),
             )
         ).alias("line", "text"),
     )
-    visits = good.select("case_id", F.explode("timings").alias("t")).select("case_id", "t.name", "t.seconds")
-    steps = visits.groupBy("name").agg(*_spread("seconds"))
+    place = F.col("pos" if "pos" in results.columns else "case_id").alias("place")
+    visits = good.select("case_id", place, F.posexplode("timings").alias("i", "t")).select("case_id", "t.name", "t.seconds", F.struct("place", "i").alias("seen"))
+    steps = visits.groupBy("name").agg(*_spread("seconds"), F.min("seen").alias("seen"))
     whole = visits.groupBy("case_id").agg(F.sum("seconds").alias("seconds")).agg(*_spread("seconds")).filter("n > 0").withColumn("name", F.lit("Total"))
-    cells = F.concat(F.lit("| "), "name", F.lit(" | "), F.concat_ws(" | ", *[F.format_string("%.3f", c) for c in ("mean", "p50", "p95")]), F.lit(" |")).alias("text")
+
+    def row(mark: str) -> Column:
+        cell = lambda c: F.concat(F.lit(mark), c, F.lit(mark))
+        return F.concat(F.lit("| "), F.concat_ws(" | ", cell(F.col("name")), *[cell(F.format_string("%.3f", c)) for c in ("mean", "p50", "p95")]), F.lit(" |")).alias("text")
+
     tiers = results.filter("tier is not null").groupBy("tier").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"), F.avg(F.when(F.col("ok"), F.col("score"))).alias("mean"))
     tier_cells = F.concat(F.lit("| "), F.concat_ws(" | ", "tier", "n", "ok", F.col("n") - F.col("ok"), F.coalesce(F.format_string("%.2f", "mean"), F.lit("N/A"))), F.lit(" |"))
     out = top.unionByName(_under(shown, 1, ["## Score Breakdown"], F.col("key"))).unionByName(weighted)
-    heads = ["## Step Timings", "", "| Step | Avg (s) | P50 (s) | P95 (s) |", "|------|---------|---------|---------|"]
-    out = out.unionByName(_under(steps.unionByName(whole).select((F.col("name") == "Total").alias("last"), "name", cells), 3, heads, F.struct("last", "name")))
-    heads = ["## Trust-Tier Diagnostics", "", "| Trust tier | Total | Successful | Failed | Mean composite score |", "|---|---:|---:|---:|---:|"]
+    heads = ["", "## Step Timings", "", "| Step | Avg (s) | P50 (s) | P95 (s) |", "|------|---------|---------|---------|"]
+    last = whole.select(F.lit(True).alias("last"), F.lit(None).cast(steps.schema["seen"].dataType).alias("seen"), row("**"))
+    out = out.unionByName(_under(steps.select(F.lit(False).alias("last"), "seen", row("")).unionByName(last), 3, heads, F.struct("last", "seen")))
+    heads = ["", "## Trust-Tier Diagnostics", "", "| Trust tier | Total | Successful | Failed | Mean composite score |", "|---|---:|---:|---:|---:|"]
     out = out.unionByName(_under(tiers.select("tier", tier_cells.alias("text")), 4, heads, F.col("tier")))
     if attributed is None:
         return out
     found = attributed.filter("heuristic <> 'execution_failure'").groupBy("step").agg(F.count("*").alias("n"))
     broken = attributed.filter("heuristic = 'execution_failure'").agg(F.count("*").alias("n")).filter("n > 0")
     lost = broken.select(F.lit("0").alias("key"), F.concat(F.lit("- failed cases: "), F.col("n").cast("string")).alias("text"))
-    out = out.unionByName(_under(lost, 5, ["## Infrastructure Failures", ""], F.col("key")))
+    out = out.unionByName(_under(lost, 5, ["", "## Infrastructure Failures", ""], F.col("key")))
     table = found.select("n", "step", F.concat(F.lit("| "), "step", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("text"))
-    return out.unionByName(_under(table, 6, ["## Step Attribution", "", "| Step | Failure Count |", "|------|--------------|"], F.struct(-F.col("n"), "step")))
+    return out.unionByName(_under(table, 6, ["", "## Step Attribution", "", "| Step | Failure Count |", "|------|--------------|"], F.struct(-F.col("n"), "step")))
 
 
 def _spread(c: str) -> list[Column]:

@@ -267,12 +267,12 @@ SELECT 0 AS section, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS line, unnest(['# Eva
   '## Composite Score', '- average: ' || printf('%.2f', m), '']) AS text FROM c
 UNION ALL SELECT 1, unnest([0, 1]), unnest(['## Score Breakdown', '- points_earned: ' || printf('%.2f', avg((event_id % 5)::DOUBLE) FILTER (ok))]) FROM r
 UNION ALL SELECT 1, 2, '- points_possible: 5.00'
-UNION ALL SELECT 2, unnest([0, 1, 2, 3]), unnest(['## Weighted Score', '- weighted_score: ' || printf('%.2f', 100.0 * sum(event_id % 5) FILTER (ok) / (5 * k)), '- total_earned: ' || (sum(event_id % 5) FILTER (ok))::BIGINT,
+UNION ALL SELECT 2, unnest([0, 1, 2, 3, 4]), unnest(['', '## Weighted Score', '- weighted_score: ' || printf('%.2f', 100.0 * sum(event_id % 5) FILTER (ok) / (5 * k)), '- total_earned: ' || (sum(event_id % 5) FILTER (ok))::BIGINT,
   '- total_possible: ' || 5 * k]) FROM r, c GROUP BY k
-UNION ALL SELECT 4, unnest([0, 1, 2, 3, 4]), unnest(['## Trust-Tier Diagnostics', '', '| Trust tier | Total | Successful | Failed | Mean composite score |', '|---|---:|---:|---:|---:|',
+UNION ALL SELECT 4, unnest([0, 1, 2, 3, 4, 5]), unnest(['', '## Trust-Tier Diagnostics', '', '| Trust tier | Total | Successful | Failed | Mean composite score |', '|---|---:|---:|---:|---:|',
   '| trusted_feedback | ' || count(*) || ' | ' || count(*) FILTER (ok) || ' | ' || count(*) FILTER (NOT ok) || ' | ' || printf('%.2f', avg(value) FILTER (ok)) || ' |']) FROM r WHERE event_id % 2 = 0
-UNION ALL SELECT 6, unnest([0, 1, 2, 3]), unnest(['## Step Attribution', '', '| Step | Failure Count |', '|------|--------------|'])
-UNION ALL SELECT 6, 3 + row_number() OVER (ORDER BY n DESC, step), '| ' || step || ' | ' || n || ' |' FROM (SELECT 's' || user_id % 3 AS step, count(*) AS n FROM r WHERE NOT ok GROUP BY ALL)
+UNION ALL SELECT 6, unnest([0, 1, 2, 3, 4]), unnest(['', '## Step Attribution', '', '| Step | Failure Count |', '|------|--------------|'])
+UNION ALL SELECT 6, 4 + row_number() OVER (ORDER BY n DESC, step), '| ' || step || ' | ' || n || ' |' FROM (SELECT 's' || user_id % 3 AS step, count(*) AS n FROM r WHERE NOT ok GROUP BY ALL)
 """)
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

@@ -149,3 +149,23 @@ def test_review_of_prompts(spark):
         5: {"train_input_copy"}, 6: {"train_example_leakage"}, 7: {"specific_input_reference"},
     }
     assert not any(r["detail"] for r in found if r["code"] == "specific_input_reference")
+
+
+def test_fingerprints_of_long_lists_are_trees(spark, monkeypatch):
+    """A list of one chunk has the fingerprint of its JSON; a longer one that of its chunks' fingerprints, whatever the order of rows."""
+    import hashlib
+    import json
+
+    from evalloom.operators import run_checks
+
+    def digest(value):
+        return "sha256:" + hashlib.sha256(json.dumps(value, separators=(",", ":")).encode()).hexdigest()
+
+    cases = spark.createDataFrame([("hot", f"c{(i * 37) % 101}", i * 3) for i in range(101)] + [("cold", "x", 1), ("cold", "a", 2)], "run_id string, case_id string, pos long").repartition(7)
+    ids = [f"c{(i * 37) % 101}" for i in range(101)]
+    got = {r["run_id"]: (r["ordered"], r["as_set"]) for r in run_checks.case_fingerprints(cases).collect()}
+    assert got == {"hot": (digest(ids), digest(sorted(ids))), "cold": (digest(["x", "a"]), digest(["a", "x"]))}
+    monkeypatch.setattr(run_checks, "CHUNK_IDS", 10)
+    tree = lambda x: digest([digest(x[i : i + 10]) for i in range(0, len(x), 10)])
+    got = {r["run_id"]: (r["ordered"], r["as_set"]) for r in run_checks.case_fingerprints(cases).collect()}
+    assert got == {"hot": (tree(ids), tree(sorted(ids))), "cold": (digest(["x", "a"]), digest(["a", "x"]))}

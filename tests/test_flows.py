@@ -202,7 +202,7 @@ def test_sections_of_a_summary_are_left_out_where_empty(spark):
     text = [r["text"] for r in reports.summary_lines(spark.createDataFrame(rows, schema)).orderBy("section", "line").collect()]
     assert text == [
         "# Evaluation Summary", "", "Total cases: 3", "Successful cases: 2", "Infrastructure failures: 1", "", "## Composite Score", "- average: 70.00", "", "## Score Breakdown", "- f1: 0.75",
-        "## Step Timings", "", "| Step | Avg (s) | P50 (s) | P95 (s) |", "|------|---------|---------|---------|", "| x | 2.000 | 2.000 | 3.000 |", "| y | 2.000 | 2.000 | 2.000 |", "| Total | 3.000 | 3.000 | 3.000 |",
+        "", "## Step Timings", "", "| Step | Avg (s) | P50 (s) | P95 (s) |", "|------|---------|---------|---------|", "| x | 2.000 | 2.000 | 3.000 |", "| y | 2.000 | 2.000 | 2.000 |", "| **Total** | **3.000** | **3.000** | **3.000** |",
     ]
     assert reports.summary_lines(spark.createDataFrame([], schema)).count() == 6
 
