@@ -163,22 +163,22 @@ def fit_languages(
     per_language: int = 2_000, switch: float = 12.0, floor: float = -6.0, slices: int = 6, max_languages: int = 256,
 ) -> LanguageModel:
     """Count the model on about ``per_language`` whole texts of each language under ``fold``, a
-    condition on ``id``. Rows without text or language are left out. A column of more than
-    ``max_languages`` languages is refused: tables of all of them go to every worker."""
+    condition on ``id``: one text for each drawn id, the one with the smallest hash, so that repeated rows keep the
+    bound. Rows without text or language are left out. Of more than ``max_languages`` languages the most
+    frequent are learned (of equally frequent ones the first by name): tables of all of them go to every worker."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(fold).filter("text is not null and lang is not null")
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
-    if len(counted) > max_languages:
-        raise ValueError(f"{lang_col} holds more than {max_languages} languages")
-    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in counted}
+    counted = rows.groupBy("lang").agg(F.count_distinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    share = {r["lang"]: min(1.0, per_language / max(1, r["n"])) for r in counted}
     languages = tuple(sorted(share))
     if not languages:
         return LanguageModel((), np.zeros((0, len(GRAMS) * TABLE)), np.zeros((0, len(SCRIPTS)), bool), switch, floor)
     drawn = F.lit(False)
     for lang, p in share.items():
         drawn = drawn | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(p * (1 << 30))))
-    sample = rows.filter(drawn).select("text", "lang").repartition(slices)
+    one = rows.filter(drawn).groupBy("lang", "id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = one.select("text", "lang").repartition(slices)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

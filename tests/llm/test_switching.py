@@ -48,8 +48,22 @@ def test_many_random_texts_against_a_plain_dynamic_program():
             assert value == pytest.approx(plain_viterbi(score, switch))
 
 
-def test_too_many_languages_are_refused(spark):
-    rows = [(i, "some text here", f"l{i}", "s", 14, 1, "w", 2, "r") for i in range(300)]
+def test_of_too_many_languages_the_most_frequent_are_learned(spark):
+    """A dirty column of 300 values, of which a few are frequent."""
+    rows = [(i, f"text number {i} here", f"l{i}", "s", 14, 1, "w", 2, "r") for i in range(300)]
+    rows += [(1000 + i, "often said words of one kind", "zz", "s", 14, 1, "w", 2, "r") for i in range(40)]
+    model = lid.fit_languages(spark.createDataFrame(rows, SCHEMA), F.lit(True))
+    assert len(model.languages) == 256 and "zz" in model.languages
+    assert set(model.languages) - {"zz"} == set(sorted(f"l{i}" for i in range(300))[:255])
+    found = lid.language_id(spark.createDataFrame(rows[-1:], SCHEMA), F.lit(True)).collect()
+    assert [r["lang_pred"] for r in found] == ["zz"]
+
+
+def test_rows_of_one_id_count_once_in_the_sample(spark):
+    """One id with nearly all rows of a language: the bound holds, and the other ids are learned from."""
+    rows = [(7, "same same same same", "aa", "s", 14, 1, "w", 2, "r")] * 400 + [(100 + i, "kwik fjord vex", "aa", "s", 14, 1, "w", 2, "r") for i in range(30)]
+    rows += [(200 + i, "lorem dolor amet", "bb", "s", 14, 1, "w", 2, "r") for i in range(30)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    with pytest.raises(ValueError):
-        lid.language_id(docs, F.lit(True))
+    model = lid.fit_languages(docs, F.lit(True), per_language=2_000)
+    once = lid.fit_languages(docs.dropDuplicates(["doc_id"]), F.lit(True), per_language=2_000)
+    assert model.languages == once.languages == ("aa", "bb") and (model.logs == once.logs).all()
