@@ -112,11 +112,19 @@ def _best_of(part: pa.RecordBatch, where: dict, idf: np.ndarray, asked: np.ndarr
         best[j] = sorted([*best.get(j, []), *((-score[i, j].item(), ids[i]) for i in near.tolist())])[:k]
 
 
-def _places(h: np.ndarray, bits: int) -> np.ndarray:
-    """The bits of each hash in a filter of ``bits`` bits, a power of two: one row for each of the functions."""
+def _place(h: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """Which bit of a filter of ``bits`` bits, a power of two, function ``i`` gives each hash."""
     u = h.view(np.uint64)
-    low, high = u & np.uint64(0xFFFFFFFF), (u >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * high) & np.uint64(bits - 1) for i in range(FILTER_FUNCTIONS)])
+    return ((u & np.uint64(0xFFFFFFFF)) + np.uint64(i) * ((u >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
+
+
+def _passing(h: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    """Places of the hashes that a filter lets through; what one function refuses the next ones do not see."""
+    left = np.arange(len(h))
+    for i in range(FILTER_FUNCTIONS):
+        at = _place(h[left], i, len(bloom) * 8)
+        left = left[(bloom[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+    return left
 
 
 def bloom_filter(hashes: DataFrame, column: str) -> np.ndarray:
@@ -128,7 +136,9 @@ def bloom_filter(hashes: DataFrame, column: str) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(bits, bool)
         for batch in batches:
-            on[_places(batch[0].to_numpy(zero_copy_only=False), bits).ravel()] = True
+            h = batch[0].to_numpy(zero_copy_only=False)
+            for i in range(FILTER_FUNCTIONS):
+                on[_place(h, i, bits)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], ["f"])
 
     def both(a: bytes, b: bytes) -> bytes:
@@ -149,24 +159,24 @@ def leaked_ngrams(held_out: DataFrame, cases: DataFrame, case: str, text: str, n
     new = checkpoint(new.withColumn("h", F.xxhash64(F.split("ngram", " "))))
     shared = cases.sparkSession.sparkContext.broadcast(bloom_filter(new, "h"))
     read = spread(cases.select(F.col(case).alias("c"), F.col(text).alias("x"))).select("c", words(F.col("x")).alias("w"))
-    # Bound to a lambda variable, the words are found once.
-    hashed = F.expr(f"get(transform(array(w), v -> IF(size(v) >= {n}, struct(v AS w, transform(sequence(0, size(v) - {n}), i -> xxhash64(slice(v, i + 1, {n}))) AS h), NULL)), 0)")
-    windows = read.select("c", hashed.alias("s")).filter("s is not null").select("c", "s.w", "s.h")
+    # Bound to a lambda variable, the words are found once; a generator's row is made once, whatever is done with its fields.
+    long = F.filter(F.array("w"), lambda v: F.size(v) >= n)
+    hashed = F.transform(long, lambda v: F.struct(v.alias("w"), F.transform(F.sequence(F.lit(0), F.size(v) - n), lambda i: F.xxhash64(F.slice(v, i + 1, F.lit(n)))).alias("h")))
+    windows = read.select("c", F.inline(hashed))
     kind = windows.schema["c"].dataType.simpleString()
     arrow = to_arrow_schema(StructType.fromDDL(f"c {kind}, ngram string"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = shared.value
-        bits = np.uint64(len(bloom) * 8)
-        for batch in batches:
-            ends = np.cumsum(batch["h"].value_lengths().to_numpy(zero_copy_only=False))
-            at = _places(batch["h"].flatten().to_numpy(zero_copy_only=False), int(bits))
-            hit = np.flatnonzero(((bloom[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(0))
-            row = np.searchsorted(ends, hit, "right")
-            starts = ends - np.diff(ends, prepend=0)
-            said = {r: batch["w"][r].as_py() for r in np.unique(row).tolist()}
-            found = sorted({(r, " ".join(said[r][i : i + n])) for r, i in zip(row.tolist(), (hit - starts[row]).tolist(), strict=True)})
-            yield pa.RecordBatch.from_arrays([batch["c"].take(pa.array([r for r, _ in found], pa.int64())), pa.array([g for _, g in found], pa.string())], schema=arrow)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                ends = np.cumsum(batch["h"].value_lengths().to_numpy(zero_copy_only=False))
+                hit = _passing(batch["h"].flatten().to_numpy(zero_copy_only=False), shared.value)
+                row = np.searchsorted(ends, hit, "right")
+                starts = ends - np.diff(ends, prepend=0)
+                said = {r: batch["w"][r].as_py() for r in np.unique(row).tolist()}
+                found = sorted({(r, " ".join(said[r][i : i + n])) for r, i in zip(row.tolist(), (hit - starts[row]).tolist(), strict=True)})
+                yield pa.RecordBatch.from_arrays([batch["c"].take(pa.array([r for r, _ in found], pa.int64())), pa.array([g for _, g in found], pa.string())], schema=arrow)
 
     found = windows.mapInArrow(test, f"c {kind}, ngram string").distinct()
     owned = found.join(new.select("ngram"), "ngram", "left_semi").groupBy("ngram").agg(F.count("*").alias("owners"))
