@@ -39,6 +39,8 @@ CHUNK = 1 << 12
 FLOOR = 0.1  # weight of a word that every document holds
 RUN = 3  # words
 DENSE = 512
+BOUNDS = 8
+SLACK = 1e-3  # of a cosine, for rounding
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -66,7 +68,9 @@ def document_frequency(docs: DataFrame, text_col: str) -> tuple[int, np.ndarray]
                 split = [words_of(t) for t in texts]
                 row = np.repeat(np.arange(len(split)), [len(w) for w in split])
                 slot = slots_of([w for words in split for w in words])
-                total += np.bincount(np.unique(row * SLOTS + slot) % SLOTS, minlength=SLOTS)
+                held = row * SLOTS + slot
+                held.sort()
+                total += np.bincount(held[np.flatnonzero(np.diff(held, prepend=-1))] % SLOTS, minlength=SLOTS)
         chunks = list(range(0, SLOTS, CHUNK))
         bodies = [total[a : a + CHUNK].tobytes() for a in chunks]
         yield pa.RecordBatch.from_arrays(
@@ -295,6 +299,32 @@ class Factors:
         self.place = np.full(SLOTS, -1, np.int32)
         self.place[slots[order]] = np.arange(len(slots))
         self.weighted = (factors[order] * idf[slots[order]][:, None]).astype(np.float32)
+        # The most that a word adds to the projection on any passage of a bundle, for some bundles; last, a word without factors.
+        each = self.weighted @ self.latent.T
+        cuts = np.arange(0, len(texts), -(-len(texts) // BOUNDS))
+        self.most = [np.append(x, 0) for x in np.maximum.reduceat(each, cuts, axis=1).T.astype(np.float64)]
+
+    def near(self, block: np.ndarray, slot: np.ndarray, same: list[np.ndarray], norm: np.ndarray, cosine: float) -> np.ndarray:
+        """(first block, item) of the passages whose latent cosine with one of the item's reaches ``cosine``. ``same[k - 1]``
+        are the blocks whose text goes on for ``k`` more. Passages that cannot reach it by their words' bounds are not projected."""
+        place, may = self.place[slot], np.zeros(len(norm), bool)
+        for most in self.most:
+            bound = np.bincount(block, most[place], len(norm))
+            total = bound.copy()
+            for k, at in enumerate(same, 1):
+                total[at] += bound[at + k]
+            may |= total >= (cosine - SLACK) * norm
+        first, used = np.flatnonzero(may), may.copy()
+        following = [at[may[at]] for at in same]
+        for k, at in enumerate(following, 1):
+            used[at + k] = True
+        mine, number, row = used[block], np.cumsum(used) - 1, np.cumsum(may) - 1
+        sums = self.sums(number[block[mine]], slot[mine], used.sum())
+        total = sums[number[first]]
+        for k, at in enumerate(following, 1):
+            total[row[at]] += sums[number[at + k]]
+        found = np.argwhere(total @ self.latent.T / norm[first, None] >= cosine)
+        return np.column_stack([first[found[:, 0]], self.item[found[:, 1]]])
 
     def sums(self, block: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
         """Sum of the weighted factors of each block's words, some blocks at a time: by a product with the counts for the
@@ -367,15 +397,8 @@ class Lexicon:
         norm = full.copy()
         for k, at in enumerate(same, 1):
             norm[at] += full[at + k]
-        norm = np.sqrt(np.maximum(norm, 1e-9))[:, None]
-        near = []
-        for group in self.groups:
-            sums = group.sums(block, slot, len(full))
-            total = sums.copy()
-            for k, at in enumerate(same, 1):
-                total[at] += sums[at + k]
-            near.append(np.argwhere(total @ group.latent.T / norm >= p.cosine))
-            near[-1][:, 1] = group.item[near[-1][:, 1]]
+        norm = np.sqrt(np.maximum(norm, 1e-9))
+        near = [group.near(block, slot, same, norm, p.cosine) for group in self.groups]
         of, first, item = self.exact.find(keys, np.repeat(np.arange(len(split)), sizes), within)
         first = np.maximum(first, 0) // p.stride
         near = np.unique(np.concatenate([*near, np.column_stack([begin[of] + first, item])]), axis=0)
