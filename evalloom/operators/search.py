@@ -16,6 +16,9 @@ from evalloom.session import checkpoint, ship_package
 
 #: Cases of one block of a bootstrap, and draws that a task holds at once.
 BLOCK_CASES = 1 << 16
+#: Members of one block of a set: two blocks make at most the square of it in pairs. Pairs of blocks of one task.
+BLOCK_MEMBERS = 1 << 10
+PAIRS_OF_TASK = 16
 DRAWS_AT_ONCE = 1 << 20
 
 
@@ -137,18 +140,30 @@ def lineage(candidates: DataFrame, child: str, parent: str) -> DataFrame:
         reach = new
 
 
-def merge_pairs(pool: DataFrame, member: str, changed: str, tried: DataFrame | None = None) -> DataFrame:
-    """Pairs of members whose sets of changed settings are both non-empty and share nothing.
+def merge_pairs(pool: DataFrame, member: str, changed: str, tried: DataFrame | Column | None = None, block: int = BLOCK_MEMBERS) -> DataFrame:
+    """Pairs (a, b) of members whose sets of changed settings are both non-empty and share nothing.
 
-    Sets are compared, of which there are few, and members joined to pairs of sets; the result has a row for each
-    pair of members, as the search asks.
+    Sets are compared, of which there are few, and the members of a set are cut into blocks by their order. Blocks are joined
+    and dealt evenly, each pair of blocks is written out where it was dealt to: the result has a row for each pair of members, as the
+    search asks, and no such row is shuffled. ``tried`` leaves pairs out: a condition on a and b does so in place, a table (a, b)
+    by an anti join.
     """
-    of = pool.select(F.col(member).alias("m"), F.array_sort(F.array_distinct(changed)).alias("s")).filter("size(s) > 0")
-    sets = checkpoint(of.select("s").distinct())
-    apart = sets.select(F.col("s").alias("sa")).crossJoin(sets.select(F.col("s").alias("sb"))).filter(~F.arrays_overlap("sa", "sb"))
-    a = of.select(F.col("m").alias("a"), F.col("s").alias("sa"))
-    b = of.select(F.col("m").alias("b"), F.col("s").alias("sb"))
-    pairs = a.join(apart, "sa").join(b, "sb").filter("a < b").select("a", "b")
+    of = pool.select(F.col(member).alias("m"), F.array_sort(F.array_distinct(changed)).alias("s")).filter("size(s) > 0 and m is not null")
+    ranked = rank_within(of.withColumn("_set", F.sha2(F.to_json("s"), 256)), "_set", ["m"], "_rank")
+    blocks = ranked.groupBy("_set", F.floor((F.col("_rank") - 1) / block).alias("block")).agg(F.first("s").alias("s"), F.sort_array(F.collect_list("m")).alias("ms"))
+    blocks = checkpoint(blocks.select("_set", "block", "s", "ms", F.element_at("ms", 1).alias("low"), F.element_at("ms", -1).alias("high")))
+    # Which blocks meet is settled by their sets and bounds; the members follow by two joins.
+    ends = blocks.drop("ms")
+    a, b = (ends.select(*[F.col(c).alias(f"{side}_{c}") for c in ends.columns]) for side in "ab")
+    meet = checkpoint(a.join(b, ~F.arrays_overlap("a_s", "b_s") & (F.col("a_low") < F.col("b_high"))).select("a__set", "a_block", "b__set", "b_block"))
+    tasks = max(meet.sparkSession.sparkContext.defaultParallelism * 4, meet.count() // PAIRS_OF_TASK)
+    for side in "ab":
+        held = blocks.select(F.col("_set").alias(f"{side}__set"), F.col("block").alias(f"{side}_block"), F.col("ms").alias(f"{side}s"))
+        meet = meet.join(held, [f"{side}__set", f"{side}_block"])
+    dealt = meet.repartition(tasks, "a__set", "a_block", "b__set", "b_block")
+    pairs = dealt.select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b")).filter("a < b")
+    if isinstance(tried, Column):
+        return pairs.filter(~F.coalesce(tried, F.lit(False)))
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 

@@ -1,7 +1,9 @@
 """What only shows on tables larger than those given."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from evalloom.operators import search
 from evalloom.plans.catalogue import ORACLE, QUERIES
 
 
@@ -12,3 +14,21 @@ def test_aliases_of_more_than_a_million_rows_are_those_of_the_sql(spark, tmp_pat
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     want = con.execute(f"SELECT o_orderkey, rn, batch, alias FROM ({ORACLE['batch_assignment']}) WHERE rn > 999970").fetchall()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 60
+
+
+def test_merge_pairs_of_many_members_are_written_out_where_blocks_meet(spark, tmp_path):
+    """Pairs of members are shuffled neither for the join nor to leave out those tried; blocks of any size give the same."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.range(3000).selectExpr("id AS s_suppkey", "CAST(xxhash64(id) % 25 AS int) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    before = store.executorList(True).apply(0).totalShuffleWrite()
+    found = QUERIES["merge_pairs"](spark, str(tmp_path)).agg(F.count("*"), F.sum(F.pmod(F.col("a") * 31 + F.col("b"), F.lit(1009)))).first()
+    assert store.executorList(True).apply(0).totalShuffleWrite() - before < 2_000_000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert tuple(found) == con.execute(f"SELECT count(*), sum((a * 31 + b) % 1009)::BIGINT FROM ({ORACLE['merge_pairs']})").fetchone()
+    pool = spark.createDataFrame([(i, [["a"], ["b"], ["a", "b"], []][i % 4]) for i in range(40)], "m int, ch array<string>")
+    tried = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40) if (a + b) % 3 == 0], "a int, b int")
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if {a % 4, b % 4} == {0, 1} and (a + b) % 3}
+    for size, left_out in ((3, tried), (7, (F.col("a") + F.col("b")) % 3 == 0)):
+        got = [tuple(r) for r in search.merge_pairs(pool, "m", "ch", left_out, block=size).collect()]
+        assert set(got) == want and len(got) == len(want)
