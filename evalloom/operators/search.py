@@ -6,19 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from evalloom.operators.ordering import rank_within
-from evalloom.session import checkpoint, ship_package
+from evalloom.session import checkpoint, forget, ship_package
 
 #: Cases of one block of a bootstrap, and draws that a task holds at once.
 BLOCK_CASES = 1 << 16
 #: Members of one block of a set: two blocks make at most the square of it in pairs. Pairs of blocks of one task.
 BLOCK_MEMBERS = 1 << 10
 PAIRS_OF_TASK = 16
+#: Chains that a task follows together; steps between ranges up to which their table is sent to all tasks.
+CHAINS_AT_ONCE = 1 << 16
+FEW_STEPS = 1 << 16
 DRAWS_AT_ONCE = 1 << 20
 
 
@@ -126,20 +130,93 @@ def pareto_votes(scores: DataFrame, member: str, case: str, score: str) -> DataF
     return rated.filter("hi > lo").groupBy(member).agg(F.count_if(F.col(score) == F.col("hi")).alias("votes"))
 
 
-def lineage(candidates: DataFrame, child: str, parent: str) -> DataFrame:
-    """(child, ancestor, depth) of all chains of parents, by doubling: each round joins chains with chains,
-    so a chain of n needs log n rounds."""
-    up = checkpoint(candidates.filter(F.col(parent).isNotNull()).select(F.col(child).alias("c"), F.col(parent).alias("a"), F.lit(1).cast("long").alias("depth")))
-    reach = up
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, a, depth, leaves): the chains of parents of a task's rows (c, p), as far as they stay among its rows. The step out of them has
+    ``leaves``. A row without a is told where some c has several rows."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    held = pa.Table.from_batches(rows).combine_chunks()
+    parents, coded = held["p"].combine_chunks(), held["c"].combine_chunks().dictionary_encode()
+    ids, child = coded.dictionary, coded.indices.to_numpy()
+    up = pc.fill_null(pc.index_in(parents, value_set=ids), -1).to_numpy()
+    has = parents.is_valid().to_numpy(zero_copy_only=False)
+    order = np.argsort(child, kind="stable")
+    starts = np.searchsorted(child[order], np.arange(len(ids) + 1))
+    several = len(child) > len(ids)
+    names = ["c", "a", "depth", "leaves"]
+    if several:
+        yield pa.RecordBatch.from_arrays([ids.slice(0, 1), pa.nulls(1, ids.type), pa.array([0], pa.int64()), pa.array([True])], names)
+    for first in range(0, len(ids), CHAINS_AT_ONCE):
+        who = at = np.arange(first, min(first + CHAINS_AT_ONCE, len(ids)))
+        depth = 0
+        while len(who):
+            depth += 1
+            n = starts[at + 1] - starts[at]
+            edges = order[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            who, edges = np.repeat(who, n)[has[edges]], edges[has[edges]]
+            inside = up[edges] >= 0
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), parents.take(pa.array(edges)), pa.array(np.full(len(who), depth)), pa.array(~inside)], names)
+            who, at = who[inside], up[edges][inside]
+            if several and len(who):
+                who, at = np.unique(np.stack([who, at]), axis=1)
+
+
+def _closed(links: DataFrame) -> DataFrame:
+    """(c, a, depth) of all chains of ``links`` (c, a, depth), by doubling: each round joins chains with chains, so a chain of n needs
+    log n rounds; the round before is deleted."""
+    reach = checkpoint(links)
+    size = reach.count()
     while True:
         far = reach.select(F.col("c").alias("a"), F.col("a").alias("top"), F.col("depth").alias("more"))
         longer = reach.join(far, "a").select("c", F.col("top").alias("a"), (F.col("depth") + F.col("more")).alias("depth"))
         new = checkpoint(reach.unionByName(longer).distinct())
-        if new.count() == reach.count():
-            return new.select(F.col("c").alias(child), F.col("a").alias("ancestor"), "depth")
+        before, size = size, new.count()
+        forget(reach)
+        if size == before:
+            return new
         reach = new
 
 
+def lineage(candidates: DataFrame, child: str, parent: str, listed: bool = False) -> DataFrame:
+    """(child, ancestor, depth) of all chains of parents. ``listed``: a parent that is no child in ``candidates`` (whose first ones have
+    a row with a null parent) counts as none.
+
+    Candidates are dealt by ranges of their ids, and a range follows its chains by itself: what is numbered in the order in
+    which it came about has its parents close by. Only steps from one range to another are joined, by doubling; of them there are few,
+    or at worst as many as candidates. Chains that stay in a range are never shuffled.
+    """
+    ship_package(candidates.sparkSession)
+    rows = candidates.select(F.col(child).alias("c"), F.col(parent).alias("p")).filter("c is not null")
+    kind = rows.schema["c"].dataType.simpleString()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpoint(rows.withColumn("p", F.col("p").cast(kind)).repartitionByRange(parts, "c"))  # both passes must see the same ranges
+    chains = dealt.mapInArrow(_chains, f"c {kind}, a {kind}, depth long, leaves boolean")
+    near = chains.filter("not leaves").drop("leaves")
+    out = checkpoint(chains.filter("leaves").drop("leaves"))
+    several = not out.filter("a is null").isEmpty()
+    out = out.filter("a is not null")
+    few = out.count() <= FEW_STEPS
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    met = dealt.select(F.col("c").alias("a")).join(small(out.select("a").distinct()), "a", "left_semi").distinct()
+    met = checkpoint(met)
+    if listed:
+        out = out.join(small(met), "a", "left_semi").select("c", "a", "depth")
+    reach = _closed(out.join(small(met.select(F.col("a").alias("c"))), "c", "left_semi").select("c", "a", "depth"))
+    far = reach.select(F.col("c").alias("a"), F.col("a").alias("top"), F.col("depth").alias("more"))
+    tops = out.unionByName(out.join(far, "a").select("c", F.col("top").alias("a"), (F.col("depth") + F.col("more")).alias("depth"))).distinct()
+    tops = checkpoint(tops)
+    few = tops.count() <= FEW_STEPS
+    passed = small(tops.select(F.col("c").alias("child"), F.col("a").alias("c"), F.col("depth").alias("more")))
+    beyond = near.join(passed, "c").select(F.col("child").alias("c"), "a", (F.col("depth") + F.col("more")).alias("depth"))
+    found = near.unionByName(tops).unionByName(beyond)
+    found = found.distinct() if several else found
+    return found.select(F.col("c").alias(child), F.col("a").alias("ancestor"), "depth")
+
+
 def merge_pairs(pool: DataFrame, member: str, changed: str, tried: DataFrame | Column | None = None, block: int = BLOCK_MEMBERS) -> DataFrame:
     """Pairs (a, b) of members whose sets of changed settings are both non-empty and share nothing.
 
