@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
 from evalloom.operators import search
@@ -60,3 +61,12 @@ def test_lineage_follows_chains_within_ranges_and_across_them(spark, tmp_path, m
                 step = {(c, p, d + 1) for c, a, d in step for p in up.get(a, ())}
             got = [tuple(r) for r in search.lineage(spark.createDataFrame(edges, "c string, p string"), "c", "p", listed).collect()]
             assert set(got) == want and len(got) == len(want)
+
+
+def test_finished_runs_are_checked_with_one_deal_by_run(spark):
+    """Cases, results and listed ids meet by run and id without being shuffled again: less than 150 bytes for each line item."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    data = "/root/testdata/sf0.01"
+    before = store.executorList(True).apply(0).totalShuffleWrite()
+    assert_same(QUERIES["run_terminal_issues"](spark, data), connect(data), ORACLE["run_terminal_issues"])
+    assert store.executorList(True).apply(0).totalShuffleWrite() - before < 150 * 60_000
